@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, jaccard, jpeg, merkle, mixing, quality, secrets
+from llm import ann, bpe, jaccard, jpeg, merkle, mixing, quality, secrets
 from llm.tables import table
 
 
@@ -34,6 +34,10 @@ def op7_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_shifted_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,6 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_merkle_fixity, op2_rule_ensemble, op5_progressive_jpeg, op6_trigram_secrets, op7_forced_boundary_bpe, op9_chosen_path_join, op10_curriculum_mix)
+    f.__name__: f for f in (op1_merkle_fixity, op2_rule_ensemble, op5_progressive_jpeg, op6_trigram_secrets, op7_forced_boundary_bpe, op8_shifted_hilbert, op9_chosen_path_join, op10_curriculum_mix)
 }
 ORACLES: dict[str, str] = {"op1_merkle_fixity": merkle.PAGES_SQL, "op10_curriculum_mix": mixing.MIX_SQL}
