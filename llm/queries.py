@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import ann, bpe, jaccard, jpeg, merkle, mixing, passages, quality, secrets
+from llm import ann, bpe, jaccard, jpeg, katz, merkle, mixing, passages, quality, secrets
 from llm.tables import table
 
 
@@ -22,6 +22,10 @@ def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (quality.remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= quality.ACCEPTED).cast("int").alias("predicted"))
 
 
+def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passages(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,6 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_merkle_fixity, op2_rule_ensemble, op4_collinear_chaining, op5_progressive_jpeg, op6_trigram_secrets, op7_forced_boundary_bpe, op8_shifted_hilbert, op9_chosen_path_join, op10_curriculum_mix)
+    f.__name__: f for f in (op1_merkle_fixity, op2_rule_ensemble, op3_katz_backoff, op4_collinear_chaining, op5_progressive_jpeg, op6_trigram_secrets, op7_forced_boundary_bpe, op8_shifted_hilbert, op9_chosen_path_join, op10_curriculum_mix)
 }
 ORACLES: dict[str, str] = {"op1_merkle_fixity": merkle.PAGES_SQL, "op10_curriculum_mix": mixing.MIX_SQL}
