@@ -4,8 +4,9 @@ A document is the set of its runs of WIDTH words, described by COORDINATES minim
 of RUNS independent runs, every set follows the paths that shared randomness chooses: at a node one
 or two coordinates are sampled (1 / SIMILAR on average), and the set goes on to the child of each
 one's value. Buckets of up to SMALL sets are compared all by all; of larger ones, each set is
-compared with one pivot, and those not almost equal to it go one level down. Sets that look similar
-are joined into candidate groups, in which exact similarities are then computed, block by block.
+compared with one pivot, and those not almost equal to it go one level down; a bucket there whose sets
+were all joined to the same pivot above has nothing left to find. Sets that look similar are joined
+into candidate groups, in which exact similarities are then computed, block by block.
 
 Equal sets are one set with a number of copies throughout, so copies never meet in a bucket. Large
 buckets are dealt out in parts of about PART sets, each with the bucket's pivot, and large groups in
@@ -118,24 +119,25 @@ def _roots(sets: DataFrame, runs: int) -> DataFrame:
             sigs = _matrix(batch.column(1))
             for r in range(runs):
                 rows, keys = _children(np.full(len(sigs), mix(np.array([r + 1], np.uint64))[0]), sigs)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(rows))], ["key", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(np.zeros(len(rows), bool))], ["key", "f", "joined"])
 
-    return sets.select("f", "sig").mapInArrow(run, "key long, f binary")
+    return sets.select("f", "sig").mapInArrow(run, "key long, f binary, joined boolean")
 
 
 def _compare(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
-    """Buckets or their parts to edges (g set) and to rows of the next level (key set)."""
+    """Buckets or their parts to edges (g set) and to rows of the next level (key set; joined: to this bucket's pivot)."""
     for group in grouped(batches, ["key", "part"]):
         f, sigs = group.column("f").to_pylist(), _matrix(group.column("sig"))
         edges: list[tuple[int, int]] = []
-        down = np.zeros(len(f), bool)
+        down = joined = np.zeros(len(f), bool)
         if group.column("size")[0].as_py() <= SMALL:
             near = np.stack([(sigs == s).mean(axis=1) >= LOOKS_SIMILAR for s in sigs])
             edges = spanning(near)
         else:
             pivot = int(np.argmax(group.column("is_pivot").to_numpy(zero_copy_only=False)))
             like = (sigs == sigs[pivot]).mean(axis=1)
-            edges = [(pivot, int(i)) for i in np.flatnonzero(like >= NEAR_PIVOT) if i != pivot]
+            joined = like >= NEAR_PIVOT
+            edges = [(pivot, int(i)) for i in np.flatnonzero(joined) if i != pivot]
             down = like < SAME_AS_PIVOT
             if last and down.any():
                 own = np.flatnonzero(down)
@@ -144,9 +146,9 @@ def _compare(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.Recor
         keys = np.full(len(f), group.column("key")[0].as_py(), np.int64).view(np.uint64)
         own = np.flatnonzero(down)
         rows, new = _children(keys[own], sigs[own])
-        both = [(None, f[i], f[j]) for i, j in edges] + [(k, f[own[i]], None) for i, k in zip(rows, new.view(np.int64).tolist(), strict=True)]
+        both = [(None, f[i], f[j], None) for i, j in edges] + [(k, f[own[i]], None, bool(joined[own[i]])) for i, k in zip(rows, new.view(np.int64).tolist(), strict=True)]
         if both:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*both, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["key", "f", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*both, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], ["key", "f", "g", "joined"])
 
 
 def candidate_edges(sets: DataFrame, runs: int = RUNS) -> DataFrame:
@@ -155,18 +157,18 @@ def candidate_edges(sets: DataFrame, runs: int = RUNS) -> DataFrame:
     for level in range(DEPTH):
         head = F.xxhash64("f", "key")
         rows = rows.withColumn("h", head)
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("h").alias("pivot")).where("size > 1")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("h").alias("pivot"), F.count_if(~F.col("joined")).alias("open")).where("size > 1 and open > 0").drop("open")
         parts = F.ceil(F.col("size") / PART)
         placed = rows.join(sizes, "key").withColumn("is_pivot", F.col("h") == F.col("pivot"))
         own = F.when(F.col("size") <= SMALL, F.array(F.lit(0).cast("long"))).when(F.col("is_pivot"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("h"), parts)))
-        placed = placed.withColumn("part", F.explode(own)).drop("h", "pivot")
+        placed = placed.withColumn("part", F.explode(own)).drop("h", "pivot", "joined")
         last = level == DEPTH - 1
         out = placed.join(sets.select("f", "sig"), "f").repartition("key", "part").sortWithinPartitions("key", "part")
-        out = keep(out.mapInArrow(lambda b, last=last: _compare(b, last), "key long, f binary, g binary"), f"jaccard-{level}")
+        out = keep(out.mapInArrow(lambda b, last=last: _compare(b, last), "key long, f binary, g binary, joined boolean"), f"jaccard-{level}")
         edges = out.where("g is not null").select(F.col("f").alias("a"), F.col("g").alias("b"))
         found = edges if found is None else found.union(edges)
-        rows = out.where("key is not null").select("key", "f").distinct()
-        if rows.first() is None:
+        rows = out.where("key is not null").groupBy("key", "f").agg(F.min("joined").alias("joined"))
+        if out.where("not joined").first() is None:
             break
     return found
 
@@ -237,10 +239,11 @@ def join_documents(docs: DataFrame, similar: float = SIMILAR, runs: int = RUNS)
     exact = keep(exact_links(docs, sets, groups, similar), "jaccard-x")
     classes = components(exact.where("g is not null").select(F.col("f").alias("a"), F.col("g").alias("b")), "jaccard-k")
     links = exact.where("g is null").groupBy("f").agg(F.sum("links").alias("links"))
-    named = sets.select("f", "copies", "rep").join(links, "f", "left").join(classes.withColumnRenamed("node", "f"), "f", "left")
-    named = keep(named, "jaccard-n")
-    heads = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("head"))
-    named = named.join(heads, "component", "left").select("f", F.coalesce("head", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    placed = keep(classes.withColumnRenamed("node", "f").join(sets.select("f", "rep"), "f"), "jaccard-p")
+    heads = placed.groupBy("component").agg(F.min("rep").alias("head"))
+    placed = placed.select("f", "component").join(heads, "component").select("f", "head")
+    named = sets.select("f", "copies", "rep").join(links, "f", "left").join(placed, "f", "left")
+    named = named.select("f", F.coalesce("head", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = keep(named, "jaccard-m")
     out = signed.select("doc_id", "f").join(named, "f", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
