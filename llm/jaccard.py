@@ -4,9 +4,9 @@ A document is the set of its runs of WIDTH words, described by COORDINATES minim
 of RUNS independent runs, every set follows the paths that shared randomness chooses: at a node one
 or two coordinates are sampled (1 / SIMILAR on average), and the set goes on to the child of each
 one's value. Buckets of up to SMALL sets are compared all by all; of larger ones, each set is
-compared with one pivot, and those not almost equal to it go one level down; a bucket there whose sets
-were all joined to the same pivot above has nothing left to find. Sets that look similar are joined
-into candidate groups, in which exact similarities are then computed, block by block.
+compared with one pivot, and those not almost equal to it go one level down. Sets that are connected
+already carry the same label on their way: no edge is written between them, and a bucket of one label
+has nothing left to find. Sets that look similar are joined into candidate groups, in which exact similarities are then computed, block by block.
 
 Equal sets are one set with a number of copies throughout, so copies never meet in a bucket. Large
 buckets are dealt out in parts of about PART sets, each with the bucket's pivot, and large groups in
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from llm.groups import components, grouped, spanning
+from llm.groups import Forest, components, grouped, spanning
 from llm.tables import keep
 from llm.words import mix, shingles, word_hashes
 
@@ -119,36 +119,40 @@ def _roots(sets: DataFrame, runs: int) -> DataFrame:
             sigs = _matrix(batch.column(1))
             for r in range(runs):
                 rows, keys = _children(np.full(len(sigs), mix(np.array([r + 1], np.uint64))[0]), sigs)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(np.zeros(len(rows), bool))], ["key", "f", "joined"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(rows))], ["key", "f"])
 
-    return sets.select("f", "sig").mapInArrow(run, "key long, f binary, joined boolean")
+    # a set's first label is its own
+    return sets.select("f", "sig").mapInArrow(run, "key long, f binary").withColumn("label", F.xxhash64("f"))
 
 
 def _compare(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
-    """Buckets or their parts to edges (g set) and to rows of the next level (key set; joined: to this bucket's pivot)."""
+    """Buckets or their parts to edges (g set) and to rows of the next level (key set)."""
+    types = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
     for group in grouped(batches, ["key", "part"]):
-        f, sigs = group.column("f").to_pylist(), _matrix(group.column("sig"))
+        f, sigs, labels = group.column("f").to_pylist(), _matrix(group.column("sig")), group.column("label").to_numpy().copy()
         edges: list[tuple[int, int]] = []
-        down = joined = np.zeros(len(f), bool)
+        down = np.zeros(len(f), bool)
         if group.column("size")[0].as_py() <= SMALL:
-            near = np.stack([(sigs == s).mean(axis=1) >= LOOKS_SIMILAR for s in sigs])
-            edges = spanning(near)
+            edges = spanning(np.stack([(sigs == s).mean(axis=1) >= LOOKS_SIMILAR for s in sigs]))
         else:
             pivot = int(np.argmax(group.column("is_pivot").to_numpy(zero_copy_only=False)))
             like = (sigs == sigs[pivot]).mean(axis=1)
-            joined = like >= NEAR_PIVOT
-            edges = [(pivot, int(i)) for i in np.flatnonzero(joined) if i != pivot]
+            edges = [(pivot, int(i)) for i in np.flatnonzero(like >= NEAR_PIVOT) if i != pivot]
             down = like < SAME_AS_PIVOT
             if last and down.any():
                 own = np.flatnonzero(down)
                 edges += [(i, int(own[j])) for i in own for j in np.flatnonzero((sigs[own] == sigs[i]).mean(axis=1) >= LOOKS_SIMILAR) if own[j] != i]
                 down[:] = False
-        keys = np.full(len(f), group.column("key")[0].as_py(), np.int64).view(np.uint64)
+        # of edges between the same labels one is enough
+        known, which = np.unique(labels, return_inverse=True)
+        forest = Forest(len(known))
+        edges = [(i, j) for i, j in edges if forest.join(int(which[i]), int(which[j]))]
         own = np.flatnonzero(down)
-        rows, new = _children(keys[own], sigs[own])
-        both = [(None, f[i], f[j], None) for i, j in edges] + [(k, f[own[i]], None, bool(joined[own[i]])) for i, k in zip(rows, new.view(np.int64).tolist(), strict=True)]
+        rows, new = _children(np.full(len(own), group.column("key")[0].as_py(), np.int64).view(np.uint64), sigs[own])
+        label = [int(known[forest.find(int(which[own[i]]))]) for i in rows]
+        both = [(None, f[i], f[j], None) for i, j in edges] + [(k, f[own[i]], None, x) for i, k, x in zip(rows, new.view(np.int64).tolist(), label, strict=True)]
         if both:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*both, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], ["key", "f", "g", "joined"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*both, strict=True), types, strict=True)], ["key", "f", "g", "label"])
 
 
 def candidate_edges(sets: DataFrame, runs: int = RUNS) -> DataFrame:
@@ -157,18 +161,18 @@ def candidate_edges(sets: DataFrame, runs: int = RUNS) -> DataFrame:
     for level in range(DEPTH):
         head = F.xxhash64("f", "key")
         rows = rows.withColumn("h", head)
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("h").alias("pivot"), F.count_if(~F.col("joined")).alias("open")).where("size > 1 and open > 0").drop("open")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("h").alias("pivot"), F.min("label").alias("least"), F.max("label").alias("most")).where("size > 1 and least < most").drop("least", "most")
         parts = F.ceil(F.col("size") / PART)
         placed = rows.join(sizes, "key").withColumn("is_pivot", F.col("h") == F.col("pivot"))
         own = F.when(F.col("size") <= SMALL, F.array(F.lit(0).cast("long"))).when(F.col("is_pivot"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("h"), parts)))
-        placed = placed.withColumn("part", F.explode(own)).drop("h", "pivot", "joined")
+        placed = placed.withColumn("part", F.explode(own)).drop("h", "pivot")
         last = level == DEPTH - 1
         out = placed.join(sets.select("f", "sig"), "f").repartition("key", "part").sortWithinPartitions("key", "part")
-        out = keep(out.mapInArrow(lambda b, last=last: _compare(b, last), "key long, f binary, g binary, joined boolean"), f"jaccard-{level}")
+        out = keep(out.mapInArrow(lambda b, last=last: _compare(b, last), "key long, f binary, g binary, label long"), f"jaccard-{level}")
         edges = out.where("g is not null").select(F.col("f").alias("a"), F.col("g").alias("b"))
         found = edges if found is None else found.union(edges)
-        rows = out.where("key is not null").groupBy("key", "f").agg(F.min("joined").alias("joined"))
-        if out.where("not joined").first() is None:
+        rows = out.where("key is not null").groupBy("key", "f").agg(F.min("label").alias("label"))
+        if rows.first() is None:
             break
     return found
 
@@ -251,8 +255,9 @@ def join_documents(docs: DataFrame, similar: float = SIMILAR, runs: int = RUNS)
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of docs without those whose class has a lesser doc_id, and of repeated rows one. Rows without doc_id stay."""
-    gone = join_documents(docs, similar).where("doc_id != class_id").select(F.col("doc_id").alias("gone_"), F.lit(True).alias("drop_")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_"), "left").where("drop_ is null").drop("gone_", "drop_")
-    again = F.row_number().over(W.partitionBy("doc_id", "copy_").orderBy("copy_"))
-    out = left.withColumn("copy_", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).withColumn("again_", again)
-    return out.where((F.col("again_") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    gone = join_documents(docs, similar).where("doc_id != class_id").select("doc_id", F.lit(True).alias("drop_")).distinct()
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("copy_"))
+    left = rows.join(gone, "doc_id", "left").where("drop_ is null")
+    out = left.withColumn("again_", F.row_number().over(W.partitionBy("doc_id", "copy_").orderBy("copy_")))
+    return out.where("again_ = 1 or doc_id is null").select("row_.*")
