@@ -107,12 +107,10 @@ def mix_table(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs as the mix trains on them: one row per repeat, of which half the words or more are taken, sorted by training time. Same columns."""
-    columns = docs.columns
-    out = assign(docs)
-    repeats = F.filter(F.arrays_zip("parts_", F.sequence(F.lit(0), F.lit(MOST - 1)).alias("n_")), lambda x: 2 * x["parts_"] >= F.col("size_"))
+    out = assign(docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_")))
+    repeats = F.filter("parts_", lambda x: 2 * x >= F.col("size_"))
     out = out.where("size_ > 0").withColumn("positions", F.slice("positions", F.lit(1), F.size(repeats)))
-    out = out.select(*(F.col(f"`{c}`") for c in columns), F.explode("positions").alias("position_"), "key_")
-    return out.orderBy("position_", "key_").select(*(F.col(f"`{c}`") for c in columns))
+    return out.select("row_", F.explode("positions").alias("position_"), "key_").orderBy("position_", "key_").select("row_.*")
 
 
 MIX_SQL = r"""
