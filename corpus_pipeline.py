@@ -19,7 +19,8 @@ from llm.tables import keep, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs.withColumnRenamed("score", "score_") if "score" in docs.columns else docs, model).where(F.col("score") >= quality.ACCEPTED).drop("score").withColumnRenamed("score_", "score")
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"))
+    return quality.score(rows, model).where(F.col("score") >= quality.ACCEPTED).select("row_.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
