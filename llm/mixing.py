@@ -71,8 +71,10 @@ def training_time(share: Column, weights: Column, knots: tuple[float, ...]) -> C
         root = weights[i] + F.sqrt(F.greatest(weights[i] * weights[i] + 2 * slope * left, F.lit(0.0)))
         time = F.when(left <= 0, F.lit(a)).otherwise(F.least(a + 2 * left / root, F.lit(b)))
         done = done + areas[i]
-        last = i == len(knots) - 2
-        out = time if last and out is None else (out.otherwise(time) if last else (out or F).when(wanted <= done, time))
+        if i < len(knots) - 2:
+            out = (F if out is None else out).when(wanted <= done, time)
+        else:
+            out = time if out is None else out.otherwise(time)
     return out
 
 
