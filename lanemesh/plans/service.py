@@ -97,7 +97,7 @@ class Engine:
             rows = rows.join(over[1].select(F.col("id").alias("origin_id"), F.lit(True).alias("bo")), "origin_id", "left").join(over[1].select(F.col("id").alias("dest_id"), F.lit(True).alias("bd")), "dest_id", "left")
             affected = over[0].count()
         else:
-            rows = rows.withColumns({"bo": F.lit(None), "bd": F.lit(None)})
+            rows = rows.withColumns({"bo": F.lit(False), "bd": F.lit(False)})
         error = F.coalesce("error", "error_origin", "error_dest", F.when(F.col("origin_id") == F.col("dest_id"), "origin and destination are the same node"), F.when(F.col("bo"), "origin is blocked"), F.when(F.col("bd"), "destination is blocked"))
         rows = cut(rows.withColumn("error", error).drop("error_origin", "error_dest", "bo", "bd"))
         sound = rows.where("error is null").select("request_id", F.col("origin_id").alias("start"), F.col("dest_id").alias("goal"), "weather")
