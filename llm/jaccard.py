@@ -132,8 +132,9 @@ def _compare(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.Recor
         f, sigs, labels = group.column("f").to_pylist(), _matrix(group.column("sig")), group.column("label").to_numpy().copy()
         edges: list[tuple[int, int]] = []
         down = np.zeros(len(f), bool)
-        if group.column("size")[0].as_py() <= SMALL:
-            edges = spanning(np.stack([(sigs == s).mean(axis=1) >= LOOKS_SIMILAR for s in sigs]))
+        minor = np.flatnonzero(group.column("minor").to_numpy(zero_copy_only=False))
+        if group.column("minors")[0].as_py() <= SMALL:
+            edges = [(int(i), int(j)) for i in minor for j in np.flatnonzero((sigs == sigs[i]).mean(axis=1) >= LOOKS_SIMILAR) if i != j]
         else:
             pivot = int(np.argmax(group.column("is_pivot").to_numpy(zero_copy_only=False)))
             like = (sigs == sigs[pivot]).mean(axis=1)
@@ -161,11 +162,15 @@ def candidate_edges(sets: DataFrame, runs: int = RUNS) -> DataFrame:
     for level in range(DEPTH):
         head = F.xxhash64("f", "key")
         rows = rows.withColumn("h", head)
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("h").alias("pivot"), F.min("label").alias("least"), F.max("label").alias("most")).where("size > 1 and least < most").drop("least", "most")
+        by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("h").alias("h"))
+        sizes = by_label.groupBy("key").agg(F.sum("n").alias("size"), F.max_by("label", "n").alias("major"), F.max("n").alias("majors"), F.min("h").alias("pivot"), F.count("*").alias("labels"))
+        sizes = sizes.where("labels > 1").select("key", "size", "pivot", "major", (F.col("size") - F.col("majors")).alias("minors"))
         parts = F.ceil(F.col("size") / PART)
-        placed = rows.join(sizes, "key").withColumn("is_pivot", F.col("h") == F.col("pivot"))
-        own = F.when(F.col("size") <= SMALL, F.array(F.lit(0).cast("long"))).when(F.col("is_pivot"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("h"), parts)))
-        placed = placed.withColumn("part", F.explode(own)).drop("h", "pivot")
+        placed = rows.join(sizes, "key").withColumns({"is_pivot": F.col("h") == F.col("pivot"), "minor": F.col("label") != F.col("major")})
+        # what is compared with all others is in every part of a bucket
+        everywhere = F.when(F.col("minors") <= SMALL, F.col("minor")).otherwise(F.col("is_pivot"))
+        own = F.when(everywhere, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("h"), parts)))
+        placed = placed.withColumn("part", F.explode(own)).drop("h", "pivot", "major", "size")
         last = level == DEPTH - 1
         out = placed.join(sets.select("f", "sig"), "f").repartition("key", "part").sortWithinPartitions("key", "part")
         out = keep(out.mapInArrow(lambda b, last=last: _compare(b, last), "key long, f binary, g binary, label long"), f"jaccard-{level}")
