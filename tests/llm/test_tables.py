@@ -182,6 +182,44 @@ def test_passages_are_found_and_clean_texts_left_alone(spark):
     assert {(r.doc_id, r.other_id) for r in got if r.kind == "copy"} == {(9, 6), (None, 7)}
 
 
+def test_passages_whose_parts_other_texts_hold(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"{rng.randrange(10**6):06d}" for _ in range(n)]
+    lines, boiler, own = [fresh(30) for _ in range(5)], fresh(40), fresh(20)
+    texts = [fresh(rng.randrange(9, 40)) + sum(rng.sample(lines, rng.randrange(1, 4)), []) + fresh(20) for _ in range(40)]
+    texts += [fresh(9) + boiler + fresh(30) for _ in range(30)] + [fresh(7) + boiler + own + fresh(30) for _ in range(2)]
+    texts += [["tie"] * 300, fresh(5) + ["tie"] * 120]
+    got = [r for r in passages.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect() if r.kind == "passage"]
+    for r in got:
+        assert 2 * r.matched >= passages.SIMILAR * (r.end_word - r.start_word + r.other_end - r.other_start)
+    holders = collections.defaultdict(set)
+    for i, t in enumerate(texts[:-2]):
+        for k in range(len(t) - passages.LEAST + 1):
+            holders[tuple(t[k : k + passages.LEAST])].add((i, k))
+    held = {run: own for run, own in holders.items() if len({i for i, _ in own}) > 1}
+    assert len(held) > 100
+    # rows that hold the run on both sides connect all its holders
+    for own in held.values():
+        at, names = dict(own), {i: i for i, _ in own}
+        for _ in own:
+            for r in got:
+                a, b = r.doc_id, r.other_id
+                if a in at and b in at and r.start_word <= at[a] and at[a] + passages.LEAST <= r.end_word and r.other_start <= at[b] and at[b] + passages.LEAST <= r.other_end:
+                    names[a] = names[b] = min(names[a], names[b])
+            if len(set(names.values())) == 1:
+                break
+        assert len(set(names.values())) == 1
+    assert {70, 71} <= {x for r in got for x in (r.doc_id, r.other_id)} and {72, 73} in [{r.doc_id, r.other_id} for r in got]
+
+
+def test_run_hashes_tell_runs_apart():
+    words = np.array([3, 1, 2, 3, 1, 2, 3, 2, 1, 3, 1], np.uint64)
+    hashes = passages.run_hashes(words, 3).tolist()
+    runs = [tuple(words[i : i + 3].tolist()) for i in range(9)]
+    assert len(set(zip(runs, hashes, strict=True))) == len(set(runs)) == len(set(hashes))
+    assert len(passages.run_hashes(words, 12)) == 0
+
+
 def test_chains_maximise_the_score():
     rng = np.random.default_rng(2)
     for _ in range(30):
