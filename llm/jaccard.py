@@ -1,7 +1,7 @@
 """N-gram Jaccard join by chosen paths (Christiani, Pagh and Sivertsen, "Scalable and robust set similarity join").
 
 A document is the set of its runs of WIDTH words, described by COORDINATES minimum hashes. In each
-of RUNS independent runs, every set follows the paths that shared randomness chooses: at a node one
+of some independent runs, every set follows the paths that shared randomness chooses: at a node one
 or two coordinates are sampled (1 / SIMILAR on average), and the set goes on to the child of each
 one's value. Buckets of up to SMALL sets are compared all by all; of larger ones, each set is
 compared with one pivot, and those not almost equal to it go one level down. Sets that are connected
@@ -10,7 +10,11 @@ has nothing left to find. Sets that look similar are joined into candidate group
 
 Equal sets are one set with a number of copies throughout, so copies never meet in a bucket. Large
 buckets are dealt out in parts of about PART sets, each with the bucket's pivot, and large groups in
-pairs of blocks: no task holds an unbounded group, and only counts and spanning edges leave it.
+pairs of blocks, as are buckets still large at the last of DEPTH levels: no task holds an unbounded group, and only counts and spanning edges leave it.
+
+RUNS runs at a time are made until those of the latest round have newly joined at most 1 - RECALL of
+the pairs that look as similar as SIMILAR, by which groups are spanned. A round that finds half of the
+pairs or more leaves no more behind than it newly found: then RECALL of them is reached.
 
 Results: a row per document row, with the class (connected by similarities of SIMILAR or more; its
 id is the least doc_id) and the number of other documents linked directly, copies included. A text
@@ -37,6 +41,7 @@ WIDTH = 5
 SIMILAR = 0.8
 COORDINATES = 64
 RUNS = 8
+RECALL = 0.99
 SMALL = 200
 PART = 1000
 BLOCK = 512
@@ -111,18 +116,17 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
 
 
-def _roots(sets: DataFrame, runs: int) -> DataFrame:
+def _roots(sets: DataFrame, runs: int, done: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             sigs = _matrix(batch.column(1))
-            for r in range(runs):
+            for r in range(done, done + runs):
                 rows, keys = _children(np.full(len(sigs), mix(np.array([r + 1], np.uint64))[0]), sigs)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(rows))], ["key", "f"])
 
-    # a set's first label is its own
-    return sets.select("f", "sig").mapInArrow(run, "key long, f binary").withColumn("label", F.xxhash64("f"))
+    return sets.select("f", "sig").mapInArrow(run, "key long, f binary")
 
 
 def _compare(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
@@ -130,24 +134,26 @@ def _compare(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.Recor
     types = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
     for group in grouped(batches, ["key", "part"]):
         f, sigs, labels = group.column("f").to_pylist(), _matrix(group.column("sig")), group.column("label").to_numpy().copy()
-        edges: list[tuple[int, int]] = []
+        # of edges between the same labels one is enough
+        known, which = np.unique(labels, return_inverse=True)
+        edges: list[tuple[float, int, int]] = []
         down = np.zeros(len(f), bool)
         minor = np.flatnonzero(group.column("minor").to_numpy(zero_copy_only=False))
-        if group.column("minors")[0].as_py() <= SMALL:
-            edges = [(int(i), int(j)) for i in minor for j in np.flatnonzero((sigs == sigs[i]).mean(axis=1) >= LOOKS_SIMILAR) if i != j]
+        few = group.column("minors")[0].as_py() <= SMALL
+        if few or last:
+            for i in minor if few else range(len(f)):
+                like = (sigs == sigs[i]).mean(axis=1)
+                near = np.flatnonzero((like >= LOOKS_SIMILAR) & (which != which[i]))
+                near = near[np.argsort(-like[near], kind="stable")]
+                near = near[np.sort(np.unique(which[near], return_index=True)[1])]
+                edges += [(float(like[j]), int(i), int(j)) for j in near]
         else:
             pivot = int(np.argmax(group.column("is_pivot").to_numpy(zero_copy_only=False)))
             like = (sigs == sigs[pivot]).mean(axis=1)
-            edges = [(pivot, int(i)) for i in np.flatnonzero(like >= NEAR_PIVOT) if i != pivot]
+            edges = [(float(like[i]), pivot, int(i)) for i in np.flatnonzero(like >= NEAR_PIVOT) if i != pivot]
             down = like < SAME_AS_PIVOT
-            if last and down.any():
-                own = np.flatnonzero(down)
-                edges += [(i, int(own[j])) for i in own for j in np.flatnonzero((sigs[own] == sigs[i]).mean(axis=1) >= LOOKS_SIMILAR) if own[j] != i]
-                down[:] = False
-        # of edges between the same labels one is enough
-        known, which = np.unique(labels, return_inverse=True)
         forest = Forest(len(known))
-        edges = [(i, j) for i, j in edges if forest.join(int(which[i]), int(which[j]))]
+        edges = [(i, j) for _, i, j in sorted(edges, key=lambda e: -e[0]) if forest.join(int(which[i]), int(which[j]))]
         own = np.flatnonzero(down)
         rows, new = _children(np.full(len(own), group.column("key")[0].as_py(), np.int64).view(np.uint64), sigs[own])
         label = [int(known[forest.find(int(which[own[i]]))]) for i in rows]
@@ -156,9 +162,13 @@ def _compare(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*both, strict=True), types, strict=True)], ["key", "f", "g", "label"])
 
 
-def candidate_edges(sets: DataFrame, runs: int = RUNS) -> DataFrame:
-    """Pairs a, b of fingerprints that look similar; enough of them to connect each candidate group."""
-    found, rows = None, keep(_roots(sets, runs), "jaccard-r")
+def candidate_edges(sets: DataFrame, runs: int = RUNS, done: int = 0, groups: DataFrame | None = None) -> DataFrame:
+    """Pairs a, b of fingerprints that look similar; enough of them to connect each candidate group, besides what `groups` (node, component), of `done` runs, connects."""
+    rows, first = _roots(sets, runs, done), F.col("f")
+    if groups is not None:
+        rows, first = rows.join(groups.withColumnRenamed("node", "f"), "f", "left"), F.coalesce("component", "f")
+    # a set's first label is its own or its group's
+    found, rows = None, keep(rows.select("key", "f", F.xxhash64(first).alias("label")), "jaccard-r")
     for level in range(DEPTH):
         head = F.xxhash64("f", "key")
         rows = rows.withColumn("h", head)
@@ -169,9 +179,14 @@ def candidate_edges(sets: DataFrame, runs: int = RUNS) -> DataFrame:
         placed = rows.join(sizes, "key").withColumns({"is_pivot": F.col("h") == F.col("pivot"), "minor": F.col("label") != F.col("major")})
         # what is compared with all others is in every part of a bucket
         everywhere = F.when(F.col("minors") <= SMALL, F.col("minor")).otherwise(F.col("is_pivot"))
-        own = F.when(everywhere, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("h"), parts)))
+        last, every = level == DEPTH - 1, F.sequence(F.lit(0).cast("long"), parts - 1)
+        block = F.pmod(F.xxhash64("h"), parts)
+        own = F.when(everywhere, every).otherwise(F.array(block))
+        if last:
+            # nothing goes further down: blocks of what is left meet in pairs
+            pairs = F.transform(every, lambda k: F.least(block, k) * parts + F.greatest(block, k))  # noqa: B023
+            own = F.when(F.col("minors") <= SMALL, own).otherwise(pairs)
         placed = placed.withColumn("part", F.explode(own)).drop("h", "pivot", "major", "size")
-        last = level == DEPTH - 1
         out = placed.join(sets.select("f", "sig"), "f").repartition("key", "part").sortWithinPartitions("key", "part")
         out = keep(out.mapInArrow(lambda b, last=last: _compare(b, last), "key long, f binary, g binary, label long"), f"jaccard-{level}")
         edges = out.where("g is not null").select(F.col("f").alias("a"), F.col("g").alias("b"))
@@ -182,6 +197,40 @@ def candidate_edges(sets: DataFrame, runs: int = RUNS) -> DataFrame:
     return found
 
 
+def _alike(edges: DataFrame, sets: DataFrame) -> int:
+    """How many of the edges look as similar as SIMILAR."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                like = (_matrix(batch.column(0)) == _matrix(batch.column(1))).mean(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([int((like >= SIMILAR).sum())], pa.int64())], ["n"])
+
+    sigs = sets.select("f", "sig")
+    both = edges.join(sigs.withColumnsRenamed({"f": "a", "sig": "s"}), "a").join(sigs.withColumnsRenamed({"f": "b", "sig": "t"}), "b")
+    return both.select("s", "t").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def candidate_groups(sets: DataFrame, runs: int = RUNS, recall: float = RECALL) -> DataFrame:
+    """node, component of the sets that look similar; rounds of `runs` runs until the latest joined no more than 1 - recall of the pairs."""
+    edges, groups, found, done = None, None, 0, 0
+    while True:
+        more = candidate_edges(sets, runs, done, groups).distinct()
+        if groups is not None:
+            names = groups.select(F.col("node").alias("f"), "component")
+            more = more.join(names.withColumnsRenamed({"f": "a", "component": "ca"}), "a", "left").join(names.withColumnsRenamed({"f": "b", "component": "cb"}), "b", "left")
+            more = more.where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b")
+        more = keep(more, "jaccard-e")
+        new, done = _alike(more, sets), done + runs
+        found += new
+        edges = more if edges is None else edges.union(more)
+        if done > runs and more.first() is None:
+            return groups
+        groups = components(edges, "jaccard-c")
+        if new <= (1 - recall) * found:
+            return groups
+
+
 def _exact(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks of a candidate group to link counts (g null) and spanning edges of its similarities."""
     for group in grouped(batches, ["c", "i", "j"]):
@@ -244,7 +293,7 @@ def join_documents(docs: DataFrame, similar: float = SIMILAR, runs: int = RUNS)
     with_words = signed.where("f is not null")
     sets = with_words.groupBy("f").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     sets = keep(sets, "jaccard-sets")
-    groups = components(candidate_edges(sets, runs), "jaccard-c")
+    groups = candidate_groups(sets, runs)
     exact = keep(exact_links(docs, sets, groups, similar), "jaccard-x")
     classes = components(exact.where("g is not null").select(F.col("f").alias("a"), F.col("g").alias("b")), "jaccard-k")
     links = exact.where("g is null").groupBy("f").agg(F.sum("links").alias("links"))

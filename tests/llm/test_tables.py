@@ -280,6 +280,40 @@ def test_ann_recall_and_odd_vectors(spark):
 # Jaccard
 
 
+def half_alike(pairs):
+    """Texts that share 60% of their words, and of each the tail of ten words changed: those two are similar."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"{rng.randrange(10**8)}" for _ in range(n)]
+    common, rows = fresh(60), []
+    for i in range(pairs):
+        own = fresh(30)
+        rows += [(2 * i + k, " ".join(common + own + fresh(10))) for k in range(2)]
+    return rows
+
+
+def test_jaccard_recall_where_texts_share_most_words(spark):
+    df = spark.createDataFrame(half_alike(1200), "doc_id long, text string")
+    got = jaccard.join_documents(df, runs=2).collect()
+    assert sum(r.n_links for r in got) >= 0.97 * 2400
+    assert all(r.n_links <= 1 and r.class_id == r.doc_id - r.doc_id % 2 * (r.n_links > 0) for r in got)
+
+
+def test_jaccard_last_level_compares_all_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "DEPTH", 1)
+    signed = jaccard.signatures(spark.createDataFrame(half_alike(2500), "doc_id long, text string")).collect()
+    sets = spark.createDataFrame([(r.f, r.sig) for r in signed], "f binary, sig binary")
+    edges = {frozenset((bytes(r.a), bytes(r.b))) for r in jaccard.candidate_edges(sets, 1).collect()}
+    sigs = np.stack([np.frombuffer(r.sig, np.uint32) for r in signed])
+    rows, keys = jaccard._children(np.full(len(sigs), jaccard.mix(np.array([1], np.uint64))[0]), sigs)
+    root = {i: k for i, k in zip(rows.tolist(), keys.tolist(), strict=True)}
+    assert max(collections.Counter(keys.tolist()).values()) > jaccard.PART
+    by_id = {r.doc_id: i for i, r in enumerate(signed)}
+    alike = [(a, b) for a, b in ((by_id[2 * k], by_id[2 * k + 1]) for k in range(2500)) if root[a] == root[b] and (sigs[a] == sigs[b]).mean() >= 0.75]
+    assert len(alike) > 500
+    assert all(frozenset((bytes(signed[a].f), bytes(signed[b].f))) in edges for a, b in alike)
+
+
+
 def test_jaccard_equals_brute_force(spark):
     rng = random.Random(7)
     fresh = lambda n: [f"{rng.randrange(10**5)}" for _ in range(n)]
