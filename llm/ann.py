@@ -4,16 +4,20 @@ Vectors get one more coordinate that gives all the same norm, so the largest inn
 query is the nearest point (Bachrach et al., "Speeding up the Xbox recommender system"). In each of
 ORDERINGS orderings they are projected to PROJECTED random directions, laid on a grid of quantiles
 with a random shift, and numbered along a Hilbert curve; Spark range-partitions the keys. A query
-looks at the blocks of BLOCK_SHARE * n ** 0.75 rows that hold its key and both their neighbours; the
-windows of all orderings are merged and reranked by exact inner products.
+looks at the 2 * HALF rows around its key, a number that doesn't grow with the table; the windows of
+all orderings are merged and reranked by exact inner products, ties to the smaller id.
+
+Windows are cut from blocks of BLOCK rows, each with the 2 * HALF rows that follow it. A task holds
+one block at a time and streams the queries of it by; a block with many queries is read by several
+tasks, about DEAL queries each.
 
 The quantiles come from a bounded sample: the SAMPLE vectors of least hash. All vectors are indexed.
-Recall is measured in the tests and the README; a window grows as n ** 0.75, since random vectors,
-unlike clustered ones, need windows that grow with their number.
+Recall is measured in the tests and the README.
 
 Equal vectors are one point with its MOST_IDS least ids, which suffice for any query's TOP nearest.
-Vectors null, zero, holding null or non-finite components, without id, or of another length than
-most take no part. Repeated rows count once. Columns other than vec_id and embedding are not read.
+Vectors null, zero, holding null or non-finite components, or without id take no part. Vectors of
+different lengths have no inner product: each length is a search of its own. Repeated rows count
+once. Columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -31,12 +35,15 @@ from llm.tables import keep
 
 TOP = 20
 MOST_IDS = TOP + 1
-ORDERINGS = 24
-PROJECTED = 6
+ORDERINGS = 64
+PROJECTED = 12
 BITS = 3
 SAMPLE = 4096
-BLOCK_SHARE = 0.2
-LEAST_BLOCK = 64
+HALF = 224
+BLOCK = 4096
+DEAL = 2048
+#: Room for rounding between a product of matrices and the exact sum of products.
+ROUNDING = 1e-9
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -61,8 +68,23 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def pack(x: np.ndarray) -> bytes:
+    """A vector as bytes of singles if those hold it exactly, else of doubles."""
+    with np.errstate(over="ignore"):
+        single = x.astype("<f4")
+    return single.tobytes() if (single == x).all() else x.tobytes()
+
+
+def unpack(column, size: int) -> np.ndarray:
+    """Rows of doubles from vectors of `size` components."""
+    rows = column.to_pylist()
+    if all(len(r) == 4 * size for r in rows):
+        return np.frombuffer(b"".join(rows), "<f4").reshape(-1, size).astype(float)
+    return np.stack([np.frombuffer(r, "<f4" if len(r) == 4 * size else "<f8") for r in rows]).astype(float)
+
+
 def _valid(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (components as bytes of doubles), size, norm2: the rows that take part."""
+    """vec_id, v (the packed components), size, norm2: the rows that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,7 +98,7 @@ def _valid(vectors: DataFrame) -> DataFrame:
                     ids.append(i)
                     rows.append(x + 0.0)  # no negative zeros: equal vectors have equal bytes
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary()), pa.array([len(x) for x in rows], pa.int32()), pa.array([float(x @ x) for x in rows], pa.float64())],
+                [pa.array(ids, pa.int64()), pa.array([pack(x) for x in rows], pa.binary()), pa.array([len(x) for x in rows], pa.int32()), pa.array([float(x @ x) for x in rows], pa.float64())],
                 ["vec_id", "v", "size", "norm2"],
             )
 
@@ -127,32 +149,41 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(local)], ["o", "uid", "is_query", "pid", "local"])
 
 
-def _nearest(ids: list[list[int]], scores: np.ndarray) -> list[tuple[int, float]]:
-    found = [(-float(s), i) for own, s in zip(ids, scores, strict=True) for i in own]
-    found.sort()
-    return [(i, -s) for s, i in found[:MOST_IDS]]
-
-
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks to the nearest points of the queries that look at them."""
-    for group in grouped(batches, ["o", "block"]):
-        query = group.column("is_query").to_numpy(zero_copy_only=False)
-        x = np.stack([np.frombuffer(b, "<f8") for b in group.column("v").to_pylist()])
-        data, asked = np.flatnonzero(~query), np.flatnonzero(query)
-        if not len(data) or not len(asked):
-            continue
-        uids, ids = group.column("uid").to_numpy(), group.column("ids").to_pylist()
-        data = data[np.argsort(uids[data], kind="stable")]
-        points, rows = x[data], []
-        for at in range(0, len(asked), 512):
-            part = asked[at : at + 512]
-            scores = x[part] @ points.T
-            best = np.argsort(-scores, axis=1, kind="stable")[:, : MOST_IDS] if len(data) > MOST_IDS else np.tile(np.arange(len(data)), (len(part), 1))
-            for i, own in zip(part, best, strict=True):
-                exact = (points[own] * x[i]).sum(axis=1)
-                found = _nearest([ids[data[j]] for j in own], exact)
-                rows.append((int(uids[i]), [a for a, _ in found], [s for _, s in found]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())), strict=True)], ["uid", "found", "scores"])
+def nearest(window: np.ndarray, ids: list[list[int]], query: np.ndarray) -> tuple[list[int], list[float]]:
+    """The MOST_IDS nearest of the window's points, by exact score and then id, and their scores."""
+    scores = window @ query
+    if len(scores) > MOST_IDS:
+        least = np.partition(scores, -MOST_IDS)[-MOST_IDS]
+        own = np.flatnonzero(scores >= least - ROUNDING * np.abs(scores).max())
+    else:
+        own = np.arange(len(scores))
+    exact = (window[own] * query).sum(axis=1)
+    found = sorted((-float(s), i) for j, s in zip(own, exact, strict=True) for i in ids[j])[:MOST_IDS]
+    return [i for _, i in found], [-s for s, _ in found]
+
+
+def _search(batches: Iterator[pa.RecordBatch], size: int, wide: int) -> Iterator[pa.RecordBatch]:
+    """Blocks' points, each followed by the queries that look there, to what is nearest in the queries' windows."""
+    now, held, points, ids, first = None, [], None, [], 0
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("o", "block", "part", "is_query")]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for at, to in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if at == to:
+                continue
+            run, key = batch.slice(at, to - at), tuple(int(c[at]) for c in columns[:3])
+            if key != now:
+                now, held, points = key, [], None
+            if not columns[3][at]:
+                held.append(run)
+                continue
+            if points is None:
+                table = pa.Table.from_batches(held)
+                points, ids, first, held = unpack(table.column("v"), size), table.column("ids").to_pylist(), table.column("place")[0].as_py(), []
+            queries, rows = unpack(run.column("v"), size), []
+            for uid, place, query in zip(run.column("uid").to_pylist(), run.column("place").to_pylist(), queries, strict=True):
+                rows.append((uid, *nearest(points[place - first : place - first + wide], ids[place - first : place - first + wide], query)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())), strict=True)], ["uid", "found", "scores"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,14 +201,18 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
-def search(vectors: DataFrame, every: int = 20, orderings: int = ORDERINGS) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, orderings: int = ORDERINGS, half: int = HALF) -> DataFrame:
     """query_id, rank, vec_id, score: the TOP nearest found of each vector whose id `every` divides."""
-    spark = vectors.sparkSession
     base = keep(_valid(vectors), "ann-v")
-    common = base.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
-    if common is None:
-        return spark.createDataFrame([], RESULT)
-    base = base.where(F.col("size") == common[0]).dropDuplicates(["vec_id", "v"])
+    out = vectors.sparkSession.createDataFrame([], RESULT)
+    for row in base.select("size").distinct().orderBy("size").collect():
+        out = out.union(_search_length(base.where(F.col("size") == row[0]), row[0], every, orderings, half))
+    return out
+
+
+def _search_length(base: DataFrame, size: int, every: int, orderings: int, half: int) -> DataFrame:
+    spark = base.sparkSession
+    base = base.dropDuplicates(["vec_id", "v"])
     few = base.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= MOST_IDS)
     few = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.min("vec_id").alias("uid"), F.max("norm2").alias("norm2"))
     asked = base.where(F.col("vec_id") % every == 0).select("vec_id", "v")
@@ -185,16 +220,14 @@ def search(vectors: DataFrame, every: int = 20, orderings: int = ORDERINGS) -> D
     # a vector id may stand for several different vectors: number the points by id and a hash
     points = keep(points.withColumn("uid", F.xxhash64("uid", "v")), "ann-p")
     n, largest = points.agg(F.count("*"), F.max("norm2")).first()
-    if not n:
-        return spark.createDataFrame([], RESULT)
-    sample = points.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).select("v").collect()
-    curves = Curves(np.stack([np.frombuffer(r[0], "<f8") for r in sample]), float(np.sqrt(largest)), orderings)
+    sample = points.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).select("v").toArrow()
+    curves = Curves(unpack(sample.column("v"), size), float(np.sqrt(largest)), orderings)
 
     def keyed(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack([np.frombuffer(b, "<f8") for b in batch.column(1).to_pylist()])
+            x = unpack(batch.column(1), size)
             asks = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False))
             own, theirs = curves.points(x, False), curves.points(x[asks], True)
             uids = batch.column(0).to_numpy()
@@ -210,16 +243,26 @@ def search(vectors: DataFrame, every: int = 20, orderings: int = ORDERINGS) -> D
     rows = keep(rows, "ann-r")
     totals = rows.groupBy("o", "pid").agg(F.sum((~F.col("is_query")).cast("long")).alias("t"))
     offsets = totals.select("o", "pid", F.coalesce(F.sum("t").over(W.partitionBy("o").orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    size = max(LEAST_BLOCK, int(np.ceil(BLOCK_SHARE * n**0.75)))
-    last = (n - 1) // size
-    at = F.least(F.expr(f"(local + offset) div {size}"), F.lit(last))
-    rows = rows.join(offsets, ["o", "pid"]).withColumn("at", at)
-    looks = F.when(F.col("is_query"), F.sequence(F.greatest(F.col("at") - 1, F.lit(0).cast("long")), F.least(F.col("at") + 1, F.lit(last).cast("long")))).otherwise(F.array("at"))
-    rows = rows.select("o", "uid", "is_query", F.explode(looks).alias("block")).join(points.select("uid", "v", "ids"), "uid")
-    found = rows.repartition("o", "block").sortWithinPartitions("o", "block").mapInArrow(_search, "uid long, found array<long>, scores array<double>")
+    wide = min(2 * half, n)
+    at, size_ = F.col("local") + F.col("offset"), max(BLOCK, 2 * wide)
+    # a query is placed where its window begins, so that one block and what follows it hold the window
+    at = F.when(F.col("is_query"), F.least(F.greatest(at - half, F.lit(0)), F.lit(n - wide))).otherwise(at)
+    rows = rows.join(offsets, ["o", "pid"]).select("o", "uid", "is_query", at.alias("place")).withColumn("block", F.expr(f"place div {size_}"))
+    before = (F.col("place") % size_ < wide) & (F.col("block") > 0) & ~F.col("is_query")
+    rows = rows.withColumn("block", F.explode(F.when(before, F.array(F.col("block") - 1, "block")).otherwise(F.array("block"))))
+    deals = rows.where("is_query").groupBy("o", "block").agg(F.ceil(F.count("*") / DEAL).cast("long").alias("deals"))
+    every_part = F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)
+    part = F.explode(F.when(F.col("is_query"), F.array(F.pmod(F.xxhash64("uid"), F.col("deals")))).otherwise(every_part))
+    rows = rows.join(deals, ["o", "block"]).select("o", "uid", "is_query", "place", "block", part.alias("part"))
+    rows = rows.join(points.select("uid", "v", "ids"), "uid").repartition("o", "block", "part").sortWithinPartitions("o", "block", "part", "is_query", "place")
+    found = rows.mapInArrow(lambda b: _search(b, size, wide), "uid long, found array<long>, scores array<double>")
     found = found.repartition("uid").sortWithinPartitions("uid").mapInArrow(_merge, "uid long, found array<long>, scores array<double>")
-    found = keep(found.join(points.select("uid", "v"), "uid").select("v", "found", "scores"), "ann-f")
-    out = asked.join(found, "v").select(F.col("vec_id").alias("query_id"), F.arrays_zip("found", "scores").alias("z"))
+    found = keep(found.join(points.select("uid", "v"), "uid").select("v", F.arrays_zip("found", "scores").alias("z")), "ann-f")
+    # one vector may be very common among those that ask
+    salts = 16
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)))
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    out = asked.join(found, ["v", "salt"]).select(F.col("vec_id").alias("query_id"), "z")
     out = out.select("query_id", F.posexplode(F.slice(F.filter("z", lambda x: x["found"] != F.col("query_id")), 1, TOP)))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.found").alias("vec_id"), F.col("col.scores").alias("score"))
 

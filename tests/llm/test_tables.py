@@ -267,14 +267,35 @@ def test_ann_recall_and_odd_vectors(spark):
         assert abs(r.score - float(x[r.query_id] @ x[r.vec_id])) < 1e-9
     assert set(found) == set(range(0, 3000, 20)) and all(len(v) == 20 for v in found.values())
     assert ann.recall(found, np.arange(3000), x) > 0.95
-    # ties go to the least ids
-    same = [q for q in found if 100 <= q < 400]
-    scores = x @ x[100]
-    if (scores > scores[100]).sum() == 0:
-        assert found[same[0]] == [i for i in range(100, 122) if i != same[0]][:20]
     assert ann.search(df.limit(0)).count() == 0
     few = {(r.query_id, r.vec_id) for r in ann.search(df.where("vec_id < 5")).collect()}
     assert few == {(0, i) for i in range(1, 5)}
+    lengths = {(r.query_id, r.vec_id) for r in ann.search(spark.createDataFrame([(0, [1.0]), (1, [2.0]), (20, [1.0, 2.0]), (21, [3.0, 4.0])], "vec_id long, embedding array<float>")).collect()}
+    assert lengths == {(0, 1), (20, 21)}
+
+
+@pytest.mark.parametrize("n", [300, 440])
+def test_ann_ties_go_to_the_least_ids(spark, n):
+    rng = np.random.default_rng(5)
+    x = np.concatenate((np.full((n, 1), 2.0), rng.integers(-9, 10, (n, 7)) / 4), axis=1)
+    x[0] = [1.0] + [0.0] * 7  # of the same product with all others
+    ids = rng.permutation(np.arange(1, n)) * 20 + 1
+    rows = [(0, x[0].tolist())] + [(int(i), v.tolist()) for i, v in zip(ids, x[1:], strict=True)]
+    got = sorted((r["rank"], r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(k + 1, int(i), 2.0) for k, i in enumerate(sorted(ids)[:20])]
+
+
+def test_ann_windows_span_blocks_and_deals(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "DEAL", 3)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 6))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    for half, least in ((30, 0.8), (450, 1.0)):
+        found = collections.defaultdict(list)
+        for r in sorted(ann.search(df, orderings=12, half=half).collect(), key=lambda r: (r.query_id, r["rank"])):
+            found[r.query_id].append(r.vec_id)
+        assert len(found) == 45 and ann.recall(found, np.arange(900), x) >= least
 
 
 # Jaccard
