@@ -6,12 +6,14 @@ remembered), and their ids concatenated. Ids and decoded text equal those of the
 library for the same file, with add_special_tokens=False and skip_special_tokens=False.
 
 Null text counts as empty: no tokens, the hashes are those of empty strings. Rows repeat as they
-come; other columns are not read. Very long texts need memory in proportion to their length.
+come; other columns are not read. Very long texts need memory in proportion to their length; a
+fragment of n symbols takes n log n steps.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -20,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm.tables import once
+
 #: White space of the tokenizer's normaliser that str.split() knows too; it also splits at 1C-1F.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Entries in each of the two generations of what a worker remembers.
 REMEMBERED = 150_000
-#: Longer runs without white space are not remembered whole.
+#: Longer runs without white space, words and fragments are not remembered.
 BRIEF = 64
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -77,6 +81,7 @@ class ForcedBoundaryBpe:
         self.tokens = {i: t for t, i in self.vocab.items()}
         self.special = {x["content"]: x["id"] for x in made["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
+        self._token = {str(i): t for i, t in self.tokens.items()}.__getitem__
         self._split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         symbol = byte_symbols()
         self._plain = re.compile("[!-~\u00c0-\u00ff]+").fullmatch
@@ -109,33 +114,38 @@ class ForcedBoundaryBpe:
             return [(word, True)]
         return [(word[a:b], False) for a, b in zip([0, *cuts], cuts, strict=False)] + [(word[cuts[-1] :], True)]
 
-    def _merge(self, key: tuple[str, bool]) -> tuple[str, str]:
+    def _merge(self, key: tuple[str, bool]) -> str:
+        """Ids of a fragment, joined by one space: of its neighbouring parts those of least rank, leftmost first, are joined until none has a rank."""
         fragment, ends = key
-        parts = list(fragment)
+        parts: list[str] = list(fragment)
         if ends:
             parts[-1] += self.suffix
-        rank, far = self.rank, len(self.rank)
-        ranks = [rank.get(p, far) for p in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            least = min(ranks)
-            if least == far:
-                break
-            i = ranks.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank.get((parts[i], parts[i + 1]), far)
-            if i:
-                ranks[i - 1] = rank.get((parts[i - 1], parts[i]), far)
-        vocab = self.vocab
-        return " ".join([str(vocab[t]) for t in parts]), " ".join(parts)
-
-    def _encode_word(self, symbols: str) -> tuple[str, str]:
-        found = [self._fragments[f] for f in self.fragments(symbols)]
-        return found[0] if len(found) == 1 else (" ".join([a for a, _ in found]), " ".join([b for _, b in found]))
-
-    def _encode_chunk(self, chunk: str) -> tuple[str, str]:
-        """Ids, and tokens, of a text without white space, each joined by one space."""
+        rank, vocab, n = self.rank.get, self.vocab, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)) if (r := rank(pair)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or not parts[i] or rank((parts[i], parts[j])) != r:
+                continue  # one of the two is in another part by now
+            parts[i] += parts[j]
+            parts[j] = ""
+            j = after[i] = after[j]
+            if j < n:
+                before[j] = i
+                if (r := rank((parts[i], parts[j]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := rank((parts[h], parts[i]))) is not None:
+                heapq.heappush(heap, (r, h))
+        return " ".join([str(vocab[t]) for t in parts if t])
+
+    def _encode_word(self, symbols: str) -> str:
+        return " ".join([self._fragments[f] if len(f[0]) <= BRIEF else self._merge(f) for f in self.fragments(symbols)])
+
+    def _encode_chunk(self, chunk: str) -> str:
+        """Ids, joined by one space, of a text without white space."""
         if self._plain(chunk):
             lower = chunk.lower()
             words = [lower] if lower.isalpha() else self._plain_words(lower)
@@ -143,34 +153,25 @@ class ForcedBoundaryBpe:
                 words = [w.translate(self._latin) for w in words]
         else:
             words = [w for w, _ in self._pretokenise(self._normalise(chunk))]
-        if len(words) == 1:
-            return self._words[words[0]]
-        found = [self._words[w] for w in words]
-        return " ".join([a for a, _ in found]), " ".join([b for _, b in found])
+        return " ".join([self._words[w] if len(w) <= BRIEF else self._encode_word(w) for w in words])
 
-    def encode(self, text: str | None) -> tuple[str, str]:
-        """The text's ids joined by one space, and the tokens so joined (which is the decoded text)."""
+    def encode(self, text: str | None) -> str:
+        """The text's ids, joined by one space."""
         if not text:
-            return "", ""
+            return ""
         ids: list[str] = []
-        tokens: list[str] = []
         for piece in self._split_special(text) if self._split_special and "<|" in text else (text,):
             if piece in self.special:
                 ids.append(str(self.special[piece]))
-                tokens.append(piece)
-                continue
-            chunks = [x for x in self._spaces(piece) if x] if self._odd(piece) else piece.split()
-            if not chunks:
                 continue
             found, brief = self._chunks, self._encode_chunk
-            rows = [found[x] if len(x) <= BRIEF else brief(x) for x in chunks]
-            ids += [a for a, _ in rows if a]
-            tokens += [b for a, b in rows if a]
-        return " ".join(ids), " ".join(tokens)
+            chunks = [x for x in self._spaces(piece) if x] if self._odd(piece) else piece.split()
+            ids += filter(None, [found[x] if len(x) <= BRIEF else brief(x) for x in chunks])
+        return " ".join(ids)
 
     def decode(self, ids: str) -> str:
-        """The tokens of ids that one space joins; this tokenizer has no decoder, so one space joins them as well."""
-        return " ".join([self.tokens[int(i)] for i in ids.split(" ")]) if ids else ""
+        """The text of ids that one space joins: this tokenizer has no decoder, so its tokens are joined by one space as well."""
+        return " ".join(map(self._token, ids.split(" "))) if ids else ""
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, *, ids: bool = False) -> DataFrame:
@@ -178,20 +179,20 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, ids: bool = Fa
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ForcedBoundaryBpe(path)
+        coder = once(("bpe", path), lambda: ForcedBoundaryBpe(path))
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 rows = [coder.encode(t) for t in batch.column(1).to_pylist()]
                 columns = [
                     batch.column(0),
-                    pa.array([a.count(" ") + 1 if a else 0 for a, _ in rows], pa.int64()),
-                    pa.array([hashlib.sha256(a.encode()).hexdigest() for a, _ in rows]),
-                    pa.array([hashlib.sha256(b.encode()).hexdigest() for _, b in rows]),
+                    pa.array([a.count(" ") + 1 if a else 0 for a in rows], pa.int64()),
+                    pa.array([hashlib.sha256(a.encode()).hexdigest() for a in rows]),
+                    pa.array([hashlib.sha256(coder.decode(a).encode()).hexdigest() for a in rows]),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
-                    columns.append(pa.array([[int(i) for i in a.split(" ")] if a else [] for a, _ in rows], pa.list_(pa.int32())))
+                    columns.append(pa.array([[int(i) for i in a.split(" ")] if a else [] for a in rows], pa.list_(pa.int32())))
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests), a folder in the warehouse."""
+    """spark.checkpoint.dir; where it is unset and all runs on one machine (tests), a folder in the warehouse."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return at or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
@@ -29,6 +32,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(key, make):
+    """make()'s value, kept by this Python worker for its later tasks; the globals of functions that travel by value last for one task only."""
+    kept = sys.__dict__.setdefault("_llm_once", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def forget() -> None:
     """Removes the tables that keep() wrote."""
     while _made:
