@@ -1,10 +1,13 @@
 """Secret scans through a trigram inverted index.
 
 From each rule's regex a Boolean query over trigrams is derived (Cox, "Regular expression matching
-with a trigram index"): strings that match must hold some trigrams. Each batch of documents gets an
-index from the trigrams that any rule asks for to the documents that hold them; a rule's postings
-are intersected and united, and the regex runs over the candidates alone. A rule without mandatory
-trigrams runs over every document.
+with a trigram index"): strings that match must hold some trigrams. One pass over the bytes of a batch of
+documents notes which of the trigrams that any rule asks for occur where: sorted postings, from a
+trigram to the documents that hold it. A rule's postings are intersected and united, and the regex
+runs over the candidates alone. A rule without mandatory trigrams runs over every document.
+
+Trigrams are of UTF-8 bytes, A-Z as a-z. The rules are written so that a scan takes time in
+proportion to the text, however long a run of one kind of character is.
 
 Null text counts as empty and yields no spans. Every row yields one row, repeated ones as well;
 columns other than doc_id and text are not read. Spans are in code points, end exclusive.
@@ -21,10 +24,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm.tables import once
+from llm.words import column_bytes, lowered
+
 #: Alternatives that a part of a regex is followed through at most, before it counts as "anything".
 MOST_STRINGS = 64
 
@@ -58,12 +63,12 @@ BASE = (
 #: Further kinds, by their issuers' public formats.
 MORE = (
     Rule("pem", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("pay", r"sk_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("cloud", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("login", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@[^\s/]+"),
+    Rule("login", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://[^\s:/@]++:[^\s:/@]++@[^\s/]++"),
 )
 RULES = BASE + MORE
 
@@ -83,7 +88,8 @@ def _both(a: frozenset, b: frozenset) -> frozenset:
 
 
 def _of(strings: set[str]) -> frozenset:
-    return _either([frozenset({frozenset(s[i : i + 3] for i in range(len(s) - 2))}) for s in strings]) if strings else ANY
+    parts = [s.encode() for s in strings]
+    return _either([frozenset({frozenset(s[i : i + 3] for i in range(len(s) - 2))}) for s in parts]) if parts else ANY
 
 
 def _walk(parsed, fold) -> tuple[set[str], frozenset]:
@@ -109,7 +115,7 @@ def _one(op, arg, fold) -> tuple[set[str] | None, frozenset]:
         return _alternatives([_part(p, fold) for p in arg[1]])
     if op is sre.SUBPATTERN:
         return _part(arg[3], fold)
-    if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+    if op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
         least, most, part = arg
         exact, query = _part(part, fold)
         if most == 1 and exact is not None:
@@ -117,7 +123,7 @@ def _one(op, arg, fold) -> tuple[set[str] | None, frozenset]:
         if not least:
             return None, ANY
         return None, _both(query, _of(exact)) if exact is not None else query
-    if op is sre.AT:
+    if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
         return {""}, ANY
     return None, ANY
 
@@ -142,41 +148,69 @@ def _part(parsed, fold) -> tuple[set[str] | None, frozenset]:
     return None, _both(done, _of(run))
 
 
+def _lower(char: str) -> str:
+    return char.lower() if char.isascii() else char
+
+
 def trigram_query(pattern: str) -> frozenset:
-    """Sets of lower-case trigrams, of which every match holds one set whole; {{}} if nothing is mandatory."""
-    exact, query = _part(parser.parse(pattern), str.lower)
+    """Sets of lower-case trigrams (bytes), of which every match holds one set whole; {{}} if nothing is mandatory."""
+    exact, query = _part(parser.parse(pattern), _lower)
     return _of(exact) if exact is not None else query
 
 
-class BatchIndex:
-    """Trigram -> which documents of a batch hold it, filled as rules ask for it."""
+def wanted(queries: tuple[frozenset, ...]) -> tuple[dict[bytes, int], np.ndarray]:
+    """The trigrams that any of the queries asks for, numbered, and a table from a trigram's 24 bits to its number + 1, or 0."""
+    number = {t: k for k, t in enumerate(sorted({t for q in queries for x in q for t in x}))}
+    table = np.zeros(1 << 24, np.uint16)
+    for t, k in number.items():
+        table[int.from_bytes(t, "big")] = k + 1
+    return number, table
 
-    def __init__(self, texts: pa.Array):
-        self.texts, self.postings = texts, {}
 
-    def holding(self, trigram: str) -> np.ndarray:
-        if trigram not in self.postings:
-            self.postings[trigram] = pc.match_substring(self.texts, trigram, ignore_case=True).to_numpy(zero_copy_only=False)
-        return self.postings[trigram]
+class BatchIndex:
+    """The inverted index of a batch of texts: for each wanted trigram the sorted places of the texts that hold it."""
+
+    def __init__(self, texts: pa.Array, number: dict[bytes, int], table: np.ndarray):
+        data, offsets = column_bytes(texts)
+        self.number, self.size = number, len(texts)
+        low = lowered(data)
+        hit, own = [], []
+        for at in range(0, max(0, len(low) - 2), 1 << 22):
+            part = low[at : at + (1 << 22) + 2].astype(np.uint32)
+            codes = table[part[:-2] << 16 | part[1:-1] << 8 | part[2:]]
+            found = np.flatnonzero(codes)
+            hit.append(found + at)
+            own.append(codes[found])
+        hit, code = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hit, own))
+        text = np.searchsorted(offsets, hit, side="right") - 1
+        inside = hit + 3 <= offsets[text + 1]
+        pairs = np.unique((code[inside].astype(np.int64) - 1) * self.size + text[inside])
+        self.texts = pairs % max(1, self.size)
+        self.borders = np.searchsorted(pairs, np.arange(len(number) + 1) * self.size)
+
+    def holding(self, trigram: bytes) -> np.ndarray:
+        k = self.number[trigram]
+        return self.texts[self.borders[k] : self.borders[k + 1]]
 
     def candidates(self, query: frozenset) -> np.ndarray:
-        found = np.zeros(len(self.texts), bool)
+        found = []
         for trigrams in query:
-            own = np.ones(len(self.texts), bool)
-            for t in sorted(trigrams):
-                own &= self.holding(t)
-                if not own.any():
-                    break
-            found |= own
-        return np.flatnonzero(found)
+            lists = sorted((self.holding(t) for t in trigrams), key=len)
+            own = lists[0] if lists else np.arange(self.size)
+            for more in lists[1:]:
+                own = np.intersect1d(own, more, assume_unique=True)
+            found.append(own)
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def find(texts: pa.Array, rules: tuple[Rule, ...] = RULES, queries: list[frozenset] | None = None) -> list[list[tuple[int, int, int]]]:
+def find(texts: pa.Array, rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:
     """For each text (start, place of the rule, end), sorted."""
-    index, out = BatchIndex(texts), [[] for _ in range(len(texts))]
-    for k, (rule, query) in enumerate(zip(rules, queries or [trigram_query(r.pattern) for r in rules], strict=True)):
-        for i in index.candidates(query):
-            out[i] += [(a, k, b) for a, b in rule.spans(texts[int(i)].as_py())]
+    patterns = tuple(r.pattern for r in rules)
+    queries, number, table = once(("secrets", patterns), lambda: (q := tuple(map(trigram_query, patterns)), *wanted(q)))
+    index, out, strings = BatchIndex(texts, number, table), [[] for _ in range(len(texts))], texts.to_pylist()
+    for k, (rule, query) in enumerate(zip(rules, queries, strict=True)):
+        for i in index.candidates(query).tolist():
+            out[i] += [(a, k, b) for a, b in rule.spans(strings[i])]
     for spans in out:
         spans.sort()
     return out
@@ -198,13 +232,13 @@ def redact(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]
 def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = MORE) -> DataFrame:
     """Per row: doc_id, counts of the base kinds, SHA-256 of the base spans, and all spans as kind:start:end by start."""
     rules = BASE + tuple(r for r in rules if r not in BASE)
-    queries, kinds, base = [trigram_query(r.pattern) for r in rules], [r.kind for r in rules], len(BASE)
+    kinds, base = [r.kind for r in rules], len(BASE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                found = find(batch.column(1).fill_null(""), rules, queries)
+                found = find(batch.column(1).fill_null(""), rules)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
@@ -220,7 +254,7 @@ def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = MORE) -> DataFrame
 
 def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows and columns of docs, with secrets in `text` replaced and `n_chars`, if there, counted anew. Null stays null."""
-    queries, schema = [trigram_query(r.pattern) for r in rules], docs.schema
+    schema = docs.schema
     at_text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +262,7 @@ def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFr
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = batch.column(at_text)
-                found = find(texts.fill_null(""), rules, queries)
+                found = find(texts.fill_null(""), rules)
                 columns = list(batch.columns)
                 if any(found):
                     clean = [t if not x else redact(t, x, rules) for t, x in zip(texts.to_pylist(), found, strict=True)]

@@ -41,6 +41,11 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return _LOWER[data]
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and past-the-end byte of every word; no word crosses a text's border."""
     n = len(data)

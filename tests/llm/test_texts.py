@@ -77,6 +77,11 @@ def test_secrets_equal_plain_scanning(spark, odd, nothing, small):
         assert spans == sorted((a, k, b) for k, r in enumerate(secrets.RULES) for a, b in r.spans(t or ""))
     assert secrets.trigram_query("[0-9a-f]+") == secrets.ANY
     assert secrets.trigram_query("(abcd|xyz)q*w") != secrets.ANY
+    for query in map(secrets.trigram_query, [r.pattern for r in secrets.RULES]):
+        number, codes = secrets.wanted((query,))
+        index = secrets.BatchIndex(pa.array(texts, pa.string()).fill_null(""), number, codes)
+        low = [(t or "").encode().translate(LOWER) for t in texts]
+        assert index.candidates(query).tolist() == [i for i, t in enumerate(low) if any(all(g in t for g in x) for x in query)]
     kinds = {secrets.RULES[k].kind for s in found for _, k, _ in s}
     assert {"assign", "access", "hex", "pem", "jwt", "forge", "login"} <= kinds
     out = {(r.doc_id, r.n_assign) for r in secrets.scan_documents(odd).collect()}
@@ -87,6 +92,15 @@ def test_secrets_equal_plain_scanning(spark, odd, nothing, small):
     assert clean.where("doc_id = 2").first().text is None
 
 
+@pytest.mark.parametrize("run", ["a", "a.", "eyJ", "eyJaaaaaaaa.", "ab://", "token", "token = ", "x:y@", "ghp_", "AKIA", "0f", "xoxb-"])
+def test_secrets_in_very_long_runs(run):
+    text = run * (5_000_000 // len(run))
+    began = time.time()
+    for tail in (" ", "://", "://a:b@c", ".eyJ"):
+        assert len(secrets.find(pa.array([text + tail]))) == 1
+    assert time.time() - began < 40
+
+
 def test_overlapping_secrets_are_redacted_once():
     text = "token=" + "ab12" * 8 + " end"
     assert secrets.redact(text, secrets.find(pa.array([text]))[0]) == "<assign> end"
