@@ -313,5 +313,5 @@ def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("copy_"))
     left = rows.join(gone, "doc_id", "left").where("drop_ is null")
-    out = left.withColumn("again_", F.row_number().over(W.partitionBy("doc_id", "copy_").orderBy("copy_")))
-    return out.where("again_ = 1 or doc_id is null").select("row_.*")
+    named = left.where("doc_id is not null").withColumn("again_", F.row_number().over(W.partitionBy("doc_id", "copy_").orderBy("copy_"))).where("again_ = 1")
+    return named.select("row_.*").union(left.where("doc_id is null").select("row_.*"))

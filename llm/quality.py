@@ -8,8 +8,8 @@ without Python and without a shuffle.
 Training uses at most MOST_LABELS labelled rows: those whose hash of doc_id is least, which any
 larger table samples alike. Null text counts as empty. Labels without doc_id or without a quality
 are left out; of several for one doc_id the least counts. Every row of documents is scored once,
-repeated ones as well, and other columns stay as they are. Without labels of both kinds the score
-is their share, 0.5 without any.
+repeated ones as well, and other columns stay as they are, whatever their names; only a column
+`score` is replaced. Without labels of both kinds the score is their share, 0.5 without any.
 """
 
 from __future__ import annotations
@@ -33,10 +33,12 @@ def _share(text: str, pattern: str) -> Column:
     return F.when(F.col("n_chars_") > 0, 1 - kept / F.col("n_chars_")).otherwise(F.lit(0.0))
 
 
-
 def with_statistics(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """docs with the column stats, a struct of doubles that the text alone decides; and their names."""
-    out = docs.withColumn("t_", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    """row, a struct of the columns of docs, and stats, a struct of doubles that the text alone decides; and their names.
+
+    The statistics come out of a generator, below which no filter on them is pushed: each is computed once a row."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    out = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t_"))
     out = out.withColumns({"n_chars_": F.length("t_"), "w_": F.regexp_extract_all("t_", F.lit(_WORD), F.lit(0)), "l_": F.split("t_", "\n")})
     n_words, n_lines = F.size("w_"), F.size("l_")
     stats = {
@@ -54,7 +56,7 @@ def with_statistics(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         "short_words": _share("t_", r"(?<!\S)\S{1,3}(?!\S)"),
     }
     names = list(stats)
-    return out.withColumn("stats", F.struct(*(c.cast("double").alias(n) for n, c in stats.items()))).drop("t_", "n_chars_", "w_", "l_"), names
+    return out.select("row", F.explode(F.array(F.struct(*(c.cast("double").alias(n) for n, c in stats.items())))).alias("stats")), names
 
 
 @dataclass(frozen=True)
@@ -185,10 +187,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     """Fits on a sample of labelled rows whose size `most` bounds, so it is broadcast and the texts aren't shuffled."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     stats, names = with_statistics(texts.join(F.broadcast(sample_labels(labels, label, most)), "doc_id"))
-    rows = stats.select("doc_id", "label_", *(F.col("stats")[n].alias(n) for n in names)).toPandas().sort_values(["doc_id", *names])
+    # of rows with one id one is enough: no more come to the driver than labels were sampled
+    stats = stats.groupBy("row.doc_id").agg(F.min("row.label_").alias("label_"), F.min("stats").alias("stats"))
+    rows = stats.select("doc_id", "label_", *(F.col("stats")[n].alias(n) for n in names)).toPandas().sort_values("doc_id")
     return fit(rows[names].to_numpy(float), rows["label_"].to_numpy(float), names)
 
 
 def score(docs: DataFrame, model: Ensemble) -> DataFrame:
     """docs with the column score, from 0 to 1."""
-    return with_statistics(docs)[0].withColumn("score", model.column()).drop("stats")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c != "score"]
+    return with_statistics(docs)[0].select(*kept, model.column().alias("score"))
+
+
+def accepted(docs: DataFrame, model: Ensemble) -> DataFrame:
+    """The rows and columns of docs whose text scores ACCEPTED or more."""
+    return with_statistics(docs)[0].where(model.column() >= ACCEPTED).select("row.*")

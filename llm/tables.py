@@ -23,11 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return at or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows of df as a written table: lineage is cut, and losing an executor loses nothing. Removed as the session ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from llm import ann, jaccard, katz, merkle, mixing, passages, quality
@@ -63,17 +64,52 @@ def test_merkle_odd_rows(spark):
     assert {r.status for r in merkle.audit(a, a.limit(0)).collect()} == {"missing"}
     pages = spark.createDataFrame([(None, None, None, 1), (1, "u", None, 2), (1, "u", None, 2), (2, None, "h", 3)], "page_id long, url string, html string, offset int")
     assert merkle.audit_pages(pages).count() == 0
+    placed = merkle.pages_archive(pages.union(pages)).collect()
+    by_file = collections.defaultdict(list)
+    for r in placed:
+        by_file[r.file_no].append((r.offset, len(r.payload)))
+    for own in by_file.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False))
     assert merkle.audit_pages(pages.limit(0)).count() == 0
 
 
+def test_merkle_long_payloads_and_many_records_without_offset(spark):
+    long = spark.range(3).select(F.lit(0).cast("long").alias("file_no"), (F.col("id") * 10_000_000).alias("offset"), F.repeat(F.lit("x"), 5_000_000).cast("binary").alias("payload"))
+    loose = spark.range(2000).select(F.lit(None).cast("long").alias("file_no"), F.lit(None).cast("long").alias("offset"), F.col("id").cast("string").cast("binary").alias("payload"))
+    b = long.withColumn("payload", F.when(F.col("offset") > 0, F.expr("concat(payload, cast('y' as binary))")).otherwise(F.col("payload"))).union(loose.where("payload != cast('77' as binary)"))
+    got = sorted((r.file_no, r.offset, r.status) for r in merkle.audit(long.union(loose), b).collect())
+    assert got == [(-1, -1, "missing"), (0, 10_000_000, "altered"), (0, 20_000_000, "altered")]
+
+
 # Quality
 
 
+def plain_statistics(text):
+    """The statistics of the docstring's names, in their order, with the regex module."""
+    text = text or ""
+    found, lines = re.findall(r"[^\x20\x09-\x0D]+", text), text.split("\n")
+    share = lambda p: sum(map(len, regex.findall(p, text))) / len(text) if text else 0.0
+    n = max(1, len(found))
+    shares = [share(p) for p in (r"\p{Lu}", r"\p{L}", r"\p{N}", r"[^\p{L}\p{N}\s.,;:?'\"()-]", r"[.,;:?]", r"(?<!\S)\S{1,3}(?!\S)")]
+    return [math.log1p(len(text)), math.log1p(len(found)), len(text) / n, len(found) / len(lines), len(set(found)) / n, len(set(lines)) / len(lines), *shares]
+
+
+def test_statistics_are_computed_once(spark, small):
+    docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    kept = quality.accepted(docs, quality.train(docs, labels))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert kept.columns == docs.columns and plan.count("regexp_replace") <= 6 and plan.count("regexp_extract_all") <= 1
+
+
 def test_rules_compile_to_the_same_scores(spark, small):
     docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
     model = quality.train(docs, labels)
     stats, names = quality.with_statistics(docs)
-    rows = stats.withColumn("s", model.column()).select("s", *(F.col("stats")[n] for n in names)).collect()
+    rows = stats.withColumn("s", model.column()).select("s", *(F.col("stats")[n] for n in names), "row.text").collect()
+    for r in rows:
+        assert np.allclose(r[1:-1], plain_statistics(r[-1]))
+    rows = [r[:-1] for r in rows]
     assert np.allclose([r[0] for r in rows], model.predict(np.array([r[1:] for r in rows], float)))
 
 
@@ -95,8 +131,13 @@ def test_lasso_drops_rules_that_tell_nothing():
 def test_quality_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1), (6, 0), (10, 1), (None, 0), (7, None), (7, 1), (8, 0)], "doc_id long, quality int")
     model = quality.train(odd, labels)
-    rows = quality.score(odd.select("doc_id", "text"), model).collect()
-    assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
+    clash = odd.withColumns({c: F.lit(c) for c in ("t_", "w_", "l_", "n_chars_", "row", "label_")})
+    scored = quality.score(clash, model)
+    rows = scored.collect()
+    assert sorted(scored.columns) == sorted(clash.columns)
+    assert len(rows) == odd.count() and all(0 <= r.score <= 1 and r.w_ == "w_" and r.row == "row" and r.stats == "mine" for r in rows)
+    many = odd.union(odd).union(odd)
+    assert np.allclose(quality.train(many, labels).predict(np.ones((1, 12))), model.predict(np.ones((1, 12))))
     empty = quality.train(nothing, labels.limit(0))
     assert quality.score(nothing.select("doc_id", "text"), empty).count() == 0
     assert quality.fit(np.zeros((0, 2)), np.zeros(0), ["a", "b"]).predict(np.zeros((1, 2)))[0] == 0.5
