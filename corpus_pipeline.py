@@ -11,7 +11,6 @@ encode: doc_id with the number of tokens, hashes of ids and decoded text, and th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from llm import bpe, jaccard, mixing, quality, secrets
 from llm.tables import keep, table
@@ -19,8 +18,7 @@ from llm.tables import keep, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"))
-    return quality.score(rows, model).where(F.col("score") >= quality.ACCEPTED).select("row_.*")
+    return quality.accepted(docs, model)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
