@@ -3,14 +3,18 @@
 A document is the set of its runs of WIDTH words, described by COORDINATES minimum hashes. In each
 of some independent runs, every set follows the paths that shared randomness chooses: at a node one
 or two coordinates are sampled (1 / SIMILAR on average), and the set goes on to the child of each
-one's value. Buckets of up to SMALL sets are compared all by all; of larger ones, each set is
-compared with one pivot, and those not almost equal to it go one level down. Sets that are connected
-already carry the same label on their way: no edge is written between them, and a bucket of one label
-has nothing left to find. Sets that look similar are joined into candidate groups, in which exact similarities are then computed, block by block.
-
-Equal sets are one set with a number of copies throughout, so copies never meet in a bucket. Large
-buckets are dealt out in parts of about PART sets, each with the bucket's pivot, and large groups in
-pairs of blocks, as are buckets still large at the last of DEPTH levels: no task holds an unbounded group, and only counts and spanning edges leave it.
+one's value. Sets that are connected already carry one label: no edge is written between them, and a
+bucket of one label has nothing left to find. A bucket in which SMALL sets or fewer are outside its
+commonest label is finished by brute force: each of those is compared with all of the bucket. In a
+larger one each set is compared with one pivot, and those not almost equal to it go one level down.
+
+Where a bucket has up to LOCAL sets, one task follows all its paths to their ends. Larger buckets are
+dealt out in parts of about PART sets, each with what all others are compared with, and their children
+shuffled for the next level; what is still larger at the last of DEPTH levels is compared in pairs of
+blocks, all by all. Sets that look similar are joined into candidate groups, in which exact
+similarities are then computed in pairs of blocks of BLOCK sets and BLOCK_RUNS runs at most (a set of
+more runs is a block by itself). So no task holds an unbounded group, and only counts and spanning
+edges leave it. Equal sets are one set with a number of copies throughout.
 
 RUNS runs at a time are made until those of the latest round have newly joined at most 1 - RECALL of
 the pairs that look as similar as SIMILAR, by which groups are spanned. A round that finds half of the
@@ -43,9 +47,15 @@ COORDINATES = 64
 RUNS = 8
 RECALL = 0.99
 SMALL = 200
+LOCAL = 8192
 PART = 1000
 BLOCK = 512
+BLOCK_RUNS = 1 << 21
 DEPTH = 12
+#: Levels that a task follows before it compares all by all; the paths of different sets part long before.
+DEEPEST = 64
+#: Salts of the join of a bucket's sets with its size.
+SALTS = 8
 #: Estimates from COORDINATES values are off by up to 0.17 (three deviations): these bounds leave room for that.
 LOOKS_SIMILAR = 0.62
 NEAR_PIVOT = 0.55
@@ -129,6 +139,37 @@ def _roots(sets: DataFrame, runs: int, done: int) -> DataFrame:
     return sets.select("f", "sig").mapInArrow(run, "key long, f binary")
 
 
+def _follow(key: int, sigs: np.ndarray, which: np.ndarray, forest: Forest) -> list[tuple[int, int]]:
+    """Edges between the sets of a bucket, followed down all its paths; `forest` joins their labels, `which` of each set."""
+    edges, todo = [], [(np.uint64(key), np.arange(len(sigs)), 0)]
+
+    def join(i: int, others: np.ndarray) -> None:
+        edges.extend((i, int(j)) for j in others if forest.join(int(which[i]), int(which[j])))
+
+    while todo:
+        key, own, depth = todo.pop()
+        labels, place = np.unique(which[own], return_inverse=True)
+        roots = np.array([forest.find(int(k)) for k in labels])[place]
+        names, counts = np.unique(roots, return_counts=True)
+        minor = own[roots != names[counts.argmax()]]
+        if len(minor) <= SMALL or depth == DEEPEST:
+            for i in minor.tolist():
+                like = (sigs[own] == sigs[i]).mean(axis=1)
+                near = np.flatnonzero(like >= LOOKS_SIMILAR)
+                join(i, own[near[np.argsort(-like[near], kind="stable")]])
+            continue
+        pivot = int(own[int(mix(np.array([key], np.uint64))[0] % np.uint64(len(own)))])
+        like = (sigs[own] == sigs[pivot]).mean(axis=1)
+        join(pivot, own[like >= NEAR_PIVOT])
+        rest = own[like < SAME_AS_PIVOT]
+        rows, keys = _children(np.full(len(rest), key, np.uint64), sigs[rest])
+        order = np.argsort(keys, kind="stable")
+        rows, keys = rest[rows[order]], keys[order]
+        first = np.flatnonzero(np.insert(keys[1:] != keys[:-1], 0, True))
+        todo += [(keys[i], rows[i:j], depth + 1) for i, j in zip(first, [*first[1:], len(keys)], strict=True) if j - i > 1]
+    return edges
+
+
 def _compare(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
     """Buckets or their parts to edges (g set) and to rows of the next level (key set)."""
     types = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
@@ -136,6 +177,11 @@ def _compare(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.Recor
         f, sigs, labels = group.column("f").to_pylist(), _matrix(group.column("sig")), group.column("label").to_numpy().copy()
         # of edges between the same labels one is enough
         known, which = np.unique(labels, return_inverse=True)
+        if group.column("local")[0].as_py():
+            edges = _follow(int(np.int64(group.column("key")[0].as_py()).view(np.uint64)), sigs, which, Forest(len(known)))
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*[(None, f[i], f[j], None) for i, j in edges], strict=True), types, strict=True)], ["key", "f", "g", "label"])
+            continue
         edges: list[tuple[float, int, int]] = []
         down = np.zeros(len(f), bool)
         minor = np.flatnonzero(group.column("minor").to_numpy(zero_copy_only=False))
@@ -176,7 +222,10 @@ def candidate_edges(sets: DataFrame, runs: int = RUNS, done: int = 0, groups: Da
         sizes = by_label.groupBy("key").agg(F.sum("n").alias("size"), F.max_by("label", "n").alias("major"), F.max("n").alias("majors"), F.min("h").alias("pivot"), F.count("*").alias("labels"))
         sizes = sizes.where("labels > 1").select("key", "size", "pivot", "major", (F.col("size") - F.col("majors")).alias("minors"))
         parts = F.ceil(F.col("size") / PART)
-        placed = rows.join(sizes, "key").withColumns({"is_pivot": F.col("h") == F.col("pivot"), "minor": F.col("label") != F.col("major")})
+        # a bucket may hold a third of all sets
+        salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("local", F.col("size") <= LOCAL)
+        placed = rows.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+        placed = placed.withColumns({"is_pivot": F.col("h") == F.col("pivot"), "minor": F.col("label") != F.col("major")})
         # what is compared with all others is in every part of a bucket
         everywhere = F.when(F.col("minors") <= SMALL, F.col("minor")).otherwise(F.col("is_pivot"))
         last, every = level == DEPTH - 1, F.sequence(F.lit(0).cast("long"), parts - 1)
@@ -186,6 +235,7 @@ def candidate_edges(sets: DataFrame, runs: int = RUNS, done: int = 0, groups: Da
             # nothing goes further down: blocks of what is left meet in pairs
             pairs = F.transform(every, lambda k: F.least(block, k) * parts + F.greatest(block, k))  # noqa: B023
             own = F.when(F.col("minors") <= SMALL, own).otherwise(pairs)
+        own = F.when(F.col("local"), F.array(F.lit(0).cast("long"))).otherwise(own)
         placed = placed.withColumn("part", F.explode(own)).drop("h", "pivot", "major", "size")
         out = placed.join(sets.select("f", "sig"), "f").repartition("key", "part").sortWithinPartitions("key", "part")
         out = keep(out.mapInArrow(lambda b, last=last: _compare(b, last), "key long, f binary, g binary, label long"), f"jaccard-{level}")
@@ -279,7 +329,7 @@ def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, similar: fl
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*own, strict=True)], ["f", "runs"])
 
     runs = texts.mapInArrow(run, "f binary, runs binary").dropDuplicates(["f"])
-    sizes = chosen.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    sizes = chosen.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_RUNS)).cast("long").alias("blocks"))
     rows = chosen.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("f"), F.col("blocks")))
     rows = rows.select("f", "copies", "n", F.xxhash64("component").alias("c"), "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
     rows = rows.join(runs, "f").select("f", "copies", "n", "runs", "c", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))

@@ -362,6 +362,7 @@ def test_jaccard_recall_where_texts_share_most_words(spark):
 
 def test_jaccard_last_level_compares_all_parts(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "DEPTH", 1)
+    monkeypatch.setattr(jaccard, "LOCAL", 0)
     signed = jaccard.signatures(spark.createDataFrame(half_alike(2500), "doc_id long, text string")).collect()
     sets = spark.createDataFrame([(r.f, r.sig) for r in signed], "f binary, sig binary")
     edges = {frozenset((bytes(r.a), bytes(r.b))) for r in jaccard.candidate_edges(sets, 1).collect()}
@@ -376,7 +377,9 @@ def test_jaccard_last_level_compares_all_parts(spark, monkeypatch):
 
 
 
-def test_jaccard_equals_brute_force(spark):
+@pytest.mark.parametrize("local", [8192, 100])
+def test_jaccard_equals_brute_force(spark, monkeypatch, local):
+    monkeypatch.setattr(jaccard, "LOCAL", local)
     rng = random.Random(7)
     fresh = lambda n: [f"{rng.randrange(10**5)}" for _ in range(n)]
     texts = {}
@@ -409,6 +412,20 @@ def test_jaccard_equals_brute_force(spark):
     assert got == {i: (find(i), links[i]) for i in texts}
 
 
+def test_jaccard_of_a_large_group_of_different_near_copies(spark):
+    rng = random.Random(11)
+    base = [f"{rng.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(3000):
+        t = list(base)
+        t[rng.randrange(400)] = f"own{i}"
+        rows.append((i, " ".join(t)))
+    rows += [(5000 + i, " ".join(f"{rng.randrange(10**6)}" for _ in range(100))) for i in range(500)]
+    got = jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.class_id, r.n_links) for r in got if r.doc_id < 3000} == {(0, 2999)}
+    assert all((r.class_id, r.n_links) == (r.doc_id, 0) for r in got if r.doc_id >= 3000)
+
+
 def test_jaccard_odd_rows(odd, nothing):
     got = jaccard.join_documents(odd).collect()
     assert len(got) == odd.count()
