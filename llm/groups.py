@@ -75,6 +75,22 @@ def spanning(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+#: A key is hot with more than this share of the rows; there are fewer than its inverse.
+HOT = 1 / 1000
+DEALT = 64
+
+
+def join_dealt(left: DataFrame, right: DataFrame, key: str, by: str, counts: DataFrame, total: int) -> DataFrame:
+    """left joined with right, which has a row a key at most; rows of hot keys are dealt to DEALT tasks by the column `by`.
+
+    counts: key and n, of left's rows, which are `total`. The hot keys are fewer than 1 / HOT, so they are broadcast."""
+    hot = F.broadcast(counts.where(F.col("n") > max(1000, total * HOT)).select(key, F.lit(True).alias("hot_")))
+    left = left.join(hot, key, "left").withColumn("deal_", F.when(F.col("hot_"), F.pmod(F.xxhash64(by), F.lit(DEALT))).otherwise(0).cast("int")).drop("hot_")
+    every = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(DEALT - 1))).otherwise(F.array(F.lit(0)))
+    right = right.join(hot, key, "left").withColumn("deal_", F.explode(every)).drop("hot_")
+    return left.join(right, [key, "deal_"]).drop("deal_")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node and component (its least node, as the nodes' order goes) of the edges a, b. Nodes should be hashes: then rounds are about the logarithm of the longest path.
 

@@ -264,14 +264,20 @@ def test_run_hashes_tell_runs_apart():
 def test_chains_maximise_the_score():
     rng = np.random.default_rng(2)
     for _ in range(30):
-        x, y = rng.integers(0, 60, 9), rng.integers(0, 60, 9)
-        x, y = np.unique(np.stack([x, y], 1), axis=0).T
+        x0, y0, n = rng.integers(0, 60, 9), rng.integers(0, 60, 9), rng.integers(0, 12, 9)
+        x1, y1, seeds = x0 + n, y0 + n, n // 3 + 1
 
-        def value(c, x=x, y=y):
-            return passages.SEED * len(c) - passages.GAP * (x[c[-1]] - x[c[0]] + y[c[-1]] - y[c[0]])
+        def value(c, x0=x0, y0=y0, x1=x1, y1=y1, seeds=seeds):
+            return passages.SEED * seeds[c].sum() - passages.GAP * (x1[c[-1]] - x0[c[0]] + y1[c[-1]] - y0[c[0]])
 
-        best = max(value(c) for n in range(1, len(x) + 1) for c in map(list, itertools.combinations(range(len(x)), n)) if all(x[i] < x[j] and y[i] < y[j] for i, j in zip(c, c[1:], strict=False)))
-        assert abs(value(passages.chains(x, y)[0]) - best) < 1e-9
+        order = np.argsort(x0, kind="stable").tolist()
+        best = max(value(c) for n in range(1, 10) for c in map(list, itertools.combinations(order, n)) if all(x1[i] < x0[j] and y1[i] < y0[j] for i, j in zip(c, c[1:], strict=False)))
+        assert abs(value(passages.chains(x0, y0, x1, y1, seeds)[0]) - best) < 1e-9
+
+
+def test_matches_join_seeds_on_a_diagonal():
+    x, y = np.array([30, 0, 4, 9, 200, 5, 4]), np.array([31, 1, 5, 10, 201, 50, 5])
+    assert [tuple(map(int, m)) for m in zip(*passages.matches(x, y), strict=True)] == [(5, 50, 5, 50, 1), (0, 1, 9, 10, 3), (30, 31, 30, 31, 1), (200, 201, 200, 201, 1)]
 
 
 def test_common_subsequence():
