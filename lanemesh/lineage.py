@@ -11,9 +11,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a written table in the folder all executors share (spark.checkpoint.dir, else one in the warehouse), read again: rounds neither recompute earlier ones nor lose them with an executor."""
+    """df as a written table in the folder all executors share (spark.checkpoint.dir; where all runs on one machine, one in the warehouse will do), read again: rounds neither recompute earlier ones nor lose them with an executor."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_rounds"
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_rounds"
     path = f"{folder}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))

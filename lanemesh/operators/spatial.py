@@ -72,25 +72,40 @@ def snap(points: DataFrame, nodes: DataFrame, metres: float = 100.0, key: str =
     return best.select(key, "b.node_id", "b.distance").where(F.col("distance") < metres)
 
 
+def _crossed(rows: DataFrame, dlon: float, dlat: float, side_x: float, side_y: float) -> DataFrame:
+    """rows (src_lon, src_lat, dst_lon, dst_lat) with each cell cx, cy that the segment, widened by dlon and dlat, can reach: per column of cells, those along the part of the segment that is near it."""
+    ax, ay, bx, by = (F.col(c) for c in ("src_lon", "src_lat", "dst_lon", "dst_lat"))
+    rows = rows.withColumn("cx", F.explode(F.sequence(geo.cell(F.least(ax, bx) - dlon, side_x), geo.cell(F.greatest(ax, bx) + dlon, side_x))))
+    share = lambda x: F.when(bx == ax, F.lit(0.0)).otherwise(geo.clamp01((x - ax) / (bx - ax)))
+    rows = rows.withColumns({"y1": ay + share(F.col("cx") * side_x - dlon) * (by - ay), "y2": F.when(bx == ax, by).otherwise(ay + share((F.col("cx") + 1) * side_x + dlon) * (by - ay))})
+    cells = F.sequence(geo.cell(F.least("y1", "y2") - dlat, side_y), geo.cell(F.greatest("y1", "y2") + dlat, side_y))
+    return rows.withColumn("cy", F.explode(cells)).drop("y1", "y2")
+
+
 def nearest_edges(points: DataFrame, graph: Graph, metres: float = 50.0, key: str = "point_id") -> DataFrame:
     """key, src, dst, distance, t, lat, lon of the projection on the nearest edge, taken straight between its nodes, up to so many metres away; ties to the least ord.
 
-    The projection is made in raw degrees, so an edge's box is widened by the cutoff and met by cells."""
+    The projection is made in raw degrees. Edges are laid out over the cells they cross; of the pairs that meet, those
+    whose projection is beyond the cutoff in latitude or longitude alone are dropped first, then each point's least
+    distance is found, and only the edges at that distance are looked at whole."""
     top = max(abs(x or 0.0) for x in graph.nodes.agg(F.min("lat"), F.max("lat")).first())
     dlat = metres / METRES_A_RADIAN_DEGREE * 1.001
     dlon = dlat / max(math.cos(math.radians(min(89.0, top + dlat))), 1e-3)
     at = lambda s: graph.nodes.select(F.col("id").alias(s), F.col("lat").alias(f"{s}_lat"), F.col("lon").alias(f"{s}_lon"))
-    rows = graph.edges.select("src", "dst", "ord").join(at("src"), "src").join(at("dst"), "dst")
-    cells = lambda lo, hi, d, side: F.sequence(geo.cell(F.least(lo, hi) - d, side), geo.cell(F.greatest(lo, hi) + d, side))
-    side_x, side_y = 8 * dlon, 8 * dlat
-    rows = rows.withColumn("cx", F.explode(cells(F.col("src_lon"), F.col("dst_lon"), dlon, side_x))).withColumn("cy", F.explode(cells(F.col("src_lat"), F.col("dst_lat"), dlat, side_y)))
-    here = points.select(key, F.col("lat").alias("plat"), F.col("lon").alias("plon"), geo.cell(F.col("lon"), side_x).alias("cx"), geo.cell(F.col("lat"), side_y).alias("cy"))
-    met = here.join(rows, ["cx", "cy"])
+    rows = cut(graph.edges.select("src", "dst", "ord").join(at("src"), "src").join(at("dst"), "dst"))
+    side_x, side_y = 2 * dlon, 2 * dlat
+    here = cut(points.select(key, F.col("lat").alias("plat"), F.col("lon").alias("plon"), geo.cell(F.col("lon"), side_x).alias("cx"), geo.cell(F.col("lat"), side_y).alias("cy")))
     t, x, y = geo.projection(F.col("plon"), F.col("plat"), F.col("src_lon"), F.col("src_lat"), F.col("dst_lon"), F.col("dst_lat"))
-    met = met.withColumns({"t": t, "lon": x, "lat": y}).withColumn("distance", geo.haversine(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))).where(F.col("distance") <= metres)
+    distance = geo.haversine(F.col("plat"), F.col("plon"), y, x)
+    # a small table of edges makes many pairs: every core takes some
+    rows = rows.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "dst")
+    met = _crossed(rows, dlon, dlat, side_x, side_y).join(here, ["cx", "cy"]).where((F.abs(F.col("plat") - y) <= dlat) & (F.abs(F.col("plon") - x) <= dlon))
+    least = cut(met.groupBy(key).agg(F.min(distance).alias("least")).where(F.col("least") <= metres))
+    tied = met.join(least, key).where(distance == F.col("least")).groupBy(key).agg(F.min(F.struct("ord", "src", "dst")).alias("e"))
+    found = cut(tied.select(key, "e.ord", "e.src", "e.dst")).join(here.drop("cx", "cy"), key).join(at("src"), "src").join(at("dst"), "dst")
+    found = found.select(key, "src", "dst", distance.alias("distance"), t.alias("t"), y.alias("lat"), x.alias("lon"), *(f"{s}_{c}" for s in ("src", "dst") for c in ("lat", "lon")))
     legs = [geo.haversine(F.col("lat"), F.col("lon"), F.col(f"{s}_lat"), F.col(f"{s}_lon")).alias(f"{s}_dist") for s in ("src", "dst")]
-    best = met.groupBy(key).agg(F.min_by(F.struct("src", "dst", "distance", "t", "lat", "lon", *legs), F.struct("distance", "ord")).alias("b"))
-    return best.select(key, "b.*")
+    return found.select(key, "src", "dst", "distance", "t", "lat", "lon", *legs)
 
 
 def virtual_nodes(points: DataFrame, graph: Graph, metres: float = 50.0, key: str = "point_id") -> DataFrame:
