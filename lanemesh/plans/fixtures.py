@@ -11,6 +11,7 @@ from lanemesh.schemas import OsmData
 # Road classes by way number; the last four are not roads.
 HIGHWAYS = ["motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "residential", "living_street", "unclassified", "service", "footway", "construction", "busway", ""]
 SOUTH, WEST = 20.985, 105.855
+WAY_NODES = 6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,10 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ways(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").where("l_orderkey % 15 = 0")
-    order = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
-    out = rows.groupBy((F.expr("l_orderkey div 15") + 1).alias("id")).agg(F.transform(order, lambda x: x["l_partkey"] + 1).alias("nodes"))
+    """Each WAY_NODES events in a row are a way; an event's node is dealt by its user."""
+    node = (F.col("user_id") * 31 + F.col("event_id") * 17) % table(spark, d, "part").count() + 1
+    order = F.array_sort(F.collect_list(F.struct("event_id", node.alias("node"))))
+    out = table(spark, d, "events").groupBy((F.expr(f"event_id div {WAY_NODES}") + 1).alias("id")).agg(F.transform(order, lambda x: x["node"]).alias("nodes"))
     highway = F.element_at(F.array(*map(F.lit, HIGHWAYS)), (F.col("id") % 18 + 1).cast("int"))
     oneway = F.when(F.col("id") % 7 == 1, "yes").when(F.col("id") % 7 == 2, "-1")
     name = F.when(F.col("id") % 5 != 0, F.concat(F.lit("Street "), (F.col("id") % 97).cast("string")))
@@ -77,18 +79,18 @@ def zone_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Addresses made of the beginnings of documents."""
+    """The texts of documents as addresses."""
     rank = F.element_at(F.array(F.lit(50.0), F.lit(80.0), F.lit(100.0)), (F.col("doc_id") % 3 + 1).cast("int"))
     null = F.lit(None).cast("string")
-    return table(spark, d, "documents").select((F.col("doc_id") + 1).alias("id"), (F.col("doc_id") + 1).alias("node_id"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.substring("text", 1, 80).alias("address"), null.alias("house_number"), null.alias("street_name"), F.lit("poi").alias("address_type"), rank.alias("rank_score"))
+    return table(spark, d, "documents").select((F.col("doc_id") + 1).alias("id"), (F.col("doc_id") + 1).alias("node_id"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.col("text").alias("address"), null.alias("house_number"), null.alias("street_name"), F.lit("poi").alias("address_type"), rank.alias("rank_score"))
 
 
 def corpus_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Queries for the corpus: two words, the second cut to three letters, of every 20th document; and single words of others."""
-    docs = table(spark, d, "documents").where("doc_id % 20 < 2")
-    words = F.split(F.substring("text", 1, 80), r"\s+")
+    """Queries for the corpus, of each document whose id 50 divides: its first two words, the second cut to three letters, or its second word."""
+    docs = table(spark, d, "documents").where("doc_id % 50 = 0")
+    words = F.split("text", r"\s+")
     two = F.concat_ws(" ", F.get(words, F.lit(0)), F.substring(F.get(words, F.lit(1)), 1, 3))
-    return docs.select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 20 == 0, two).otherwise(F.get(words, F.lit(1))).alias("query"))
+    return docs.select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 100 == 0, two).otherwise(F.get(words, F.lit(1))).alias("query"))
 
 
 def clean_rows(df: DataFrame, key: str) -> DataFrame:
@@ -97,7 +99,7 @@ def clean_rows(df: DataFrame, key: str) -> DataFrame:
 
 # The same in DuckDB SQL, as common table expressions.
 
-_WAY_NODES = "fx_way_nodes AS (SELECT l_orderkey // 15 + 1 AS way_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS BIGINT) AS pos, l_partkey + 1 AS node_id FROM lineitem WHERE l_orderkey % 15 = 0)"
+_WAY_NODES = f"fx_way_nodes AS (SELECT event_id // {WAY_NODES} + 1 AS way_id, event_id % {WAY_NODES} AS pos, (user_id * 31 + event_id * 17) % parts + 1 AS node_id FROM events, (SELECT count(*) AS parts FROM part))"
 _HIGHWAY_LIST = "[" + ", ".join(f"'{h}'" for h in HIGHWAYS) + "]"
 _WAYS = f"fx_ways AS (SELECT DISTINCT way_id, {_HIGHWAY_LIST}[way_id % 18 + 1] AS highway, CASE WHEN way_id % 7 = 1 THEN 'yes' WHEN way_id % 7 = 2 THEN '-1' END AS oneway, CASE WHEN way_id % 5 <> 0 THEN 'Street ' || CAST(way_id % 97 AS VARCHAR) END AS name FROM fx_way_nodes)"
 _NODES = "fx_nodes AS (SELECT p_partkey + 1 AS id, 20.985::DOUBLE + ((p_partkey * 7919) % 3001) / 100000.0::DOUBLE AS lat, 105.855::DOUBLE + ((p_partkey * 104729) % 4001) / 100000.0::DOUBLE AS lon FROM part)"

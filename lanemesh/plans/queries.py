@@ -232,10 +232,11 @@ def sssp_with_overlay(spark, d):
 
 
 def requests(spark: SparkSession, d: str, g: Graph) -> DataFrame:
-    """request_id, start, goal: for each of 20 requests, nodes of the component by their place among its ids."""
+    """request_id, start, goal: for each nation, nodes of the component by their place among its ids."""
     places = geocode.numbered(g.nodes.select(F.col("id").alias("node")), ["node"]).select(F.col("id").alias("place"), "node")
     n = g.nodes.count()
-    asked = fx.table(spark, d, "events").where("event_id < 20").select(F.col("event_id").alias("request_id"), (F.col("event_id") * 37 % n + 1).alias("a"), (F.col("user_id") * 13 % n + 1).alias("b"))
+    k = F.col("n_nationkey").cast("long")
+    asked = fx.table(spark, d, "nation").select(k.alias("request_id"), (k * 37 % n + 1).alias("a"), ((k * 1013 + 7) % n + 1).alias("b"))
     return asked.join(places.withColumnsRenamed({"place": "a", "node": "start"}), "a").join(places.withColumnsRenamed({"place": "b", "node": "goal"}), "b").select("request_id", "start", "goal")
 
 
@@ -243,7 +244,7 @@ _ROUTES_SQL = fx.sql(
     [
         *fx.COMPONENT,
         "ranked AS (SELECT id, row_number() OVER (ORDER BY id) AS place, count(*) OVER () AS n FROM lscc)",
-        "req AS MATERIALIZED (SELECT e.event_id AS request_id, s.id AS start, t.id AS goal FROM events e JOIN (SELECT max(n) AS n FROM ranked) k ON true JOIN ranked s ON s.place = e.event_id * 37 % k.n + 1 JOIN ranked t ON t.place = e.user_id * 13 % k.n + 1 WHERE e.event_id < 20)",
+        "req AS MATERIALIZED (SELECT e.i AS request_id, s.id AS start, t.id AS goal FROM (SELECT CAST(n_nationkey AS BIGINT) AS i FROM nation) e JOIN (SELECT max(n) AS n FROM ranked) k ON true JOIN ranked s ON s.place = e.i * 37 % k.n + 1 JOIN ranked t ON t.place = (e.i * 1013 + 7) % k.n + 1)",
         "w AS MATERIALIZED (SELECT src, dst, min(length * c_highway * normal) AS weight FROM lscc_edges WHERE src <> dst GROUP BY src, dst)",
         "d(rid, node, cost) USING KEY (rid, node) AS (SELECT request_id, start, 0.0::DOUBLE FROM req UNION SELECT d.rid, w.dst, min(d.cost + w.weight) FROM d JOIN w ON w.src = d.node LEFT JOIN recurring.d r ON r.rid = d.rid AND r.node = w.dst WHERE d.cost + w.weight < coalesce(r.cost, 1e300) GROUP BY d.rid, w.dst)",
     ],
@@ -447,9 +448,9 @@ def address_stats(spark, d):
 
 _FOLD = r"list_filter(regexp_split_to_array(strip_accents(lower({0})), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _CORPUS = [
-    f"corp AS MATERIALIZED (SELECT doc_id + 1 AS id, [50, 80, 100][doc_id % 3 + 1]::DOUBLE AS rank_score, {_FOLD.format('substr(text, 1, 80)')} AS tok FROM documents)",
-    r"""qs AS MATERIALIZED (SELECT doc_id AS query_id, """ + _FOLD.format(r"CASE WHEN doc_id % 20 = 0 THEN w[1] || ' ' || substr(w[2], 1, 3) ELSE w[2] END") + r""" AS q FROM (SELECT doc_id, regexp_split_to_array(substr(text, 1, 80), '\s+') AS w FROM documents WHERE doc_id % 20 < 2))""",
-    "pairs AS MATERIALIZED (SELECT query_id, id, rank_score, len(tok) AS len, len(list_filter(range(1, len(tok) - len(q) + 2), lambda i: list_slice(tok, i, i + len(q) - 2) = list_slice(q, 1, len(q) - 1) AND starts_with(tok[i + len(q) - 1], q[len(q)]))) AS hits FROM qs, corp WHERE len(q) > 0)",
+    f"corp AS MATERIALIZED (SELECT doc_id + 1 AS id, [50, 80, 100][doc_id % 3 + 1]::DOUBLE AS rank_score, {_FOLD.format('text')} AS tok FROM documents)",
+    r"""qs AS MATERIALIZED (SELECT doc_id AS query_id, """ + _FOLD.format(r"CASE WHEN doc_id % 100 = 0 THEN w[1] || ' ' || substr(w[2], 1, 3) ELSE w[2] END") + r""" AS q FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS w FROM documents WHERE doc_id % 50 = 0))""",
+    "pairs AS MATERIALIZED (SELECT query_id, id, rank_score, len(tok) AS len, CASE WHEN len(q) = 1 THEN len(list_filter(tok, lambda t: starts_with(t, q[1]))) WHEN NOT list_contains(tok, q[1]) THEN 0 ELSE len(list_filter(range(1, len(tok) - len(q) + 2), lambda i: list_slice(tok, i, i + len(q) - 2) = list_slice(q, 1, len(q) - 1) AND starts_with(tok[i + len(q) - 1], q[len(q)]))) END AS hits FROM qs, corp WHERE len(q) > 0)",
     "found AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS df FROM pairs WHERE hits > 0)",
     "stat AS (SELECT count(*)::DOUBLE AS n, avg(len(tok)) AS mean FROM corp)",
     "scored AS (SELECT query_id, id, hits, rank_score, greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001) * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * len / mean)) AS relevance FROM found, stat)",
@@ -512,9 +513,9 @@ def interpolate_house(spark, d):
     return geocode.interpolate(rows, asked).select("query_id", F.round("lat", 6).alias("lat"), "method")
 
 
-@query(fx.sql([*fx.COMPONENT, "p AS (SELECT event_id AS point_id, event_id % 2 AS kind, event_id * 31 + 1 AS node, 20.985::DOUBLE + ((event_id * 331) % 3001) / 100000.0::DOUBLE AS lat, 105.855::DOUBLE + ((event_id * 577) % 4001) / 100000.0::DOUBLE AS lon FROM events WHERE event_id < 50)"], "SELECT point_id, id AS node_id, 'node_id' AS input_type, CASE WHEN id IS NULL THEN 'unknown node' END AS error FROM p LEFT JOIN lscc ON id = node WHERE kind = 0 UNION ALL SELECT point_id, node_id, 'coordinates', NULL FROM (SELECT p.point_id, n.id AS node_id, row_number() OVER (PARTITION BY p.point_id ORDER BY sqrt((p.lat - n.lat) * (p.lat - n.lat) + (p.lon - n.lon) * (p.lon - n.lon)), n.id) AS rn FROM p, fx_nodes n WHERE p.kind = 1 AND n.id IN (SELECT id FROM lscc)) WHERE rn = 1"))
+@query(fx.sql([*fx.COMPONENT, "p AS (SELECT s_suppkey AS point_id, s_suppkey % 2 AS kind, s_suppkey * 31 + 1 AS node, 20.985::DOUBLE + ((s_suppkey * 331) % 3001) / 100000.0::DOUBLE AS lat, 105.855::DOUBLE + ((s_suppkey * 577) % 4001) / 100000.0::DOUBLE AS lon FROM supplier)"], "SELECT point_id, id AS node_id, 'node_id' AS input_type, CASE WHEN id IS NULL THEN 'unknown node' END AS error FROM p LEFT JOIN lscc ON id = node WHERE kind = 0 UNION ALL SELECT point_id, node_id, 'coordinates', NULL FROM (SELECT p.point_id, n.id AS node_id, row_number() OVER (PARTITION BY p.point_id ORDER BY sqrt((p.lat - n.lat) * (p.lat - n.lat) + (p.lon - n.lon) * (p.lon - n.lon)), n.id) AS rn FROM p, fx_nodes n WHERE p.kind = 1 AND n.id IN (SELECT id FROM lscc)) WHERE rn = 1"))
 def resolve_points(spark, d):
-    e = F.col("event_id")
-    points = fx.table(spark, d, "events").where("event_id < 50").select(e.alias("point_id"), F.when(e % 2 == 0, "node").otherwise("coords").alias("kind"), (e * 31 + 1).alias("node"), (F.lit(fx.SOUTH) + ((e * 331) % 3001) / 100000.0).alias("lat"), (F.lit(fx.WEST) + ((e * 577) % 4001) / 100000.0).alias("lon"), F.lit(None).cast("string").alias("address"))
+    e = F.col("s_suppkey")
+    points = fx.table(spark, d, "supplier").select(e.alias("point_id"), F.when(e % 2 == 0, "node").otherwise("coords").alias("kind"), (e * 31 + 1).alias("node"), (F.lit(fx.SOUTH) + ((e * 331) % 3001) / 100000.0).alias("lat"), (F.lit(fx.WEST) + ((e * 577) % 4001) / 100000.0).alias("lon"), F.lit(None).cast("string").alias("address"))
     out = geocode.resolve(points, component(spark, d), spark.createDataFrame([], "id long, node_id long, lat double, lon double, address string, house_number string, street_name string, address_type string, rank_score double"))
     return out.select("point_id", "node_id", "input_type", "error")
