@@ -35,16 +35,21 @@ UNPLACED = 4096
 PAGES_A_FILE = 256
 
 
+def digests(records: DataFrame, *columns: str) -> DataFrame:
+    """These columns of records with length and hash of their payloads."""
+    payload = F.col("payload").cast("binary")
+    return records.select(*columns, F.coalesce(F.length(payload), F.lit(-1)).cast("long").alias("length"), F.when(payload.isNull(), F.lit("null")).otherwise(F.sha2(payload, 256)).alias("hash"))
+
+
+def counted(records: DataFrame) -> DataFrame:
+    """file_no, offset, length, hash and copies of each different record, given the first four."""
+    at = [F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in ("file_no", "offset")]
+    return records.groupBy(*at, "length", "hash").agg(F.count("*").alias("copies"))
+
+
 def hashed(records: DataFrame) -> DataFrame:
     """file_no, offset, length, hash and copies of each different record. file_no numbers the files by a column of that name."""
-    payload = F.col("payload").cast("binary")
-    out = records.select(
-        F.coalesce(F.col("file_no").cast("long"), F.lit(-1)).alias("file_no"),
-        F.coalesce(F.col("offset").cast("long"), F.lit(-1)).alias("offset"),
-        F.coalesce(F.length(payload), F.lit(-1)).cast("long").alias("length"),
-        F.when(payload.isNull(), F.lit("null")).otherwise(F.sha2(payload, 256)).alias("hash"),
-    )
-    return out.groupBy("file_no", "offset", "length", "hash").agg(F.count("*").alias("copies"))
+    return counted(digests(records, "file_no", "offset"))
 
 
 def _place(range_bytes: int) -> Column:
@@ -151,8 +156,8 @@ def _local_offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(local), pa.array(sizes)], ["page_id", "file_no", "payload", "pid", "local", "length"])
 
 
-def pages_archive(pages: DataFrame) -> DataFrame:
-    """A written replica of the pages' records: page_id, file_no, offset, payload; in a file by id and hash.
+def pages_archive(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A written replica of the pages' records, in a file by id and hash: page_id, file_no, payload, pid, local (offset in that part of the file), length; and the offset at which each part (file_no, pid) begins.
 
     Records are sorted by range and offsets summed in two steps, within and over the partitions a file
     lies in: rows of one id, and equal rows, are dealt out like others."""
@@ -164,7 +169,12 @@ def pages_archive(pages: DataFrame) -> DataFrame:
     sums = rows.groupBy("file_no", "pid").agg(F.sum("length").alias("bytes"))
     earlier = W.partitionBy("file_no").orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
     begins = sums.select("file_no", "pid", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("begin"))
-    return rows.join(begins, ["file_no", "pid"]).select("page_id", "file_no", (F.col("begin") + F.col("local")).alias("offset"), "payload")
+    return rows, begins
+
+
+def placed(rows: DataFrame, begins: DataFrame) -> DataFrame:
+    """rows with their offset in the file."""
+    return rows.join(begins, ["file_no", "pid"]).withColumn("offset", F.col("begin") + F.col("local")).drop("begin", "local", "pid")
 
 
 def damaged(records: DataFrame) -> DataFrame:
@@ -177,10 +187,12 @@ def damaged(records: DataFrame) -> DataFrame:
 
 def audit_pages(pages: DataFrame) -> DataFrame:
     """The audit of the pages' archive against a second one, written with the damage that damaged() makes; with page_id. Both are read back and hashed."""
-    first = pages_archive(pages)
-    second = keep(damaged(first).select("file_no", "offset", "payload"), "merkle-second", "zstd")
-    found = audit(first, second)
-    return found.join(first.select("file_no", "offset", "page_id"), ["file_no", "offset"], "left").select("page_id", "file_no", "offset", "length", "status", "expected", "found")
+    first, begins = pages_archive(pages)
+    second = keep(damaged(first).select("file_no", "pid", "local", "payload"), "merkle-second", "zstd")
+    # payloads are hashed where they are read: what is joined and shuffled is slim
+    a, b = (keep(counted(placed(digests(x, "file_no", "pid", "local"), begins)), f"merkle-{n}") for x, n in ((first, "a"), (second, "b")))
+    pages_at = placed(first.select("file_no", "pid", "local", "page_id"), begins)
+    return audit_hashed(a, b).join(pages_at, ["file_no", "offset"], "left").select("page_id", "file_no", "offset", "length", "status", "expected", "found")
 
 
 PAGES_SQL = r"""

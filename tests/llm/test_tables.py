@@ -64,7 +64,7 @@ def test_merkle_odd_rows(spark):
     assert {r.status for r in merkle.audit(a, a.limit(0)).collect()} == {"missing"}
     pages = spark.createDataFrame([(None, None, None, 1), (1, "u", None, 2), (1, "u", None, 2), (2, None, "h", 3)], "page_id long, url string, html string, offset int")
     assert merkle.audit_pages(pages).count() == 0
-    placed = merkle.pages_archive(pages.union(pages)).collect()
+    placed = merkle.placed(*merkle.pages_archive(pages.union(pages))).collect()
     by_file = collections.defaultdict(list)
     for r in placed:
         by_file[r.file_no].append((r.offset, len(r.payload)))
