@@ -519,3 +519,22 @@ def test_pipeline(spark, small):
     out = corpus_pipeline.run(spark, small).collect()
     assert out and all(len(r.token_ids) == r.n_tokens for r in out)
     assert hashlib.sha256(b"").hexdigest() not in {r.ids_sha256 for r in out}
+
+
+def test_pipeline_odd_rows(spark, odd, nothing, tmp_path):
+    import corpus_pipeline
+
+    clash = odd.withColumns({c: F.lit(c) for c in ("row", "row_", "again_", "drop_", "t_", "label_")})
+    labels = spark.createDataFrame([(1, 1), (5, 1), (6, 1), (9, 1), (4, 0), (None, 0), (7, None)], "doc_id long, quality int")
+    for name, docs in (("odd", clash), ("nothing", nothing)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        now = table(spark, f"{tmp_path}/{name}", "documents")
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            now = run(spark, now, f"{tmp_path}/{name}")
+            assert now.columns == docs.columns, stage
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len(out) == now.count() and (out or name == "nothing")
+        assert all(len(r.token_ids) == r.n_tokens for r in out)
+        texts = {r.text for r in now.collect()}
+        assert not any("hunter2" in (t or "") for t in texts)
