@@ -1,6 +1,7 @@
 """Operators over whole tables, against brute force."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -146,54 +147,66 @@ def test_quality_odd_rows(spark, odd, nothing):
 # Katz
 
 
-def katz_brute(rows):
-    texts = [(i, [*words(t), "$"]) for i, t in rows]
+def katz_brute(rows, order):
+    texts = [(i, ["^"] * (order - 1) + [*words(t), "$"]) for i, t in rows]
     fold = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7
     train = [w for i, w in texts if i is not None and fold(i) != 2]
-    one = collections.Counter(w for t in train for w in t)
-    two = collections.Counter(p for t in train for p in zip(["^", *t], t, strict=False))
+    grams = lambda t, k: [tuple(t[j - k + 1 : j + 1]) for j in range(order - 1, len(t))]
+    count = [None] + [collections.Counter(g for t in train for g in grams(t, k)) for k in range(1, order + 1)]
     numbers = lambda c: [sum(v == r for v in c.values()) for r in range(1, 7)] + [len(c), sum(c.values())]
-    m = katz.Model({1: numbers(one), 2: numbers(two)}, len(train))
-    p1 = lambda w: float(m.unigram(np.array([one[w]]))[0])
-    kept = lambda c: float(m.kept(np.array([c]))[0])
-    context = lambda v: len(train) if v == "^" else one[v]
-    follow = collections.defaultdict(list)
-    for (v, w), c in two.items():
-        follow[v].append((w, c))
-
-    def alpha(v):
-        if not context(v):
+    m = katz.Model({k: numbers(count[k]) for k in range(1, order + 1)}, len(train), order)
+    kept = lambda g: float(m.kept(len(g), np.array([count[len(g)][g]]))[0])
+    seen_after = lambda c: len(train) if c == ("^",) * len(c) else count[len(c)][c]
+    follow = collections.defaultdict(set)
+    for k in range(2, order + 1):
+        for g in count[k]:
+            follow[g[:-1]].add(g[-1:])
+
+    @functools.cache
+    def p(g):
+        if len(g) == 1:
+            return float(m.unigram(np.array([count[1][g]]))[0])
+        return kept(g) / seen_after(g[:-1]) if count[len(g)][g] else alpha(g[:-1]) * p(g[1:])
+
+    @functools.cache
+    def alpha(c):
+        if not seen_after(c):
             return 1.0
-        return (1 - sum(kept(c) for _, c in follow[v]) / context(v)) / (1 - sum(p1(w) for w, _ in follow[v]))
+        return (1 - sum(kept(c + w) for w in follow[c]) / seen_after(c)) / (1 - sum(p(c[1:] + w) for w in follow[c]))
 
     out = []
     for i, t in texts:
-        base = sum(math.log10((one[w] + 1) / (m.total + m.vocabulary + 1)) for w in t)
-        score = sum(math.log10(kept(two[v, w]) / context(v) if two[v, w] else alpha(v) * p1(w)) for v, w in zip(["^", *t], t, strict=False))
-        out.append((i, i is not None and fold(i) == 2, len(t), sum(one[w] > 0 for w in t), m.total, round(base, 5), round(score, 5)))
-    return out, m, one, two, follow, alpha, p1, kept, context
+        ends = grams(t, 1)
+        base = sum(math.log10((count[1][w] + 1) / (m.total + m.vocabulary + 1)) for w in ends)
+        score = sum(math.log10(p(g)) for g in grams(t, order))
+        out.append((i, i is not None and fold(i) == 2, len(ends), sum(count[1][w] > 0 for w in ends), m.total, round(base, 5), round(score, 5)))
+    return out, m, count, follow, p
 
 
-@pytest.mark.parametrize("chunk", [400, 10**6])
-def test_katz_equals_brute_force(spark, small, odd, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "order"), [(400, 3), (10**6, 3), (400, 2), (900, 4), (900, 1)])
+def test_katz_equals_brute_force(spark, small, odd, monkeypatch, chunk, order):
     monkeypatch.setattr(katz, "CHUNK", chunk)
     docs = table(spark, small, "documents").select("doc_id", "text").limit(80).union(odd.where("doc_id is null or doc_id != 5").select("doc_id", "text"))
     rows = [tuple(r) for r in docs.collect()]
-    expected, *_ = katz_brute(rows)
-    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in katz.score_documents(docs).collect()]
-    key = lambda r: (r[0] is None, r)
-    assert sorted(got, key=str) == sorted(expected, key=str), key
+    expected, *_ = katz_brute(rows, order)
+    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in katz.score_documents(docs, order).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_katz_partitions_grow_with_the_tokens(spark, small, monkeypatch):
+    docs = table(spark, small, "documents").select("doc_id", "text").limit(40)
+    before = sorted(katz.score_documents(docs).collect())
+    monkeypatch.setattr(katz, "PART_TOKENS", 50)
+    for a, b in zip(before, sorted(katz.score_documents(docs).collect()), strict=True):
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-12)
 
 
 def test_katz_weights_sum_to_one(spark, small):
     rows = [tuple(r) for r in table(spark, small, "documents").select("doc_id", "text").limit(60).collect()]
-    _, m, one, two, follow, alpha, p1, kept, context = katz_brute(rows)
-    total = sum(p1(w) for w in one) + m.unseen
-    assert abs(total - 1) < 1e-9
-    for v in ["^", *list(follow)[:30]]:
-        seen = sum(kept(c) for _, c in follow[v]) / context(v)
-        others = sum(p1(w) for w in one if (v, w) not in two) + m.unseen
-        assert abs(seen + alpha(v) * others - 1) < 1e-9
+    _, m, count, follow, p = katz_brute(rows, 3)
+    assert abs(sum(p(w) for w in count[1]) + m.unseen - 1) < 1e-9
+    for c in [("^", "^"), ("^",), *list(follow)[:15], *list(follow)[-15:]]:
+        assert abs(sum(p(c + w) for w in count[1]) + p((*c, "never seen")) - 1) < 1e-9
 
 
 def test_katz_odd_rows(spark, odd, nothing):
