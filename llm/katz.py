@@ -120,21 +120,22 @@ class Level:
 
 
 class Chunk:
-    """A chunk's documents and the levels 1 to `order` of its n-grams; `first` is the first token of each document, `learned` marks the tokens of training documents."""
+    """A chunk's documents and the levels 1 to `order` of its n-grams, or the last alone; `first` is the first token of each document, `learned` marks the tokens of training documents."""
 
-    def __init__(self, row: dict, order: int):
+    def __init__(self, row: dict, order: int, last: bool = False):
         self.number, self.ids = row["chunk"], row["doc_id"]
         self.train, self.held, self.lengths = unpack(row["train"], np.uint8).astype(bool), unpack(row["held"], np.uint8).astype(bool), unpack(row["lengths"], np.uint32).astype(np.int64)
         words = unpack_sorted(row["vocab"])[_by_count(unpack(row["counts"], np.uint32))][unpack(row["tokens"], np.uint32)]
         self.first = np.cumsum(self.lengths) - self.lengths
         self.learned = np.repeat(self.train, self.lengths)
-        self.levels, hashes, self.begin = [Level(words)], words, [np.array([BEGIN])]
-        for _ in range(order - 1):
+        self.levels, hashes, self.begin = [], words, [np.array([BEGIN])]
+        for k in range(1, order + 1):
+            if k == order or not last:
+                self.levels.append(Level(hashes))
             before = np.empty_like(hashes)
             before[1:] = hashes[:-1]
             before[self.first] = self.begin[-1]
             hashes = mix(before * np.uint64(3) + words)
-            self.levels.append(Level(hashes))
             self.begin.append(mix(self.begin[-1] * np.uint64(3) + BEGIN))
 
     def contexts(self, k: int) -> np.ndarray:
@@ -150,21 +151,22 @@ def _borders(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
 
 
-def _asks(state: DataFrame, parts: int, order: int) -> DataFrame:
+def _asks(state: DataFrame, parts: int, k: int) -> DataFrame:
+    """What the chunks ask each partition about their n-grams of k words."""
     names = ["part", "level", "chunk", "keys", "counts", "wants"]
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                chunk = Chunk(row, order)
-                for k, level in enumerate(chunk.levels, 1):
-                    counts = np.bincount(level.at[chunk.learned], minlength=len(level.keys)).astype(np.uint32)
-                    wants = np.bincount(level.at[~chunk.learned], minlength=len(level.keys)) > 0
-                    at = _borders(level.keys, parts)
-                    rows = [(p, k, chunk.number, pack_sorted(level.keys[i:j]), pack(counts[i:j]), pack(np.packbits(wants[i:j]))) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i]
-                    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                chunk = Chunk(row, k, last=True)
+                level = chunk.levels[-1]
+                counts = np.bincount(level.at[chunk.learned], minlength=len(level.keys)).astype(np.uint32)
+                wants = np.bincount(level.at[~chunk.learned], minlength=len(level.keys)) > 0
+                at = _borders(level.keys, parts)
+                rows = [(p, k, chunk.number, pack_sorted(level.keys[i:j]), pack(counts[i:j]), pack(np.packbits(wants[i:j]))) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i]
+                types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return state.mapInArrow(run, "part int, level int, chunk long, keys binary, counts binary, wants binary")
 
@@ -375,8 +377,12 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     state = keep(rows.mapInArrow(_chunks, STATE), "katz-state")
     tokens = state.agg(F.sum("size")).first()[0] or 0
     parts = max(PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_TOKENS))
-    asks = _asks(state, parts, order).repartition("part", "level").sortWithinPartitions("part", "level", "chunk")
-    answers = keep(asks.mapInArrow(_answers, ANSWER), "katz-answers")
+    answers = None
+    for k in range(1, order + 1):
+        # a level at a time, so that only one level's questions are on disk
+        asks = _asks(state, parts, k).repartition("part").sortWithinPartitions("part", "level", "chunk")
+        level = keep(asks.mapInArrow(_answers, ANSWER), f"katz-answers-{k}")
+        answers = level if answers is None else answers.union(level)
     sums = answers.where("chunk < 0").groupBy("level").agg(*(F.sum(F.col("numbers")[i]).alias(f"n{i}") for i in range(DISCOUNTED + 3))).collect()
     texts = rows.select("train").where("train").count()
     model = Model({r["level"]: [int(r[f"n{i}"]) for i in range(DISCOUNTED + 3)] for r in sums}, texts, order)

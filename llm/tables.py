@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting to remove the shuffle files of a query when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -24,10 +27,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """The rows of df as a written table: lineage is cut, and losing an executor loses nothing. Removed as the session ends."""
+    """The rows of df as a written table: lineage is cut, and losing an executor loses nothing. Removed as the session ends.
+
+    Once the table is written its shuffles serve nothing, so Spark removes their files at the end of the write."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
