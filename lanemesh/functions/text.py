@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,29 +68,59 @@ def street_of(text: Column) -> Column:
     return F.when(rest != "", F.trim(rest)).otherwise(F.trim(text))
 
 
-def _ratio(a: str, b: str) -> float:
-    """100 * 2 * longest common subsequence / (length of both)."""
-    if not a and not b:
-        return 100.0
+def grams(text: Column, n: int = 3) -> Column:
+    """Distinct runs of n characters."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.expr("array()").cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
+
+
+def like_grams(query: Column) -> Column:
+    """Runs of three characters that every text holds which contains_like() finds: those between the pattern's wildcards and escapes."""
+    parts = F.split(ascii_lower(F.replace(query, F.lit("'"), F.lit("''"))), r"[%_\\]+")
+    return F.array_distinct(F.flatten(F.transform(parts, lambda part: grams(part))))
+
+
+def _masks(text: str) -> dict[str, int]:
+    """For each character, the bits of its places in the text."""
     masks: dict[str, int] = {}
-    for i, c in enumerate(a):
+    for i, c in enumerate(text):
         masks[c] = masks.get(c, 0) | 1 << i
-    every = (1 << len(a)) - 1
+    return masks
+
+
+def _common(masks: dict[str, int], n: int, window: str) -> int:
+    """Length of the longest common subsequence of a text of n characters, given by its masks, and a window."""
+    every = (1 << n) - 1
     row = every
-    for c in b:
+    for c in window:
         hit = row & masks.get(c, 0)
         row = ((row + hit) | (row - hit)) & every
-    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
+    return n - row.bit_count()
 
 
 def partial_ratio_of(a: str | None, b: str | None) -> float:
-    """The best ratio of the shorter text with a window of the longer, of its length, or shorter at either end."""
+    """The best ratio, 100 * 2 * longest common subsequence / (length of both), of the shorter text with a window of the longer, of its length, or shorter at either end."""
     short, long = sorted((a or "", b or ""), key=len)
     if not short:
         return 0.0 if long else 100.0
-    n = len(short)
+    n, masks = len(short), _masks(short)
     windows = {long[max(0, i) : i + n] for i in range(1 - n, len(long))}
-    return max((_ratio(short, w) for w in windows if w), default=0.0)
+    return max(200.0 * _common(masks, n, w) / (n + len(w)) for w in windows)
+
+
+def character_counts(texts: list[str], kinds: int = 64) -> np.ndarray:
+    """Counts of code points, by their remainder of `kinds`, of each text."""
+    out = np.zeros((len(texts), kinds), dtype=np.int32)
+    for i, t in enumerate(texts):
+        np.add.at(out[i], np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % kinds, 1)
+    return out
+
+
+def may_exceed(ask: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of counts can have a partial ratio above `least` with the text of counts `ask`: no common subsequence is longer than what both have of each character, and no window is shorter than it."""
+    shared = np.minimum(counts, ask).sum(axis=1)
+    short = np.minimum(counts.sum(axis=1), ask.sum())
+    return 200.0 * shared > least * (short + shared)
 
 
 @F.pandas_udf(DoubleType())

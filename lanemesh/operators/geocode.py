@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ STREET, HOUSE, POI = 100.0, 50.0, 80.0
 SNAP_METRES = 100.0
 EXACT_SCORE = 80.0
 LEAST_QUERY = 2
+LONGEST_HEAD = 4
+QUERY_BLOCK, ADDRESS_BLOCK = 128, 4096
 
 
 def streets(data: OsmData, graph_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,27 +85,67 @@ def address_stats(addresses: DataFrame) -> DataFrame:
 
 
 def indexed(addresses: DataFrame) -> DataFrame:
-    """addresses with their tokens."""
+    """addresses with their tokens: written once, this is the index that search() reads."""
     return addresses.withColumn("tokens", text.tokens(F.col("address")))
 
 
-def postings(addresses: DataFrame) -> DataFrame:
-    """The inverted index: token, id, pos."""
-    return indexed(addresses).select("id", F.posexplode("tokens").alias("pos", "token")).select("token", "id", "pos")
-
-
 def candidates(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Pairs query_id, id that can match: rows that hold the query's first token, or for queries of one token, a token it begins."""
+    """Pairs query_id, id that can match: rows that hold the rarest of the query's whole tokens, or for queries of one token, a token it begins. Prefixes meet the distinct tokens, not the rows."""
     words = index.select("id", F.explode(F.array_distinct("tokens")).alias("token"))
     q = queries.select("query_id", "q")
-    long = q.where(F.size("q") > 1).select("query_id", F.element_at("q", 1).alias("token"))
-    out = long.join(words, "token").select("query_id", "id")
-    # prefixes meet tokens by their first two characters, or one
+    whole = q.where(F.size("q") > 1).select("query_id", F.explode(F.array_distinct(F.slice("q", 1, F.size("q") - 1))).alias("token"))
+    held = words.join(whole.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    rare = whole.join(held, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("token"))
+    heads = lambda c: F.transform(F.sequence(F.lit(1), F.least(F.length(c), F.lit(LONGEST_HEAD))), lambda n: F.substring(c, F.lit(1), n))
     short = q.where(F.size("q") == 1).select("query_id", F.element_at("q", 1).alias("prefix"))
-    two = F.substring("prefix", 1, 2)
-    keys = words.select("id", "token", F.explode(F.array_distinct(F.array(F.substring("token", 1, 1), F.substring("token", 1, 2)))).alias("head"))
-    met = short.withColumn("head", two).join(keys, "head").where(F.startswith("token", "prefix"))
-    return out.union(met.select("query_id", "id")).distinct()
+    known = words.select("token").distinct().select("token", F.explode(heads(F.col("token"))).alias("head"))
+    met = short.withColumn("head", F.substring("prefix", 1, LONGEST_HEAD)).join(known, "head").where(F.startswith("token", "prefix"))
+    return rare.select("query_id", "token").union(met.select("query_id", "token")).join(words, "token").select("query_id", "id").distinct()
+
+
+def like_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, id of the rows whose address contains the query as contains_like() has it. A query meets the rows that hold its rarest run of three characters; only queries without such a run are compared with all rows."""
+    asked = cut(queries.select("query_id", "query", text.like_grams(F.col("query")).alias("grams")))
+    rows = index.select("id", "address")
+    wanted = asked.select("query_id", F.explode("grams").alias("gram"))
+    held = rows.select("id", F.explode(text.grams(text.ascii_lower(F.col("address")))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    held = cut(held)
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rare = wanted.join(counts, "gram", "left").groupBy("query_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    pairs = rare.join(held, "gram").join(asked.select("query_id", "query"), "query_id").join(rows, "id")
+    found = pairs.where(text.contains_like(F.col("address"), F.col("query"))).select("query_id", "id")
+    short = asked.where(F.size("grams") == 0)
+    if short.first() is None:
+        return found
+    return found.union(short.join(rows, text.contains_like(F.col("address"), F.col("query"))).select("query_id", "id"))
+
+
+def _score_block(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    counts = text.character_counts(list(rows["address"]))
+    out = []
+    for query_id, query, ask in zip(asked["query_id"], asked["query"], text.character_counts(list(asked["query"])), strict=True):
+        for i in np.flatnonzero(text.may_exceed(ask, counts, text.FUZZY_ABOVE)):
+            score = text.partial_ratio_of(query, rows["address"].iat[i])
+            if score > text.FUZZY_ABOVE:
+                out.append((query_id, rows["id"].iat[i], score))
+    return pd.DataFrame(out, columns=["query_id", "id", "score"])
+
+
+def fuzzy_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, id, score of the rows whose partial ratio with the query is above FUZZY_ABOVE, whatever the case.
+
+    At this threshold two texts need not share any two neighbouring characters, so no key loses nothing: each block of about QUERY_BLOCK queries meets each block of about ADDRESS_BLOCK rows in one task, and counts of characters rule most pairs out before they are compared. Blocks grow in number with both sides, not in size."""
+    asked = queries.select("query_id", F.lower("query").alias("query"))
+    rows = index.where(F.length("address") > 0).select("id", F.lower("address").alias("address"))
+    across = max(1, -(-asked.count() // QUERY_BLOCK))
+    down = max(1, -(-rows.count() // ADDRESS_BLOCK))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("down", block("id", down)).withColumn("across", every(across))
+    right = asked.withColumn("across", block("query_id", across)).withColumn("down", every(down))
+    scored = left.groupBy("down", "across").cogroup(right.groupBy("down", "across"))
+    kinds = {"query_id": asked.schema["query_id"], "id": rows.schema["id"]}
+    return scored.applyInPandas(_score_block, ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in kinds.items()) + ", score double")
 
 
 def phrase_search(index: DataFrame, queries: DataFrame) -> DataFrame:
@@ -124,22 +168,22 @@ def top(rows: DataFrame, k: int, order: list[Column]) -> DataFrame:
 def search(addresses: DataFrame, queries: DataFrame, limit: int = 5, fuzzy: bool = True) -> DataFrame:
     """query_id, place, phase, id, node_id, lat, lon, address, score, address_type of batches of queries (query_id, query).
 
-    Phase 1: phrase hits, by rank and relevance. Phase 2: substring matches for queries without any. Phase 3: fuzzy matches above FUZZY_ABOVE fill up to the limit, without nodes found already. Queries shorter than two characters find nothing."""
-    index = cut(indexed(addresses))
+    Phase 1: phrase hits, by rank and relevance. Phase 2: substring matches for queries without any. Phase 3: fuzzy matches above FUZZY_ABOVE fill up to the limit, without nodes found already. Queries shorter than two characters find nothing. addresses that indexed() made are read as they are, others are indexed first."""
+    index = addresses if "tokens" in addresses.columns else cut(indexed(addresses))
     asked = queries.where(F.length("query") >= LEAST_QUERY).select("query_id", "query")
     one = phrase_search(index, asked).join(index.drop("tokens"), "id").withColumn("phase", F.lit(1))
     one = cut(top(one.withColumn("score", F.col("rank_score") + F.col("relevance")), limit, [F.desc("rank_score"), F.desc("relevance"), F.asc("id")]))
     columns = ["query_id", "place", "phase", "id", "node_id", "lat", "lon", "address", "score", "address_type"]
     rest = asked.join(one.select("query_id").distinct(), "query_id", "left_anti")
-    two = rest.join(index.drop("tokens"), text.contains_like(F.col("address"), F.col("query"))).withColumns({"phase": F.lit(2), "score": F.col("rank_score")})
+    two = like_matches(index, rest).join(index.drop("tokens"), "id").withColumns({"phase": F.lit(2), "score": F.col("rank_score")})
     two = top(two, limit, [F.desc("rank_score"), F.asc("id")])
     found = cut(one.select(*columns).union(two.select(*columns)))
     if not fuzzy:
         return found
     short = asked.join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < limit)
-    like = short.join(index.drop("tokens"), F.length("address") > 0)
+    short = cut(short.select("query_id", "query", "n"))
+    like = fuzzy_matches(index, short).join(short.select("query_id", "n"), "query_id").join(index.drop("tokens"), "id").withColumn("phase", F.lit(3))
     like = like.join(found.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
-    like = like.withColumn("score", text.partial_ratio(F.lower("query"), F.lower("address"))).where(F.col("score") > text.FUZZY_ABOVE).withColumn("phase", F.lit(3))
     like = top(like, limit, [F.desc("score"), F.asc("id")]).where(F.col("place") + F.col("n") <= limit).withColumn("place", (F.col("place") + F.col("n")).cast("int"))
     return found.union(like.select(*columns))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lanemesh.functions.geo import haversine, point
 from lanemesh.functions.roads import base_coefficient, is_oneway, is_reverse_oneway, speed, tag
 from lanemesh.lineage import cut
+from lanemesh.operators.rounds import lowest
 from lanemesh.schemas import Graph, OsmData
 from lanemesh.sources.osm import used_nodes, valid_ways, way_nodes
 
@@ -55,8 +56,7 @@ def build_raw_graph(data: OsmData, ways: DataFrame | None = None) -> Graph:
 
 def induced(graph: Graph, ids: DataFrame) -> Graph:
     """The nodes in ids (column id), and the edges between them."""
-    edges = graph.edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
-    return Graph(graph.nodes.join(ids, "id", "left_semi"), edges.select(*graph.edges.columns))
+    return Graph(graph.nodes.join(ids, "id", "left_semi"), within(graph.edges, ids).select(*graph.edges.columns))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -97,45 +97,73 @@ def reachable(edges: DataFrame, start: DataFrame, backward: bool = False) -> Dat
     return cut(seen)
 
 
-def trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """Edges without those at nodes that lack an edge in or out, which are components of their own."""
-    for _ in range(rounds):
-        edges = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-    return edges
+def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges between nodes (column id)."""
+    return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
-def strong_components(graph: Graph, largest_only: bool = True) -> DataFrame:
-    """id, component (its least id). From a pivot of greatest out-degree, what it reaches and what reaches it is a component, which is then set aside; with largest_only, until no more nodes are left than the largest so far has."""
+def largest_first(graph: Graph, turns: int | None = None) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """Components (id, component: their least id) by turns, and the nodes and edges left over. What a pivot of greatest out-degree reaches and what reaches it is a component, which is then set aside; until no more nodes are left than the largest so far has, or for so many turns."""
     edges = cut(graph.edges.select("src", "dst").where("src != dst").distinct())
     nodes = cut(graph.nodes.select("id"))
     out, best, left = None, 0, nodes.count()
-    while left > 0 and (not largest_only or left > best):
-        degree = nodes.join(degrees(edges), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
-        pivot = degree.orderBy(F.desc("degree"), "id").limit(1)
-        if degree.agg(F.max("degree")).first()[0] == 0:
-            # nothing but single nodes is left
+    while left > best and turns != 0:
+        if edges.first() is None:
             single = nodes.select("id", F.col("id").alias("component"))
-            return single if out is None else out.union(single)
-        own = reachable(edges, pivot).join(reachable(edges, pivot, backward=True), "id", "left_semi")
+            return single if out is None else out.union(single), nodes.limit(0), edges
+        pivot = degrees(edges).orderBy(F.desc("degree"), "id").limit(1).select("id")
+        own = cut(reachable(edges, pivot).join(reachable(edges, pivot, backward=True), "id", "left_semi"))
         size, least = own.agg(F.count("*"), F.min("id")).first()
         own = own.withColumn("component", F.lit(least).cast("long"))
         best, left = max(best, size), left - size
         out = own if out is None else out.union(own)
         nodes = cut(nodes.join(own, "id", "left_anti"))
-        edges = cut(edges.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    return out if out is not None else nodes.select("id", F.col("id").alias("component"))
+        edges = cut(within(edges, nodes))
+        turns = None if turns is None else turns - 1
+    return out, nodes, edges
+
+
+def coloured_components(nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """id, component (its least id), of all components at once; None without nodes.
+
+    A turn sets aside the nodes that lack an edge in or out, each its own component. If there are none, every node is coloured with the least id that reaches it; what reaches that id within its colour is a component, so that a turn finds one for each colour."""
+    out = None
+    while nodes.first() is not None:
+        inner = cut(edges.select(F.col("src").alias("id")).intersect(edges.select(F.col("dst").alias("id"))))
+        own = cut(nodes.join(inner, "id", "left_anti").select("id", F.col("id").alias("component")))
+        if own.first() is None:
+            pass_on = lambda frontier, _: edges.join(frontier.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "component")  # noqa: B023, E731
+            colour = lowest(nodes.select("id", F.col("id").alias("component")), ["id"], "component", pass_on)
+            at = lambda side: colour.select(F.col("id").alias(side), F.col("component").alias(f"{side}_"))  # noqa: B023, E731
+            inside = edges.join(at("src"), "src").join(at("dst"), "dst").where("src_ = dst_").select("src", "dst")
+            own = cut(reachable(inside, colour.where("id = component"), backward=True).join(colour, "id"))
+            inner = cut(nodes.join(own, "id", "left_anti"))
+        out = own if out is None else out.union(own)
+        nodes, edges = inner, cut(within(edges, inner))
+    return out
+
+
+def strong_components(graph: Graph) -> DataFrame:
+    """id, component (its least id): the one around the busiest node first, the rest all at once."""
+    first, nodes, edges = largest_first(graph, 1)
+    rest = coloured_components(nodes, edges)
+    if first is None:
+        return graph.nodes.select("id", F.col("id").alias("component"))
+    return first if rest is None else first.union(rest)
 
 
 def largest_component(graph: Graph) -> DataFrame:
     """Column id of the largest strongly connected component; of several the one with the least id."""
-    all_ = strong_components(graph)
+    all_, nodes, _ = largest_first(graph)
+    if all_ is None:
+        return nodes
     sizes = all_.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
     return all_.join(sizes.select("component"), "component", "left_semi").select("id")
 
 
 def component_report(graph: Graph) -> DataFrame:
     """One row: components, nodes in the largest, nodes dropped, whole percent kept."""
-    sizes = strong_components(graph, largest_only=False).groupBy("component").agg(F.count("*").alias("n"))
+    sizes = strong_components(graph).groupBy("component").agg(F.count("*").alias("n"))
     out = sizes.agg(F.count("*").alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("kept"), F.coalesce(F.sum("n"), F.lit(0)).alias("all_"))
     return out.select("components", "kept", (F.col("all_") - F.col("kept")).alias("dropped"), F.floor(100 * F.col("kept") / F.greatest("all_", F.lit(1))).alias("percent"))
 

@@ -15,6 +15,7 @@ from lanemesh.functions.geo import haversine, point
 from lanemesh.functions.roads import ROAD_CLASSES, travel_time, weight
 from lanemesh.lineage import cut
 from lanemesh.operators.graph import line_string
+from lanemesh.operators.rounds import lowest
 from lanemesh.schemas import Graph
 
 #: Least weight of a metre, so that this share of the distance never overestimates a cost.
@@ -43,29 +44,30 @@ def weighted(edges: DataFrame, weather: str = "normal", overlay: DataFrame | Non
 def shortest(edges: DataFrame, sources: DataFrame, keys: tuple[str, ...] = (), targets: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """keys, node, cost from each source: rows of keys and node, and their start cost if there is a column cost.
 
-    edges: src, dst, weight, and the keys if they differ by key. Each round relaxes the edges of nodes whose cost fell. With targets (keys, node) and nodes, what can't beat the best cost of a target any more is left out."""
+    edges: src, dst, weight, and the keys if they differ by key. Each round relaxes the edges of nodes whose cost fell, and writes those alone. With keys, targets (keys, node) and nodes, what can't beat the best cost of a target of its key any more isn't followed."""
     columns = [*keys, "node"]
     per_key = [k for k in keys if k in edges.columns]
     steps = cut(edges.groupBy(*per_key, "src", "dst").agg(F.min("weight").alias("weight")))
     start = F.col("cost") if "cost" in sources.columns else F.lit(0.0)
-    state = cut(sources.select(*columns, start.alias("cost")).groupBy(*columns).agg(F.min("cost").alias("cost")).withColumn("fell", F.lit(True)))
-    if targets is not None:
+    goal = None
+    if targets is not None and keys:
         goal = targets.join(nodes.select(F.col("id").alias("node"), F.col("lat").alias("glat"), F.col("lon").alias("glon")), "node")
-        goal = cut(goal.select(*keys, F.col("node").alias("goal"), "glat", "glon"))
-    while state.where("fell").first() is not None:
-        frontier = state.where("fell").select(*columns, "cost")
-        if targets is not None:
-            reached = goal.join(state.select(*keys, F.col("node").alias("goal"), F.col("cost").alias("best")), [*keys, "goal"], "left")
-            near = frontier.join(reached, list(keys)) if keys else frontier.join(reached)
-            near = near.join(nodes.select(F.col("id").alias("node"), "lat", "lon"), "node")
-            # a little slack keeps ties that rounding would lose
-            hopeful = F.col("best").isNull() | (F.col("cost") + heuristic(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon")) <= F.col("best") * (1 + 1e-9))
-            frontier = frontier.join(near.where(hopeful).select(*columns).distinct(), columns, "left_semi")
-        found = frontier.withColumnRenamed("node", "src").join(steps, [*per_key, "src"]).select(*keys, F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"))
-        both = state.select(*columns, "cost", F.col("cost").alias("old")).union(found.select(*columns, "cost", F.lit(None).cast("double")))
-        state = both.groupBy(*columns).agg(F.min("cost").alias("cost"), F.min("old").alias("old"))
-        state = cut(state.select(*columns, "cost", (F.col("old").isNull() | (F.col("cost") < F.col("old"))).alias("fell")))
-    return state.select(*columns, "cost")
+        goal = cut(goal.select(*columns, "glat", "glon"))
+
+    def hopeful(frontier: DataFrame, state: DataFrame) -> DataFrame:
+        best = state.join(goal.select(*columns), columns, "left_semi").groupBy(*columns).agg(F.min("cost").alias("best"))
+        ahead = goal.join(best, columns, "left").drop("node")
+        near = frontier.join(ahead, list(keys)).join(nodes.select(F.col("id").alias("node"), "lat", "lon"), "node")
+        # a little slack keeps ties that rounding would lose
+        bound = F.col("cost") + heuristic(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon"))
+        return near.where(F.col("best").isNull() | (bound <= F.col("best") * (1 + 1e-9))).select(*columns, "cost").distinct()
+
+    def offers(frontier: DataFrame, state: DataFrame) -> DataFrame:
+        live = hopeful(frontier, state) if goal is not None else frontier
+        out = live.withColumnRenamed("node", "src").join(steps, [*per_key, "src"])
+        return out.select(*keys, F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"))
+
+    return lowest(sources.select(*columns, start.alias("cost")), columns, "cost", offers)
 
 
 def parents(edges: DataFrame, costs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -81,15 +83,19 @@ def parents(edges: DataFrame, costs: DataFrame, keys: tuple[str, ...] = ()) -> D
 
 
 def trace(tree: DataFrame, ends: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """keys, step, edge of the paths that end at `ends` (keys, node); step counts back from 0 at the end. One round per edge of the longest path."""
-    tree, now = cut(tree), cut(ends.select(*keys, "node"))
-    out, step = None, 0
+    """keys, step, edge of the paths that end at `ends` (keys, node); step counts back from 0 at the end.
+
+    Pointers are doubled: a round knows each node's ancestor 1, 2, 4, ... edges up, so rounds grow with the logarithm of the longest path."""
+    tree = cut(tree)
+    up = tree.select(*keys, "node", F.col("parent").alias("up"))
+    on, length = cut(ends.select(*keys, "node", F.lit(0).alias("step"))), 1
     while True:
-        hop = cut(now.join(tree, [*keys, "node"]).select(*keys, F.lit(step).alias("step"), "edge", F.col("parent").alias("node")))
-        if hop.first() is None:
-            return out if out is not None else hop.drop("node")
-        out = hop.drop("node") if out is None else out.union(hop.drop("node"))
-        now, step = hop.select(*keys, "node"), step + 1
+        more = cut(on.join(up, [*keys, "node"]).select(*keys, F.col("up").alias("node"), (F.col("step") + length).alias("step")))
+        if more.first() is None:
+            return on.join(tree, [*keys, "node"]).select(*keys, "step", "edge")
+        on, length = on.union(more), 2 * length
+        after = up.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"))
+        up = cut(up.join(after, [*keys, "up"]).select(*keys, "node", F.col("next").alias("up")))
 
 
 def assemble(hops: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -113,12 +119,12 @@ def path_columns(e: Column) -> list[Column]:
 
 
 def joined_geometry(lines: Column, tolerance: float = 1e-6) -> Column:
-    """Lines one after another, without points that repeat the one before within the tolerance on either axis."""
+    """Lines one after another; where a line begins within the tolerance, on both axes, of the end of the one before, that point stays once."""
     far = lambda p, q: (F.abs(p["lon"] - q["lon"]) >= tolerance) | (F.abs(p["lat"] - q["lat"]) >= tolerance)
-    points = F.flatten(lines)
-    before = F.concat(F.array(F.lit(None).cast("struct<lon:double,lat:double>")), points)
-    pairs = F.arrays_zip(points.alias("p"), F.slice(before, 1, F.size(points)).alias("q"))
-    return F.transform(F.filter(pairs, lambda z: z["q"].isNull() | far(z["p"], z["q"])), lambda z: z["p"])
+    before = F.concat(F.array(F.lit(None).cast("struct<lon:double,lat:double>")), F.transform(lines, lambda line: F.get(line, F.size(line) - 1)))
+    pairs = F.arrays_zip(lines.alias("line"), F.slice(before, 1, F.size(lines)).alias("q"))
+    met = lambda z: z["q"].isNotNull() & ~far(F.get(z["line"], F.lit(0)), z["q"])
+    return F.flatten(F.transform(pairs, lambda z: F.when(met(z), F.slice(z["line"], 2, F.greatest(F.size(z["line"]) - 1, F.lit(0)))).otherwise(z["line"])))
 
 
 def routes(graph: Graph, requests: DataFrame, weather: str = "normal", overlay: DataFrame | None = None, blocked_nodes: DataFrame | None = None) -> DataFrame:

@@ -157,6 +157,27 @@ def lscc_nodes(spark, d):
     return component(spark, d).nodes.select("id")
 
 
+_REST = ["rest AS MATERIALIZED (SELECT id FROM (SELECT src AS id FROM fx_edges UNION SELECT dst FROM fx_edges) WHERE id NOT IN (SELECT id FROM lscc))", "rest_edges AS MATERIALIZED (SELECT DISTINCT src, dst FROM fx_edges WHERE src IN (SELECT id FROM rest) AND dst IN (SELECT id FROM rest))",
+         "far(a, b) AS (SELECT src, dst FROM rest_edges UNION SELECT a, dst FROM far JOIN rest_edges ON src = b)", "own AS (SELECT r.id, least(r.id, coalesce(min(x.b), r.id)) AS component FROM rest r LEFT JOIN (SELECT f.a, f.b FROM far f JOIN far g ON f.a = g.b AND f.b = g.a) x ON x.a = r.id GROUP BY r.id)"]
+
+
+@query(fx.sql([*fx.COMPONENT, *_REST], "SELECT id, component FROM own UNION ALL SELECT id, (SELECT min(id) FROM lscc) FROM lscc"))
+def strong_components(spark, d):
+    """Of the nodes that have an edge."""
+    g = raw(spark, d)
+    edges = cut(g.edges)
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return graph.strong_components(Graph(ends, edges))
+
+
+@query(fx.sql([*fx.COMPONENT, *_REST], "SELECT CAST(count(DISTINCT component) + 1 AS BIGINT) AS components, (SELECT count(*) FROM lscc) AS kept, count(*) AS dropped FROM own"))
+def component_report(spark, d):
+    g = raw(spark, d)
+    edges = cut(g.edges)
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return graph.component_report(Graph(ends, edges)).select("components", "kept", "dropped")
+
+
 @query(fx.sql(fx.COMPONENT, "SELECT src, dst, ord FROM lscc_edges"))
 def lscc_edges(spark, d):
     return component(spark, d).edges.select("src", "dst", "ord")
@@ -478,6 +499,14 @@ def like_fallback(spark, d):
     return fx.table(spark, d, "part").where(text.contains_like(F.col("p_name"), F.lit("WIDGET"))).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("address"))
 
 
+@query("SELECT query_id, id, CAST(place AS INTEGER) AS place FROM (SELECT q.p_partkey AS query_id, p.p_partkey AS id, row_number() OVER (PARTITION BY q.p_partkey ORDER BY p.p_partkey) AS place FROM part q JOIN part p ON contains(lower(p.p_name), lower(substr(q.p_name, 2, 7))) WHERE q.p_partkey % 50 = 0) WHERE place <= 5")
+def like_topk(spark, d):
+    part = fx.table(spark, d, "part")
+    asked = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.upper(F.substring("p_name", 2, 7)).alias("query"))
+    found = geocode.like_matches(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("address")), asked)
+    return geocode.top(found, 5, [F.asc("id")]).select("query_id", "id", "place")
+
+
 @query()
 def fuzzy_partial_ratio(spark, d):
     names = fx.table(spark, d, "part").select("p_name").distinct()

@@ -42,7 +42,7 @@ class Engine:
     @classmethod
     def load(cls, spark: SparkSession, data: OsmData) -> Engine:
         built = graph.build_graph(data)
-        return cls(spark, built, cut(geocode.extract_addresses(data, built)))
+        return cls(spark, built, cut(geocode.indexed(geocode.extract_addresses(data, built))))
 
     def health(self) -> DataFrame:
         """status, node_count, edge_count and bounds."""

@@ -1,6 +1,7 @@
 """Hand-made road networks with known answers."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from lanemesh.functions import geo, text
 from lanemesh.functions.roads import coefficients, travel_time, weight
 from lanemesh.operators import geocode, graph, paths, spatial, zones
 from lanemesh.plans.service import Engine, validated
-from lanemesh.schemas import OSM_NODES, OSM_WAYS, REQUESTS, ZONES, OsmData
+from lanemesh.schemas import OSM_NODES, OSM_WAYS, REQUESTS, ZONES, Graph, OsmData
 from lanemesh.sources import osm
 
 PLACES = {1: (21.000, 105.860), 2: (21.000, 105.861), 3: (21.000, 105.862), 4: (21.001, 105.860), 5: (21.001, 105.861), 6: (21.001, 105.862), 7: (21.000, 105.863), 8: (21.005, 105.870)}
@@ -232,6 +233,65 @@ def test_partial_ratio():
     assert 60 < text.partial_ratio_of("wiget", "widget") < 100
 
 
+def test_search_joins_find_all_pairs(spark):
+    rng = random.Random(5)
+    addresses = [(i, "".join(rng.choice("abcdeé' %") for _ in range(rng.randint(0, 14)))) for i in range(60)] + [(60, None), (61, "ABCDE"), (62, "a" * 3000)]
+    asked = [(f"q{i}", "".join(rng.choice("abcdeE'_%") for _ in range(rng.randint(1, 6)))) for i in range(40)] + [("n", None)]
+    index, queries = spark.createDataFrame(addresses, "id long, address string"), spark.createDataFrame(asked, "query_id string, query string")
+    all_ = queries.crossJoin(index)
+    like = {(r.query_id, r.id) for r in all_.where(text.contains_like(F.col("address"), F.col("query"))).collect()}
+    got = [(r.query_id, r.id) for r in geocode.like_matches(index, queries).collect()]
+    assert len(got) == len(set(got)) and set(got) == like and any(len(dict(asked)[q]) > 3 for q, _ in like)
+    whole = queries.where("query is not null")
+    scores = {(q, i): text.partial_ratio_of(t.lower(), a.lower()) for q, t in asked if t for i, a in addresses if a}
+    fuzzy = {(r.query_id, r.id): r.score for r in geocode.fuzzy_matches(index, whole).collect()}
+    assert fuzzy == {k: v for k, v in scores.items() if v > text.FUZZY_ABOVE}
+    assert geocode.fuzzy_matches(index.limit(0), whole).count() == 0 and geocode.like_matches(index.limit(0), queries).count() == 0
+
+
+def test_phrases_start_from_the_rarest_token(spark, names):
+    q = spark.createDataFrame([(1, "pho linh na"), (2, "pho nowhere x")], "query_id long, query string").select("query_id", text.tokens(F.col("query")).alias("q"))
+    index = geocode.indexed(names)
+    got = [(r.query_id, r.id) for r in geocode.candidates(index, q).collect()]
+    rare = min(("pho", "linh"), key=lambda t: (sum(t in r.tokens for r in index.collect()), t))
+    assert sorted(got) == [(1, r.id) for r in index.collect() if rare in r.tokens]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_and_paths_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    n = 40
+    pairs = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(50)} | {(n + i, n + i + 1) for i in range(12)} | {(n + 12, n + 3)})
+    far = {a: {a} for a in range(n + 13)}
+    for _ in range(n):
+        for a, b in pairs:
+            far[a] |= far[b]
+        for a in far:
+            far[a] = set().union(*(far[b] for b in far[a]))
+    want = {a: min(b for b in far[a] if a in far[b]) for a in far}
+    edges = spark.createDataFrame([(a, b, 1.0 + (a * 7 + b) % 5, i) for i, (a, b) in enumerate(pairs)], "src long, dst long, weight double, ord long")
+    nodes = spark.createDataFrame([(a, 21.0, 105.0) for a in far], "id long, lat double, lon double")
+    got = {r.id: r.component for r in graph.strong_components(Graph(nodes, edges)).collect()}
+    assert got == want
+    size = {c: sum(v == c for v in want.values()) for c in want.values()}
+    most = min(size, key=lambda c: (-size[c], c))
+    assert {r.id for r in graph.largest_component(Graph(nodes, edges)).collect()} == {a for a, c in want.items() if c == most}
+    costs = paths.shortest(edges, spark.createDataFrame([(0, n)], "k long, node long"), ("k",))
+    found = {r.node: r.cost for r in costs.collect()}
+    assert set(found) == far[n]
+    hops = paths.trace(paths.parents(edges, costs, ("k",)), spark.createDataFrame([(0, n + 12), (1, n)], "k long, node long"), ("k",)).collect()
+    assert sorted((r.step, r.edge.src) for r in hops) == sorted((11 - i, n + i) for i in range(12))
+    empty = Graph(nodes.limit(0), edges.limit(0))
+    assert graph.strong_components(empty).count() == 0 and graph.largest_component(Graph(nodes, edges.limit(0))).collect()[0].id == 0
+
+
+def test_only_joints_lose_a_vertex(spark):
+    p = lambda x, y=0.0: {"lon": x, "lat": y}
+    lines = [[p(0.0), p(0.0), p(1.0)], [p(1.0 + 1e-8), p(2.0)], [p(3.0), p(4.0)], [p(4.0)]]
+    r = spark.createDataFrame([(lines,)], "lines array<array<struct<lon:double,lat:double>>>").select(paths.joined_geometry(F.col("lines")).alias("g")).first()
+    assert [x.lon for x in r.g] == [0.0, 0.0, 1.0, 2.0, 3.0, 4.0]
+
+
 def test_parse_address(spark):
     rows = [("88 Phố X", 88, "Phố X"), ("Phố X", None, "Phố X"), ("Ngõ 77 Phố Y", None, "Ngõ 77 Phố Y"), ("88", None, "88"), ("  7   A ", 7, "A")]
     got = spark.createDataFrame([(r[0],) for r in rows], "t string").select(text.house_number_of(F.col("t")).alias("n"), text.street_of(F.col("t")).alias("s")).collect()
