@@ -39,7 +39,7 @@ from llm.tables import keep
 from llm.words import mix, word_hashes
 
 ORDER = 3
-CHUNK = 1_200_000
+CHUNK = 1_000_000
 #: Counts up to this are discounted, as in Katz's paper.
 DISCOUNTED = 5
 #: Counts above it lose so much of one, that every context leaves some mass to words not seen after it.
