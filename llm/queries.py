@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import ann, bpe, jaccard, jpeg, katz, licenses, merkle, mixing, passages, quality, secrets, spelling
+from llm import ann, bpe, jaccard, jpeg, katz, licenses, merkle, mixing, passages, quality, ranked, secrets, spelling
 from llm.tables import table
 
 
@@ -58,11 +58,15 @@ def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_wavelet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_merkle_fixity, op2_rule_ensemble, op3_katz_backoff, op4_collinear_chaining, op5_progressive_jpeg, op6_trigram_secrets, op7_forced_boundary_bpe, op8_shifted_hilbert, op9_chosen_path_join, op10_curriculum_mix, op11_license_rules, op13_spelling_variants)
+    f.__name__: f for f in (op1_merkle_fixity, op2_rule_ensemble, op3_katz_backoff, op4_collinear_chaining, op5_progressive_jpeg, op6_trigram_secrets, op7_forced_boundary_bpe, op8_shifted_hilbert, op9_chosen_path_join, op10_curriculum_mix, op11_license_rules, op12_wavelet_search, op13_spelling_variants)
 }
-ORACLES: dict[str, str] = {"op1_merkle_fixity": merkle.PAGES_SQL, "op10_curriculum_mix": mixing.MIX_SQL, "op11_license_rules": licenses.scan_sql(), "op13_spelling_variants": spelling.VARIANTS_SQL}
+ORACLES: dict[str, str] = {"op1_merkle_fixity": merkle.PAGES_SQL, "op10_curriculum_mix": mixing.MIX_SQL, "op11_license_rules": licenses.scan_sql(), "op12_wavelet_search": ranked.RANK_SQL, "op13_spelling_variants": spelling.VARIANTS_SQL}
