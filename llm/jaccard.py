@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -92,7 +92,7 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, f (the set's fingerprint; null without words), n (runs), sig (minimum hashes)."""
+    """doc_id, f (the set's fingerprint; null without words), n (runs), sig (minimum hashes), copy (MD5 of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -102,9 +102,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n, sig = [0] * batch.num_rows, [b""] * batch.num_rows
                 for i, own in _sets(batch):
                     f[i], n[i], sig[i] = fingerprint(own), len(own), minima(own).tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "f", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), batch.column(2)], ["doc_id", "f", "n", "sig", "copy"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, f binary, n long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _copy().alias("copy")).mapInArrow(run, "doc_id long, f binary, n long, sig binary, copy string")
+
+
+def _copy() -> Column:
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
 
 
 def _children(keys: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,31 +341,42 @@ def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, similar: fl
     return rows.mapInArrow(lambda b: _exact(b, similar), "f binary, links long, g binary")
 
 
-def join_documents(docs: DataFrame, similar: float = SIMILAR, runs: int = RUNS) -> DataFrame:
-    """doc_id, class_id, n_links for every row of docs."""
+def classes(docs: DataFrame, similar: float = SIMILAR, runs: int = RUNS) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and of each set f: its class (the least set of it), class_id (the least doc_id) and n_links of each of its rows."""
     signed = keep(signatures(docs), "jaccard-sig")
     with_words = signed.where("f is not null")
     sets = with_words.groupBy("f").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     sets = keep(sets, "jaccard-sets")
     groups = candidate_groups(sets, runs)
     exact = keep(exact_links(docs, sets, groups, similar), "jaccard-x")
-    classes = components(exact.where("g is not null").select(F.col("f").alias("a"), F.col("g").alias("b")), "jaccard-k")
+    joined = components(exact.where("g is not null").select(F.col("f").alias("a"), F.col("g").alias("b")), "jaccard-k")
     links = exact.where("g is null").groupBy("f").agg(F.sum("links").alias("links"))
-    placed = keep(classes.withColumnRenamed("node", "f").join(sets.select("f", "rep"), "f"), "jaccard-p")
+    placed = keep(joined.withColumnRenamed("node", "f").join(sets.select("f", "rep"), "f"), "jaccard-p")
     heads = placed.groupBy("component").agg(F.min("rep").alias("head"))
-    placed = placed.select("f", "component").join(heads, "component").select("f", "head")
+    placed = placed.select("f", "component").join(heads, "component").select("f", "component", "head")
     named = sets.select("f", "copies", "rep").join(links, "f", "left").join(placed, "f", "left")
-    named = named.select("f", F.coalesce("head", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    named = keep(named, "jaccard-m")
-    out = signed.select("doc_id", "f").join(named, "f", "left")
+    named = named.select("f", F.coalesce("component", "f").alias("class"), F.coalesce("head", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return signed, keep(named, "jaccard-m")
+
+
+def join_documents(docs: DataFrame, similar: float = SIMILAR, runs: int = RUNS) -> DataFrame:
+    """doc_id, class_id, n_links for every row of docs."""
+    signed, named = classes(docs, similar, runs)
+    out = signed.select("doc_id", "f").join(named.drop("class"), "f", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The rows of docs without those whose class has a lesser doc_id, and of repeated rows one. Rows without doc_id stay."""
-    gone = join_documents(docs, similar).where("doc_id != class_id").select("doc_id", F.lit(True).alias("drop_")).distinct()
+    """One row of docs of each class: that of least doc_id, then of least MD5 of its text; of repeated rows one. Rows without doc_id stay.
+
+    A row is named by its doc_id and text together, so rows of other texts under the same doc_id are no matter."""
+    signed, named = classes(docs, similar)
+    members = signed.where("doc_id is not null and f is not null").select("doc_id", "copy", "f").distinct().join(named.select("f", "class"), "f")
+    members = keep(members.select("class", F.struct("doc_id", "copy").alias("row")), "jaccard-rows")
+    best = members.groupBy("class").agg(F.min("row").alias("best"))
+    gone = members.join(best, "class").where("row != best").select(F.col("row.doc_id").alias("doc_id"), F.col("row.copy").alias("copy_"), F.lit(True).alias("drop_"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("copy_"))
-    left = rows.join(gone, "doc_id", "left").where("drop_ is null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, _copy().alias("copy_"))
+    left = rows.join(gone, ["doc_id", "copy_"], "left").where("drop_ is null")
     named = left.where("doc_id is not null").withColumn("again_", F.row_number().over(W.partitionBy("doc_id", "copy_").orderBy("copy_"))).where("again_ = 1")
     return named.select("row_.*").union(left.where("doc_id is null").select("row_.*"))
