@@ -170,16 +170,17 @@ def merged(left: np.ndarray, right: np.ndarray, codes: tuple, group: np.ndarray,
     order = np.argsort(code, kind="stable")
     code, i = code[order], i[order]
     j, at = expand(right)
-    counts = np.zeros(base[-1], np.int32)
+    g, h = group[left], group[right]
+    row, column = base[g] + (np.arange(len(left)) - in_left[g]) * n_right[g], np.arange(len(right)) - in_right[h]
+    counts = np.zeros(base[-1], np.int64)
     for shift in shifts:
         ask = (group[word[at]] * wide + place[at] + shift) * LETTERS * LETTERS + gram[at]
         lo, hi = np.searchsorted(code, ask, "left"), np.searchsorted(code, ask, "right")
         many = hi - lo
         k = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
         a, b = i[k], np.repeat(j, many)
-        g = group[left[a]]
-        np.add.at(counts, base[g] + (a - in_left[g]) * n_right[g] + b - in_right[g], 1)
-    cell = np.flatnonzero(counts)
+        counts += np.bincount(row[a] + column[b], minlength=len(counts))
+    cell = np.flatnonzero(counts > 1)  # no bound is less than two
     g = np.searchsorted(base, cell, "right") - 1
     enough = counts[cell] >= bound[g]
     cell, g = cell[enough] - base[g[enough]], g[enough]
