@@ -33,14 +33,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(fold(text), F.lit("")), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def phrase_hits(words: Column, query: Column) -> Column:
-    """How often the query's tokens stand in `words` in a row, the last one as a prefix; 0 for an empty query."""
-    n = F.size(query)
-    starts = F.when((n > 0) & (F.size(words) >= n), F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.expr("array()").cast("array<int>"))
-    whole = lambda i: (n == 1) | (F.slice(words, i, F.greatest(n - 1, F.lit(1))) == F.slice(query, 1, F.greatest(n - 1, F.lit(1))))
-    return F.size(F.filter(starts, lambda i: whole(i) & F.startswith(F.element_at(words, i + n - 1), F.element_at(query, -1))))
-
-
 def bm25(hits: Column, length: Column, rows: Column, rows_hit: Column, mean_length: Column) -> Column:
     """Relevance of a phrase, positive, higher is better; the phrase counts as one term."""
     idf = F.greatest(F.log((rows - rows_hit + 0.5) / (rows_hit + 0.5)), F.lit(LEAST_IDF))

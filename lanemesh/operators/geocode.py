@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lanemesh.functions import text
 from lanemesh.functions.roads import tag
 from lanemesh.lineage import cut
+from lanemesh.operators.postings import Index, build, phrase_search
 from lanemesh.operators.spatial import nearest_nodes, snap, virtual_nodes
 from lanemesh.schemas import Graph, OsmData
 from lanemesh.sources.osm import PLACE_KEYS, valid_ways, way_nodes
@@ -19,7 +20,6 @@ STREET, HOUSE, POI = 100.0, 50.0, 80.0
 SNAP_METRES = 100.0
 EXACT_SCORE = 80.0
 LEAST_QUERY = 2
-LONGEST_HEAD = 4
 QUERY_BLOCK, ADDRESS_BLOCK = 128, 4096
 
 
@@ -84,25 +84,6 @@ def address_stats(addresses: DataFrame) -> DataFrame:
     return addresses.groupBy("address_type").agg(F.count("*").alias("n"))
 
 
-def indexed(addresses: DataFrame) -> DataFrame:
-    """addresses with their tokens: written once, this is the index that search() reads."""
-    return addresses.withColumn("tokens", text.tokens(F.col("address")))
-
-
-def candidates(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Pairs query_id, id that can match: rows that hold the rarest of the query's whole tokens, or for queries of one token, a token it begins. Prefixes meet the distinct tokens, not the rows."""
-    words = index.select("id", F.explode(F.array_distinct("tokens")).alias("token"))
-    q = queries.select("query_id", "q")
-    whole = q.where(F.size("q") > 1).select("query_id", F.explode(F.array_distinct(F.slice("q", 1, F.size("q") - 1))).alias("token"))
-    held = words.join(whole.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    rare = whole.join(held, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("token"))
-    heads = lambda c: F.transform(F.sequence(F.lit(1), F.least(F.length(c), F.lit(LONGEST_HEAD))), lambda n: F.substring(c, F.lit(1), n))
-    short = q.where(F.size("q") == 1).select("query_id", F.element_at("q", 1).alias("prefix"))
-    known = words.select("token").distinct().select("token", F.explode(heads(F.col("token"))).alias("head"))
-    met = short.withColumn("head", F.substring("prefix", 1, LONGEST_HEAD)).join(known, "head").where(F.startswith("token", "prefix"))
-    return rare.select("query_id", "token").union(met.select("query_id", "token")).join(words, "token").select("query_id", "id").distinct()
-
-
 def like_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, id of the rows whose address contains the query as contains_like() has it. A query meets the rows that hold its rarest run of three characters; only queries without such a run are compared with all rows."""
     asked = cut(queries.select("query_id", "query", text.like_grams(F.col("query")).alias("grams")))
@@ -148,41 +129,30 @@ def fuzzy_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
     return scored.applyInPandas(_score_block, ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in kinds.items()) + ", score double")
 
 
-def phrase_search(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, hits, relevance of the rows that hold the query's tokens in a row, the last as a prefix. index: indexed addresses; queries: query_id, query."""
-    asked = queries.select("query_id", text.tokens(F.col("query")).alias("q")).where(F.size("q") > 0)
-    asked = cut(asked)
-    pairs = candidates(index, asked).join(asked, "query_id").join(index.select("id", "tokens"), "id")
-    found = cut(pairs.select("query_id", "id", text.phrase_hits(F.col("tokens"), F.col("q")).alias("hits"), F.size("tokens").alias("length")).where("hits > 0"))
-    n, mean = index.agg(F.count("*"), F.avg(F.size("tokens"))).first()
-    rows_hit = found.groupBy("query_id").agg(F.count("*").alias("rows_hit"))
-    score = text.bm25(F.col("hits"), F.col("length"), F.lit(float(n or 0)), F.col("rows_hit"), F.lit(float(mean or 1.0)))
-    return found.join(rows_hit, "query_id").select("query_id", "id", "hits", score.alias("relevance"))
-
-
 def top(rows: DataFrame, k: int, order: list[Column]) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
     return rows.withColumn("place", rank).where(F.col("place") <= k)
 
 
-def search(addresses: DataFrame, queries: DataFrame, limit: int = 5, fuzzy: bool = True) -> DataFrame:
+def search(addresses: DataFrame | Index, queries: DataFrame, limit: int = 5, fuzzy: bool = True) -> DataFrame:
     """query_id, place, phase, id, node_id, lat, lon, address, score, address_type of batches of queries (query_id, query).
 
-    Phase 1: phrase hits, by rank and relevance. Phase 2: substring matches for queries without any. Phase 3: fuzzy matches above FUZZY_ABOVE fill up to the limit, without nodes found already. Queries shorter than two characters find nothing. addresses that indexed() made are read as they are, others are indexed first."""
-    index = addresses if "tokens" in addresses.columns else cut(indexed(addresses))
+    Phase 1: phrase hits, by rank and relevance. Phase 2: substring matches for queries without any. Phase 3: fuzzy matches above FUZZY_ABOVE fill up to the limit, without nodes found already. Queries shorter than two characters find nothing. Addresses without an index are indexed first."""
+    index = addresses if isinstance(addresses, Index) else build(addresses)
+    rows = index.addresses
     asked = queries.where(F.length("query") >= LEAST_QUERY).select("query_id", "query")
-    one = phrase_search(index, asked).join(index.drop("tokens"), "id").withColumn("phase", F.lit(1))
+    one = phrase_search(index, asked).join(rows, "id").withColumn("phase", F.lit(1))
     one = cut(top(one.withColumn("score", F.col("rank_score") + F.col("relevance")), limit, [F.desc("rank_score"), F.desc("relevance"), F.asc("id")]))
     columns = ["query_id", "place", "phase", "id", "node_id", "lat", "lon", "address", "score", "address_type"]
     rest = asked.join(one.select("query_id").distinct(), "query_id", "left_anti")
-    two = like_matches(index, rest).join(index.drop("tokens"), "id").withColumns({"phase": F.lit(2), "score": F.col("rank_score")})
+    two = like_matches(rows, rest).join(rows, "id").withColumns({"phase": F.lit(2), "score": F.col("rank_score")})
     two = top(two, limit, [F.desc("rank_score"), F.asc("id")])
     found = cut(one.select(*columns).union(two.select(*columns)))
     if not fuzzy:
         return found
     short = asked.join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < limit)
     short = cut(short.select("query_id", "query", "n"))
-    like = fuzzy_matches(index, short).join(short.select("query_id", "n"), "query_id").join(index.drop("tokens"), "id").withColumn("phase", F.lit(3))
+    like = fuzzy_matches(rows, short).join(short.select("query_id", "n"), "query_id").join(rows, "id").withColumn("phase", F.lit(3))
     like = like.join(found.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
     like = top(like, limit, [F.desc("score"), F.asc("id")]).where(F.col("place") + F.col("n") <= limit).withColumn("place", (F.col("place") + F.col("n")).cast("int"))
     return found.union(like.select(*columns))
@@ -205,10 +175,10 @@ def interpolate(addresses: DataFrame, asked: DataFrame) -> DataFrame:
     return best.select("query_id", value("lat").alias("lat"), value("lon").alias("lon"), "house_number", F.col("street").alias("street_name"), method.alias("method"))
 
 
-def search_with_interpolation(addresses: DataFrame, graph: Graph, queries: DataFrame, limit: int = 5) -> DataFrame:
+def search_with_interpolation(addresses: DataFrame | Index, graph: Graph, queries: DataFrame, limit: int = 5) -> DataFrame:
     """query_id, place, node_id, lat, lon, address, score, method: an interpolated house, on its nearest edge, ahead of the search's results; of one node the first stays."""
     asked = queries.select("query_id", text.house_number_of(F.col("query")).alias("house_number"), text.street_of(F.col("query")).alias("street")).where("house_number is not null")
-    found = cut(interpolate(addresses, asked))
+    found = cut(interpolate(addresses.addresses if isinstance(addresses, Index) else addresses, asked))
     on_edge = virtual_nodes(found.select(F.col("query_id").alias("point_id"), "lat", "lon"), graph)
     near = F.element_at(F.array_sort("neighbours", lambda a, b: F.when(a["dist"] < b["dist"], -1).when(a["dist"] > b["dist"], 1).otherwise(0)), 1)["id"]
     house = on_edge.select(F.col("point_id").alias("query_id"), near.alias("node_id"), "lat", "lon").join(found.select("query_id", F.concat_ws(" ", "house_number", "street_name").alias("address"), "method"), "query_id")
@@ -219,7 +189,7 @@ def search_with_interpolation(addresses: DataFrame, graph: Graph, queries: DataF
     return top(rows, limit, [F.desc("score"), F.asc("phase"), F.asc("n")]).select("query_id", "place", "node_id", "lat", "lon", "address", "score", "method")
 
 
-def resolve(points: DataFrame, graph: Graph, addresses: DataFrame) -> DataFrame:
+def resolve(points: DataFrame, graph: Graph, addresses: DataFrame | Index) -> DataFrame:
     """point_id, node_id, lat, lon, input_type, snapped, matched_address, match_score, error of points given as kind: node, coords or address.
 
     An address that scores EXACT_SCORE or more gives its own node; a lesser match is snapped anew."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lanemesh.functions.geo import haversine, point
 from lanemesh.functions.roads import base_coefficient, is_oneway, is_reverse_oneway, speed, tag
 from lanemesh.lineage import cut
+from lanemesh.operators.reach import condensed, reachable, without_ends
 from lanemesh.operators.rounds import lowest
 from lanemesh.schemas import Graph, OsmData
 from lanemesh.sources.osm import used_nodes, valid_ways, way_nodes
@@ -85,80 +86,72 @@ def statistics(graph: Graph) -> DataFrame:
     return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("node_count"), F.coalesce(F.sum("e"), F.lit(0)).alias("edge_count"), *bounds)
 
 
-def reachable(edges: DataFrame, start: DataFrame, backward: bool = False) -> DataFrame:
-    """Column id of the nodes that can be reached from start (column id), or reach it. One round per hop; a round joins the frontier alone."""
-    steps = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if backward else edges.select("src", "dst")
-    steps = cut(steps.where("src != dst").distinct())
-    seen = frontier = cut(start.select("id").distinct())
-    while frontier.first() is not None:
-        found = steps.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = cut(found.join(seen, "id", "left_anti"))
-        seen = seen.union(frontier)
-    return cut(seen)
-
-
 def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges between nodes (column id)."""
     return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
-def largest_first(graph: Graph, turns: int | None = None) -> tuple[DataFrame | None, DataFrame, DataFrame]:
-    """Components (id, component: their least id) by turns, and the nodes and edges left over. What a pivot of greatest out-degree reaches and what reaches it is a component, which is then set aside; until no more nodes are left than the largest so far has, or for so many turns."""
-    edges = cut(graph.edges.select("src", "dst").where("src != dst").distinct())
-    nodes = cut(graph.nodes.select("id"))
-    out, best, left = None, 0, nodes.count()
-    while left > best and turns != 0:
-        if edges.first() is None:
-            single = nodes.select("id", F.col("id").alias("component"))
-            return single if out is None else out.union(single), nodes.limit(0), edges
-        pivot = degrees(edges).orderBy(F.desc("degree"), "id").limit(1).select("id")
-        own = cut(reachable(edges, pivot).join(reachable(edges, pivot, backward=True), "id", "left_semi"))
-        size, least = own.agg(F.count("*"), F.min("id")).first()
-        own = own.withColumn("component", F.lit(least).cast("long"))
-        best, left = max(best, size), left - size
-        out = own if out is None else out.union(own)
-        nodes = cut(nodes.join(own, "id", "left_anti"))
-        edges = cut(within(edges, nodes))
-        turns = None if turns is None else turns - 1
-    return out, nodes, edges
+def around(edges: DataFrame, pivot: DataFrame) -> DataFrame:
+    """Column id of the component of pivot: what it reaches and is reached by."""
+    return cut(reachable(edges, pivot).join(reachable(edges, pivot, backward=True), "id", "left_semi"))
 
 
 def coloured_components(nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
-    """id, component (its least id), of all components at once; None without nodes.
+    """id, component (one id of it), of all components at once; None without nodes.
 
-    A turn sets aside the nodes that lack an edge in or out, each its own component. If there are none, every node is coloured with the least id that reaches it; what reaches that id within its colour is a component, so that a turn finds one for each colour."""
+    A turn sets aside the nodes on no ring, each its own component. Every other one is coloured with the least id that reaches it; what reaches that id within its colour is a component, so that a turn finds one for each colour."""
     out = None
     while nodes.first() is not None:
-        inner = cut(edges.select(F.col("src").alias("id")).intersect(edges.select(F.col("dst").alias("id"))))
+        inner, edges = without_ends(nodes, edges)
         own = cut(nodes.join(inner, "id", "left_anti").select("id", F.col("id").alias("component")))
-        if own.first() is None:
-            pass_on = lambda frontier, _: edges.join(frontier.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "component")  # noqa: B023, E731
-            colour = lowest(nodes.select("id", F.col("id").alias("component")), ["id"], "component", pass_on)
-            at = lambda side: colour.select(F.col("id").alias(side), F.col("component").alias(f"{side}_"))  # noqa: B023, E731
-            inside = edges.join(at("src"), "src").join(at("dst"), "dst").where("src_ = dst_").select("src", "dst")
-            own = cut(reachable(inside, colour.where("id = component"), backward=True).join(colour, "id"))
-            inner = cut(nodes.join(own, "id", "left_anti"))
         out = own if out is None else out.union(own)
-        nodes, edges = inner, cut(within(edges, inner))
+        if inner.first() is None:
+            return out
+        pass_on = lambda frontier, _: edges.join(frontier.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "component")  # noqa: B023, E731
+        colour = lowest(inner.select("id", F.col("id").alias("component")), ["id"], "component", pass_on)
+        at = lambda side: colour.select(F.col("id").alias(side), F.col("component").alias(f"{side}_"))  # noqa: B023, E731
+        inside = edges.join(at("src"), "src").join(at("dst"), "dst").where("src_ = dst_").select("src", "dst")
+        own = cut(reachable(inside, colour.where("id = component"), backward=True).join(colour, "id"))
+        out = out.union(own)
+        nodes = cut(inner.join(own, "id", "left_anti"))
+        edges = cut(within(edges, nodes))
     return out
 
 
 def strong_components(graph: Graph) -> DataFrame:
-    """id, component (its least id): the one around the busiest node first, the rest all at once."""
-    first, nodes, edges = largest_first(graph, 1)
-    rest = coloured_components(nodes, edges)
-    if first is None:
-        return graph.nodes.select("id", F.col("id").alias("component"))
-    return first if rest is None else first.union(rest)
+    """id, component (its least id): nodes that edges join both ways are one, then the largest of those with what is around it, then the rest all at once."""
+    whole = condensed(graph.nodes, graph.edges)
+    nodes, edges = without_ends(whole.nodes, whole.edges)
+    found = whole.nodes.join(nodes, "id", "left_anti").select("id", F.col("id").alias("component"))
+    pivot = cut(nodes.orderBy(F.desc("size"), "id").limit(1).select("id"))
+    if pivot.first() is not None:
+        own = around(edges, pivot)
+        found = found.union(own.crossJoin(F.broadcast(pivot.withColumnRenamed("id", "component"))))
+        nodes = cut(nodes.select("id").join(own, "id", "left_anti"))
+        rest = coloured_components(nodes, cut(within(edges, nodes)))
+        found = found if rest is None else found.union(rest)
+    rows = cut(whole.members.join(found.withColumnRenamed("id", "top"), "top").select("id", "component"))
+    return rows.join(rows.groupBy("component").agg(F.min("id").alias("least")), "component").select("id", F.col("least").alias("component"))
 
 
 def largest_component(graph: Graph) -> DataFrame:
-    """Column id of the largest strongly connected component; of several the one with the least id."""
-    all_, nodes, _ = largest_first(graph)
-    if all_ is None:
-        return nodes
-    sizes = all_.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
-    return all_.join(sizes.select("component"), "component", "left_semi").select("id")
+    """Column id of the largest strongly connected component; of several the one with the least id.
+
+    Components are taken from the largest contracted node on, until no more nodes are left than the largest so far has."""
+    whole = condensed(graph.nodes, graph.edges)
+    nodes, edges = without_ends(whole.nodes, whole.edges)
+    found = whole.nodes.join(nodes, "id", "left_anti").select("id", "size", F.col("id").alias("component"))
+    best = found.agg(F.max("size")).first()[0] or 0
+    while (nodes.agg(F.sum("size")).first()[0] or 0) >= max(best, 1):
+        pivot = nodes.orderBy(F.desc("size"), "id").first().id
+        own = cut(nodes.join(around(edges, nodes.where(F.col("id") == pivot).select("id")), "id", "left_semi").withColumn("component", F.lit(pivot)))
+        best = max(best, own.agg(F.sum("size")).first()[0])
+        found = found.union(own)
+        nodes = cut(nodes.join(own, "id", "left_anti"))
+        edges = cut(within(edges, nodes))
+    rows = cut(whole.members.join(found.select(F.col("id").alias("top"), "component"), "top").select("id", "component"))
+    most = rows.groupBy("component").agg(F.count("*").alias("n"), F.min("id").alias("least")).orderBy(F.desc("n"), "least").limit(1)
+    return rows.join(most, "component", "left_semi").select("id")
 
 
 def component_report(graph: Graph) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lanemesh.functions import geo, text
 from lanemesh.functions.roads import WEATHERS, coefficients, tag, travel_time, weight
 from lanemesh.lineage import cut
-from lanemesh.operators import geocode, graph, paths, spatial, zones
+from lanemesh.operators import geocode, graph, paths, postings, spatial, zones
 from lanemesh.plans import fixtures as fx
 from lanemesh.schemas import Graph
 from lanemesh.sources import osm
@@ -480,17 +480,17 @@ _CORPUS = [
 
 @query(fx.sql(_CORPUS, "SELECT query_id, id, CAST(hits AS BIGINT) AS hits FROM found"))
 def phrase_prefix_match(spark, d):
-    return geocode.phrase_search(cut(geocode.indexed(fx.corpus(spark, d))), fx.corpus_queries(spark, d)).select("query_id", "id", F.col("hits").cast("long").alias("hits"))
+    return postings.phrase_search(postings.build(fx.corpus(spark, d)), fx.corpus_queries(spark, d)).select("query_id", "id", F.col("hits").cast("long").alias("hits"))
 
 
 @query(fx.sql(_CORPUS, "SELECT query_id, id, round(relevance, 6) AS relevance FROM scored"))
 def bm25_scores(spark, d):
-    return geocode.phrase_search(cut(geocode.indexed(fx.corpus(spark, d))), fx.corpus_queries(spark, d)).select("query_id", "id", F.round("relevance", 6).alias("relevance"))
+    return postings.phrase_search(postings.build(fx.corpus(spark, d)), fx.corpus_queries(spark, d)).select("query_id", "id", F.round("relevance", 6).alias("relevance"))
 
 
 @query(fx.sql(_CORPUS, "SELECT query_id, CAST(place AS INTEGER) AS place, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, round(relevance, 9) DESC, id) AS place FROM scored) WHERE place <= 5"))
 def suggest_topk(spark, d):
-    found = geocode.phrase_search(cut(geocode.indexed(fx.corpus(spark, d))), fx.corpus_queries(spark, d)).join(fx.corpus(spark, d).select("id", "rank_score"), "id")
+    found = postings.phrase_search(postings.build(fx.corpus(spark, d)), fx.corpus_queries(spark, d)).join(fx.corpus(spark, d).select("id", "rank_score"), "id")
     return geocode.top(found, 5, [F.desc("rank_score"), F.desc(F.round("relevance", 9)), F.asc("id")]).select("query_id", "place", "id")
 
 

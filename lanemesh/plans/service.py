@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanemesh.functions.roads import WEATHERS, coefficients
 from lanemesh.lineage import cut
-from lanemesh.operators import geocode, graph, paths, spatial
+from lanemesh.operators import geocode, graph, paths, postings, spatial
 from lanemesh.schemas import Graph, OsmData
 
 
@@ -37,12 +37,12 @@ class Engine:
 
     spark: SparkSession
     graph: Graph
-    addresses: DataFrame
+    index: postings.Index
 
     @classmethod
     def load(cls, spark: SparkSession, data: OsmData) -> Engine:
         built = graph.build_graph(data)
-        return cls(spark, built, cut(geocode.indexed(geocode.extract_addresses(data, built))))
+        return cls(spark, built, postings.build(cut(geocode.extract_addresses(data, built))))
 
     def health(self) -> DataFrame:
         """status, node_count, edge_count and bounds."""
@@ -50,11 +50,11 @@ class Engine:
 
     def info(self) -> DataFrame:
         """health, with the number of addresses."""
-        n = self.addresses.count()
+        n = self.index.rows
         return self.health().withColumns({"addresses": F.lit(n), "weathers": F.lit(",".join(WEATHERS))})
 
     def geocoding_stats(self) -> DataFrame:
-        return geocode.address_stats(self.addresses)
+        return geocode.address_stats(self.index.addresses)
 
     def coefficients(self, weather: str = "normal") -> DataFrame:
         return coefficients(self.spark, weather)
@@ -66,10 +66,10 @@ class Engine:
         """Searches for batches of queries; the limit goes from 1 to 20."""
         if not 1 <= limit <= 20:
             raise ValueError("limit must be from 1 to 20")
-        return geocode.search(self.addresses, queries, limit)
+        return geocode.search(self.index, queries, limit)
 
     def resolve(self, points: DataFrame) -> DataFrame:
-        return geocode.resolve(points, self.graph, self.addresses)
+        return geocode.resolve(points, self.graph, self.index)
 
     def overlay(self, blocking: DataFrame | None, flood: DataFrame | None, block_intersections: bool = True) -> tuple[DataFrame, DataFrame] | None:
         """The overlay of GeoJSON features (column feature): blocking ones, then flood ones, whose type is forced."""
