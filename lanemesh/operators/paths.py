@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lanemesh.functions.geo import haversine, point
-from lanemesh.functions.roads import ROAD_CLASSES, travel_time, weight
+from lanemesh.functions.roads import ROAD_CLASSES, weight
 from lanemesh.lineage import cut
+from lanemesh.operators import cells
 from lanemesh.operators.graph import line_string
 from lanemesh.operators.rounds import lowest
 from lanemesh.schemas import Graph
@@ -127,62 +123,27 @@ def joined_geometry(lines: Column, tolerance: float = 1e-6) -> Column:
     return F.flatten(F.transform(pairs, lambda z: F.when(met(z), F.slice(z["line"], 2, F.greatest(F.size(z["line"]) - 1, F.lit(0)))).otherwise(z["line"])))
 
 
-def routes(graph: Graph, requests: DataFrame, weather: str = "normal", overlay: DataFrame | None = None, blocked_nodes: DataFrame | None = None) -> DataFrame:
-    """request_id, cost, path, geometry, distance, duration, edges of the cheapest paths of requests (request_id, start, goal) that have one, by DataFrame rounds."""
+def routes(graph: Graph, requests: DataFrame, weather: str = "normal", overlay: DataFrame | None = None, blocked_nodes: DataFrame | None = None, size: int = cells.CELL) -> DataFrame:
+    """request_id, cost, path, geometry, distance, duration, edges of the cheapest paths of requests (request_id, start, goal) that have one, by searches of cells of about `size` nodes."""
     edges = cut(weighted(graph.edges, weather, overlay, blocked_nodes))
     keys = ("request_id",)
     ask = cut(requests.select("request_id", "start", "goal").where("start != goal"))
+    parts = cells.split(graph.nodes, edges, size)
+    found = cells.costs(parts, ask, HEURISTIC)
     goals = ask.select("request_id", F.col("goal").alias("node"))
-    costs = shortest(edges, ask.select("request_id", F.col("start").alias("node")), keys, goals, graph.nodes)
-    reached = costs.join(goals, ["request_id", "node"], "left_semi")
-    hops = trace(parents(edges, costs, keys), reached, keys)
+    reached = cut(found.join(goals, ["request_id", "node"], "left_semi").select("request_id", "node", F.col("at.cost").alias("cost")))
+    tree = trace(cells.origins(parts, ask, found), reached, keys)
+    steps = cells.legs(parts, ask, cut(tree))
+    hops = steps.join(edges.select("ord", F.struct(*edges.columns).alias("edge")), "ord").select("request_id", "step", "edge")
     return reached.select("request_id", "cost").join(assemble(hops, keys), "request_id")
 
 
-ROUTE_SCHEMA = "request_id long, cost double, path array<long>"
-
-
-def routes_by_heap(edges: DataFrame, requests: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
-    """request_id, cost, path of many small requests (request_id, start, goal): each task searches with a heap on the edge table, which is collected and broadcast only up to most_edges rows. edges: src, dst, weight."""
-    n = edges.count()
-    if n > most_edges:
-        raise ValueError(f"{n} edges are more than {most_edges}: use routes()")
-    table = edges.select("src", "dst", "weight").toPandas().sort_values(["src", "dst", "weight"])
-    ids = np.unique(np.concatenate((table["src"], table["dst"])))
-    src = np.searchsorted(ids, table["src"])
-    begin = np.searchsorted(src, np.arange(len(ids) + 1))
-    shared = edges.sparkSession.sparkContext.broadcast((ids, begin, np.searchsorted(ids, table["dst"]), table["weight"].to_numpy()))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, begin, dst, w = shared.value
-        place = {int(v): i for i, v in enumerate(ids)}
-        for batch in batches:
-            rows = []
-            for r, s, t in zip(batch["request_id"], batch["start"], batch["goal"], strict=True):
-                s, t = place.get(int(s)), place.get(int(t))
-                if s is None or t is None or s == t:
-                    continue
-                cost, back, done, heap = {s: 0.0}, {}, set(), [(0.0, s)]
-                while heap:
-                    c, u = heapq.heappop(heap)
-                    if u in done:
-                        continue
-                    if u == t:
-                        break
-                    done.add(u)
-                    for k in range(begin[u], begin[u + 1]):
-                        v, x = int(dst[k]), c + w[k]
-                        if v not in cost or x < cost[v]:
-                            cost[v], back[v] = x, u
-                            heapq.heappush(heap, (x, v))
-                if t in cost:
-                    path = [t]
-                    while path[-1] != s:
-                        path.append(back[path[-1]])
-                    rows.append((r, float(cost[t]), [int(ids[i]) for i in reversed(path)]))
-            yield pd.DataFrame(rows, columns=["request_id", "cost", "path"])
-
-    return requests.select("request_id", "start", "goal").mapInPandas(run, ROUTE_SCHEMA)
+def route_costs(graph: Graph, requests: DataFrame, weather: str = "normal", overlay: DataFrame | None = None, blocked_nodes: DataFrame | None = None, size: int = cells.CELL) -> DataFrame:
+    """request_id and cost alone, as routes() has them."""
+    edges = weighted(graph.edges, weather, overlay, blocked_nodes).select("src", "dst", "weight", "ord")
+    ask = cut(requests.select("request_id", "start", "goal").where("start != goal"))
+    found = cells.costs(cells.split(graph.nodes, edges, size), ask, HEURISTIC)
+    return found.join(ask.select("request_id", F.col("goal").alias("node")), ["request_id", "node"], "left_semi").select("request_id", F.col("at.cost").alias("cost"))
 
 
 def route_features(routes: DataFrame, weather: str = "normal") -> DataFrame:
@@ -224,8 +185,4 @@ def virtual_routes(graph: Graph, virtual: DataFrame, requests: DataFrame, weathe
     return routes(Graph(cut(whole.nodes), cut(whole.edges)), requests, weather)
 
 
-def edge_times(edges: DataFrame) -> DataFrame:
-    return edges.withColumn("travel_time", travel_time())
-
-
 assert HEURISTIC <= min(r[1] for r in ROAD_CLASSES)

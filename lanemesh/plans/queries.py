@@ -276,13 +276,14 @@ _ROUTES_SQL = fx.sql(
 @query(_ROUTES_SQL)
 def route_cost_batch(spark, d):
     g = component(spark, d)
-    return paths.routes(g, requests(spark, d, g)).select("request_id", F.round("cost", 3).alias("cost"))
+    return paths.route_costs(g, requests(spark, d, g)).select("request_id", F.round("cost", 3).alias("cost"))
 
 
 @query(_ROUTES_SQL)
 def route_cost_heap(spark, d):
     g = component(spark, d)
-    return paths.routes_by_heap(paths.weighted(g.edges), requests(spark, d, g)).select("request_id", F.round("cost", 3).alias("cost"))
+    """The same over cells so small that paths cross many."""
+    return paths.route_costs(g, requests(spark, d, g), size=2000).select("request_id", F.round("cost", 3).alias("cost"))
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lanemesh.functions import geo, text
 from lanemesh.functions.roads import coefficients, travel_time, weight
-from lanemesh.operators import geocode, graph, paths, spatial, zones
+from lanemesh.operators import geocode, graph, paths, postings, spatial, zones
 from lanemesh.plans.service import Engine, validated
 from lanemesh.schemas import OSM_NODES, OSM_WAYS, REQUESTS, ZONES, Graph, OsmData
 from lanemesh.sources import osm
@@ -65,7 +65,7 @@ def test_route_flips_only_in_flood(spark):
     assert lengths == {"normal": [1, 2], "rain": [1, 2], "flood": [1, 4, 5, 2]}
     got = paths.routes(g, ask).first()
     assert abs(got.distance - 103.809407) < 1e-5 and abs(got.duration - 103.809407 / 1000 / 30 * 3600) < 1e-5
-    assert paths.routes_by_heap(paths.weighted(g.edges), ask).first().path == [1, 2]
+    assert paths.routes(g, ask, size=1).first().path == [1, 2] and abs(paths.route_costs(g, ask, size=1).first().cost - got.cost) < 1e-9
 
 
 def test_oneway_directions(spark):
@@ -208,7 +208,7 @@ def test_phrases_and_relevance(spark, names):
     asked = ["pho linh", "Pho Linh Na", "linh", "duong", "đường", "nam pho", "77", "-"]
     q = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
     found = {}
-    for r in geocode.phrase_search(geocode.indexed(names), q).collect():
+    for r in postings.phrase_search(postings.build(names), q).collect():
         found.setdefault(asked[r.query_id], {})[r.id] = round(r.relevance, 6)
     assert found["pho linh"] == {1: 0.81754, 6: 0.81754}
     assert set(found["Pho Linh Na"]) == {1} and abs(found["Pho Linh Na"][1] - 1.5204232) < 1e-5
@@ -249,14 +249,6 @@ def test_search_joins_find_all_pairs(spark):
     assert geocode.fuzzy_matches(index.limit(0), whole).count() == 0 and geocode.like_matches(index.limit(0), queries).count() == 0
 
 
-def test_phrases_start_from_the_rarest_token(spark, names):
-    q = spark.createDataFrame([(1, "pho linh na"), (2, "pho nowhere x")], "query_id long, query string").select("query_id", text.tokens(F.col("query")).alias("q"))
-    index = geocode.indexed(names)
-    got = [(r.query_id, r.id) for r in geocode.candidates(index, q).collect()]
-    rare = min(("pho", "linh"), key=lambda t: (sum(t in r.tokens for r in index.collect()), t))
-    assert sorted(got) == [(1, r.id) for r in index.collect() if rare in r.tokens]
-
-
 @pytest.mark.parametrize("seed", range(3))
 def test_components_and_paths_of_random_graphs(spark, seed):
     rng = random.Random(seed)
