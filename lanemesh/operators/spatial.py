@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanemesh.functions import geo
 from lanemesh.lineage import cut
+from lanemesh.operators.boxes import SIDES, dealt, meeting
 from lanemesh.operators.graph import degrees
 from lanemesh.operators.paths import edges_of_paths
 from lanemesh.schemas import Graph
 
-#: Side of the grid cells, in degrees, by which zones meet edges and nodes.
-ZONE_CELL = 0.002
+#: Twice the area, in square degrees, that rounding may give to three points in a line.
+SLACK = 1e-12
 BARRIER = 1e-6
 LEAST_DEGREE = 3
 BLOCKING_PENALTY = 100.0
 DEFAULT_PENALTY = 15.0
+#: Side of a cell for nearest edges, in cutoffs; points and edges of a cell that meet in one task; pairs of them in arrays at a time.
+CELLS_A_CUTOFF, POINTS, EDGES, PAIRS = 4, 4096, 32768, 1_000_000
 METRES_A_RADIAN_DEGREE = math.radians(1) * geo.EARTH_RADIUS
 
 
@@ -82,24 +87,62 @@ def _crossed(rows: DataFrame, dlon: float, dlat: float, side_x: float, side_y: f
     return rows.withColumn("cy", F.explode(cells)).drop("y1", "y2")
 
 
+def _nearest_rows(points: pa.Table, edges: pa.Table, dlat: float, dlon: float) -> pa.Table:
+    """key_ and ord of the edges that may be nearest to each point: within rounding of the least distance, and within the cutoff in both coordinates."""
+    get = lambda table, name: table[name].to_numpy()
+    lat, lon = get(points, "plat"), get(points, "plon")
+    ax, ay, bx, by, order = (get(edges, c) for c in ("src_lon", "src_lat", "dst_lon", "dst_lat", "ord"))
+    dx, dy = bx - ax, by - ay
+    size = dx * dx + dy * dy
+    still = size == 0
+    size = np.where(still, 1.0, size)
+    who, what = [], []
+    step = max(1, PAIRS // max(1, len(order)))
+    for k in range(0, len(lat), step):
+        px, py = lon[k : k + step, None], lat[k : k + step, None]
+        t = np.clip(((px - ax) * dx + (py - ay) * dy) / size, 0.0, 1.0)
+        t[:, still] = 0.0
+        x, y = ax + t * dx, ay + t * dy
+        i, j = np.nonzero((np.abs(py - y) <= dlat) & (np.abs(px - x) <= dlon))
+        if not len(i):
+            continue
+        y1, y2, x1, x2 = (np.radians(v) for v in (lat[k + i], y[i, j], lon[k + i], x[i, j]))
+        a = np.sin((y2 - y1) / 2) ** 2 + np.cos(y1) * np.cos(y2) * np.sin((x2 - x1) / 2) ** 2
+        far = 2 * geo.EARTH_RADIUS * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+        least = np.full(len(px), np.inf)
+        np.minimum.at(least, i, far)
+        near = far <= least[i] * (1 + 1e-7) + 1e-6
+        who.append(k + i[near])
+        what.append(j[near])
+    who, what = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (who, what))
+    return pa.table({"key_": points["key_"].take(pa.array(who)), "ord": pa.array(order[what])})
+
+
 def nearest_edges(points: DataFrame, graph: Graph, metres: float = 50.0, key: str = "point_id") -> DataFrame:
     """key, src, dst, distance, t, lat, lon of the projection on the nearest edge, taken straight between its nodes, up to so many metres away; ties to the least ord.
 
-    The projection is made in raw degrees. Edges are laid out over the cells they cross; of the pairs that meet, those
-    whose projection is beyond the cutoff in latitude or longitude alone are dropped first, then each point's least
-    distance is found, and only the edges at that distance are looked at whole."""
+    The projection is made in raw degrees. Edges are laid out over the cells they cross, and a task compares the points of
+    a cell with its edges, POINTS by EDGES at most, in arrays; what may be the nearest edge of a point leaves it, and
+    the least distance of those decides. Cells with more rows are dealt out."""
     top = max(abs(x or 0.0) for x in graph.nodes.agg(F.min("lat"), F.max("lat")).first())
     dlat = metres / METRES_A_RADIAN_DEGREE * 1.001
     dlon = dlat / max(math.cos(math.radians(min(89.0, top + dlat))), 1e-3)
     at = lambda s: graph.nodes.select(F.col("id").alias(s), F.col("lat").alias(f"{s}_lat"), F.col("lon").alias(f"{s}_lon"))
     rows = cut(graph.edges.select("src", "dst", "ord").join(at("src"), "src").join(at("dst"), "dst"))
-    side_x, side_y = 2 * dlon, 2 * dlat
+    side_x, side_y = CELLS_A_CUTOFF * dlon, CELLS_A_CUTOFF * dlat
     here = cut(points.select(key, F.col("lat").alias("plat"), F.col("lon").alias("plon"), geo.cell(F.col("lon"), side_x).alias("cx"), geo.cell(F.col("lat"), side_y).alias("cy")))
     t, x, y = geo.projection(F.col("plon"), F.col("plat"), F.col("src_lon"), F.col("src_lat"), F.col("dst_lon"), F.col("dst_lat"))
     distance = geo.haversine(F.col("plat"), F.col("plon"), y, x)
-    # a small table of edges makes many pairs: every core takes some
+    # a small table of edges makes many rows: every core takes some
     rows = rows.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "dst")
-    met = _crossed(rows, dlon, dlat, side_x, side_y).join(here, ["cx", "cy"]).where((F.abs(F.col("plat") - y) <= dlat) & (F.abs(F.col("plon") - x) <= dlon))
+    left, right, keys = dealt(here, _crossed(rows, dlon, dlat, side_x, side_y), ["cx", "cy"], POINTS, EDGES)
+    kind = points.schema[key].dataType.simpleString()
+
+    def near(p: pa.Table, e: pa.Table) -> pa.Table:
+        return _nearest_rows(p.rename_columns([c if c != key else "key_" for c in p.column_names]), e, dlat, dlon).rename_columns([key, "ord"])
+
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(near, f"{key} {kind}, ord long")
+    met = cut(met).join(rows, "ord").join(here.drop("cx", "cy"), key)
     least = cut(met.groupBy(key).agg(F.min(distance).alias("least")).where(F.col("least") <= metres))
     tied = met.join(least, key).where(distance == F.col("least")).groupBy(key).agg(F.min(F.struct("ord", "src", "dst")).alias("e"))
     found = cut(tied.select(key, "e.ord", "e.src", "e.dst")).join(here.drop("cx", "cy"), key).join(at("src"), "src").join(at("dst"), "dst")
@@ -150,23 +193,19 @@ def prepared(zones: DataFrame) -> DataFrame:
     return out.withColumns({"minx": F.col("minx") - F.col("reach"), "maxx": F.col("maxx") + F.col("reach"), "miny": F.col("miny") - F.col("reach"), "maxy": F.col("maxy") + F.col("reach")})
 
 
-def _celled(rows: DataFrame, side: float) -> DataFrame:
-    spans = rows.withColumn("cx", F.explode(F.sequence(geo.cell(F.col("minx"), side), geo.cell(F.col("maxx"), side))))
-    return spans.withColumn("cy", F.explode(F.sequence(geo.cell(F.col("miny"), side), geo.cell(F.col("maxy"), side))))
-
-
-def _meeting(rows: DataFrame, zones: DataFrame, side: float) -> DataFrame:
-    """Pairs whose boxes meet, each once: in the cell of the boxes' common lower corner."""
-    z = _celled(zones, side).withColumnsRenamed({c: f"z{c}" for c in ("minx", "maxx", "miny", "maxy")})
-    met = _celled(rows, side).join(z, ["cx", "cy"])
-    met = met.where((F.col("minx") <= F.col("zmaxx")) & (F.col("zminx") <= F.col("maxx")) & (F.col("miny") <= F.col("zmaxy")) & (F.col("zminy") <= F.col("maxy")))
-    return met.where((F.col("cx") == geo.cell(F.greatest("minx", "zminx"), side)) & (F.col("cy") == geo.cell(F.greatest("miny", "zminy"), side)))
+def _apart(a: Column, b: Column) -> Column:
+    """The straight line through a and b has a zone's box (zminx and so on) wholly on one side."""
+    dx, dy = b["lon"] - a["lon"], b["lat"] - a["lat"]
+    turns = [dx * (F.col(y) - a["lat"]) - dy * (F.col(x) - a["lon"]) for x in ("zminx", "zmaxx") for y in ("zminy", "zmaxy")]
+    return (F.least(*turns) > SLACK) | (F.greatest(*turns) < -SLACK)
 
 
-def edges_in_zones(edges: DataFrame, zones: DataFrame, side: float = ZONE_CELL) -> DataFrame:
+def edges_in_zones(edges: DataFrame, zones: DataFrame) -> DataFrame:
     """zone_id, src, dst, ord of edges whose polyline meets a zone."""
     rows = edges.select("src", "dst", "ord", "geometry").withColumns(geo.box(F.col("geometry")))
-    met = _meeting(rows, prepared(zones).select("zone_id", "geom_type", "parts", "centre", "reach", "minx", "maxx", "miny", "maxy"), side)
+    met = meeting(rows, prepared(zones).select("zone_id", "geom_type", "parts", "centre", "reach", *SIDES))
+    first, last = F.get("geometry", F.lit(0)), F.get("geometry", F.lit(1))
+    met = met.where((F.size("geometry") != 2) | ~_apart(first, last))
     hit = (
         F.when(F.col("geom_type") == "Point", geo.line_meets_circle(F.col("geometry"), F.col("centre"), F.col("reach")))
         .when(F.col("geom_type") == "LineString", F.exists(F.flatten("parts"), lambda r: geo.line_meets_line(F.col("geometry"), r)))
@@ -175,11 +214,11 @@ def edges_in_zones(edges: DataFrame, zones: DataFrame, side: float = ZONE_CELL)
     return met.where(hit).select("zone_id", "src", "dst", "ord")
 
 
-def nodes_in_zones(graph: Graph, zones: DataFrame, least_degree: int = LEAST_DEGREE, side: float = ZONE_CELL) -> DataFrame:
+def nodes_in_zones(graph: Graph, zones: DataFrame, least_degree: int = LEAST_DEGREE) -> DataFrame:
     """zone_id, id of nodes inside zones or on their border, of so large an out-degree at least."""
     busy = degrees(graph.edges).where(F.col("degree") >= least_degree)
     rows = graph.nodes.join(busy, "id").select("id", "lat", "lon", *(F.col(c).alias(n) for n, c in (("minx", "lon"), ("maxx", "lon"), ("miny", "lat"), ("maxy", "lat"))))
-    met = _meeting(rows, prepared(zones).select("zone_id", "geom_type", "parts", "centre", "reach", "minx", "maxx", "miny", "maxy"), side)
+    met = meeting(rows, prepared(zones).select("zone_id", "geom_type", "parts", "centre", "reach", *SIDES))
     p = geo.point(F.col("lon"), F.col("lat"))
     hit = F.when(F.col("geom_type") == "Point", geo.planar2(F.col("lat"), F.col("lon"), F.col("centre.lat"), F.col("centre.lon")) <= F.col("reach") * F.col("reach")).when(F.col("geom_type") == "LineString", F.exists(F.flatten("parts"), lambda r: F.exists(geo.segments(r), lambda s: geo.on_segment(s["a"], s["b"], p)))).otherwise(F.exists("parts", lambda rings: geo.in_rings(p, rings)))
     return met.where(hit).select("zone_id", "id")
@@ -189,12 +228,12 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select("src", "dst").union(pairs.select("dst", "src")).distinct()
 
 
-def hard_barriers(edges: DataFrame, lines: DataFrame, distance: float = BARRIER, side: float = ZONE_CELL) -> DataFrame:
+def hard_barriers(edges: DataFrame, lines: DataFrame, distance: float = BARRIER) -> DataFrame:
     """src, dst, both ways, of edges that come within `distance` degrees of a barrier (column line, an array of points); null and empty lines are skipped."""
     rows = edges.select("src", "dst", "geometry").withColumns(geo.box(F.col("geometry")))
     walls = lines.where(F.size("line") > 0).select("line", *(v.alias(k) for k, v in geo.box(F.col("line")).items()))
     walls = walls.withColumns({"minx": F.col("minx") - distance, "maxx": F.col("maxx") + distance, "miny": F.col("miny") - distance, "maxy": F.col("maxy") + distance})
-    return both_ways(_meeting(rows, walls, side).where(geo.lines_within(F.col("geometry"), F.col("line"), distance)))
+    return both_ways(meeting(rows, walls).where(geo.lines_within(F.col("geometry"), F.col("line"), distance)))
 
 
 def overlay(graph: Graph, zones: DataFrame, block_intersections: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -100,9 +100,10 @@ def raw_edges(spark, d):
     return raw(spark, d).edges.select("src", "dst", "way_id", F.round("length", 3).alias("length"), "highway_type", "name", "speed", "c_highway", "ord")
 
 
-@query(fx.sql(fx.ROADS, "SELECT way_id, round(sum(length), 3) AS metres FROM fx_edges WHERE ord % 2 = 0 GROUP BY way_id"))
+@query(fx.sql(fx.ROADS, "SELECT way_id, round(sum(length), 3) AS metres FROM (SELECT way_id, ord // 2 AS step, min(length) AS length FROM fx_edges GROUP BY ALL) GROUP BY way_id"))
 def edge_lengths(spark, d):
-    return raw(spark, d).edges.where("ord % 2 = 0").groupBy("way_id").agg(F.round(F.sum("length"), 3).alias("metres"))
+    """Each segment once, whichever its directions."""
+    return raw(spark, d).edges.groupBy("way_id", F.expr("ord div 2").alias("step")).agg(F.min("length").alias("length")).groupBy("way_id").agg(F.round(F.sum("length"), 3).alias("metres"))
 
 
 def _weights(weather):
@@ -437,7 +438,7 @@ def blocked_from_path(spark, d):
 def hard_barriers(spark, d):
     wall = F.array(geo.point(F.lit(105.8), F.lit(21.0000123)), geo.point(F.lit(105.95), F.lit(21.0000123)))
     lines = spark.range(3).select(F.when(F.col("id") == 0, wall).when(F.col("id") == 1, F.slice(wall, 1, 0)).alias("line"))
-    return spatial.hard_barriers(raw(spark, d).edges, lines, side=0.02)
+    return spatial.hard_barriers(raw(spark, d).edges, lines)
 
 
 # Addresses
