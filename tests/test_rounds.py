@@ -2,14 +2,15 @@
 
 import heapq
 import itertools
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lanemesh import lineage
-from lanemesh.functions import text
-from lanemesh.operators import cells, graph, paths, postings, reach
+from lanemesh.functions import geo, text
+from lanemesh.operators import boxes, cells, graph, paths, postings, reach, spatial
 from lanemesh.schemas import Graph
 
 # Posting lists
@@ -166,3 +167,64 @@ def test_paths_over_cells(spark, monkeypatch, size, asked):
     if size == 12:
         parts = cells.celled(g.nodes, size).groupBy("cell").count().collect()
         assert len(parts) > 5 and max(r["count"] for r in parts) < 40
+
+
+# Boxes
+
+
+@pytest.mark.parametrize("load", [20_000, 4])
+def test_boxes_of_all_sizes_meet_once(spark, monkeypatch, load):
+    monkeypatch.setattr(boxes, "LOAD", load)
+    rng = random.Random(load)
+
+    def box(size):
+        x, y = rng.uniform(-20, 20), rng.uniform(-20, 20)
+        return x, x + rng.random() * size, y, y + rng.random() * size
+
+    small = [(i, *box(rng.choice([0.0, 1e-6, 0.01, 0.5]))) for i in range(150)]
+    small += [(200 + i, 7.0 + i / 1000, 7.0 + i / 1000, 7.0, 7.0) for i in range(60)]  # a city in one cell
+    large = [(i, *box(rng.choice([1e-4, 0.3, 3.0, 30.0]))) for i in range(40)] + [(50, -180.0, 180.0, -90.0, 90.0), (51, 7.0, 7.01, 7.0, 7.0), (52, 0.0, 8.0, 0.0, 8.0)]
+    schema = "{} long, minx double, maxx double, miny double, maxy double"
+    met = boxes.meeting(spark.createDataFrame(small, schema.format("i")), spark.createDataFrame(large, schema.format("j")))
+    got = [(r.i, r.j) for r in met.select("i", "j").collect()]
+    want = {(a[0], b[0]) for a in small for b in large if a[1] <= b[2] and b[1] <= a[2] and a[3] <= b[4] and b[3] <= a[4]}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
+def test_a_country_is_laid_over_few_cells(spark):
+    zone = spark.createDataFrame([(1, 100.0, 112.0, 8.0, 23.0)], "j long, minx double, maxx double, miny double, maxy double")
+    roads = spark.range(5000).select("id", *((F.lit(a) + F.col("id") * 1e-6).alias(c) for c, a in (("minx", 105.8), ("maxx", 105.801), ("miny", 21.0), ("maxy", 21.001))))
+    assert boxes.meeting(roads, zone).count() == 5000
+    at = boxes.level(*(F.col(c) for c in boxes.SIDES))
+    assert boxes._cells(zone, F.array(at), "own").count() <= 4
+    assert spark.createDataFrame([], "j long, minx double, maxx double, miny double, maxy double").count() == boxes.meeting(roads.limit(0), zone).count() == 0
+
+
+@pytest.mark.parametrize("points, edges", [(4096, 32768), (3, 5)])
+def test_nearest_edges_in_a_dense_place(spark, monkeypatch, points, edges):
+    monkeypatch.setattr(spatial, "POINTS", points)
+    monkeypatch.setattr(spatial, "EDGES", edges)
+    g, rows = street_grid(spark, 6, 3)
+    rng = random.Random(1)
+    asked = [(i, 21.002 + rng.random() * 1e-4, 105.002 + rng.random() * 1e-4) for i in range(40)] + [(40 + i, 21 + rng.random() * 0.006, 105 + rng.random() * 0.006) for i in range(20)] + [(99, 30.0, 100.0), (98, 21.002, 105.002), (97, 21.002, 105.0025)]
+    place = {r.id: (r.lat, r.lon) for r in g.nodes.collect()}
+
+    def plain(lat, lon):
+        best = None
+        for k, (a, b, _) in enumerate(rows):
+            (ay, ax), (by, bx) = place[a], place[b]
+            dx, dy = bx - ax, by - ay
+            t = max(0.0, min(1.0, ((lon - ax) * dx + (lat - ay) * dy) / (dx * dx + dy * dy)))
+            x, y = ax + t * dx, ay + t * dy
+            h = math.sin(math.radians(y - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(y)) * math.sin(math.radians(x - lon) / 2) ** 2
+            d = 2 * geo.EARTH_RADIUS * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+            if d <= 50 and (best is None or d < best[0]):
+                best = (d, k)
+        return best
+
+    got = {r.point_id: r for r in spatial.nearest_edges(spark.createDataFrame(asked, "point_id long, lat double, lon double"), g).collect()}
+    for i, lat, lon in asked:
+        want = plain(lat, lon)
+        assert (want is None) == (i not in got)
+        if want:
+            assert abs(got[i].distance - want[0]) < 1e-6 and {got[i].src, got[i].dst} & set(rows[want[1]][:2])
