@@ -39,7 +39,16 @@ def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     finally:
         spark.conf.set(CLEAN_UP, before)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables that keep() wrote, once what reads them has been written itself."""
+    for df in tables:
+        _made.remove((df.sparkSession, df.kept_path))
+        _remove(df.sparkSession, df.kept_path)
 
 
 def once(key, make):
@@ -53,12 +62,15 @@ def once(key, make):
 def forget() -> None:
     """Removes the tables that keep() wrote."""
     while _made:
-        spark, path = _made.pop()
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has gone
-            pass
+        _remove(*_made.pop())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has gone
+        pass
 
 
 atexit.register(forget)

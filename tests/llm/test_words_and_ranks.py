@@ -243,3 +243,53 @@ def test_one_of_each_of_copies_under_one_id(spark):
     rows = [(1, a), (1, a + " more"), (1, a)]
     kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(kept) == 1
+
+
+# Passages: copies over tasks, and edited passages
+
+
+def test_copies_over_many_tasks_are_seeded_once(spark):
+    from llm import passages
+
+    text = " ".join(f"w{i * i % 1009}" for i in range(300))
+    rows = [(i if i % 3 else None, text, "x") for i in range(200)] + [(900, None, "x"), (901, "short", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tid string").repartition(20)
+    texts = passages._words(docs)
+    seeds = passages._seeds(texts).select("seed", "tid", "pos").collect()
+    assert texts.count() == 1 and len(seeds) == len(set(seeds))
+    got = passages.passages(docs).collect()
+    assert {r.kind for r in got} == {"copy"} and len(got) == 199
+
+
+@pytest.mark.parametrize("words_long", [60, 80, 120])
+def test_edited_passages_are_found(spark, words_long):
+    from llm import passages
+
+    rng = random.Random(words_long)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for share in (0.05, 0.1, 0.15, 0.2):
+        for _ in range(25):
+            own = fresh(words_long)
+            edited = list(own)
+            for k in rng.sample(range(words_long), int(words_long * share)):
+                edited[k] = f"x{rng.randrange(10**9)}"
+            for p in (own, edited):
+                rows.append((len(rows), " ".join(fresh(40) + p + fresh(40))))
+    found = {tuple(sorted((r.doc_id, r.other_id))) for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(i, i + 1) for i in range(0, len(rows), 2)}
+    assert found <= want and len(found) >= 0.9 * len(want)
+
+
+def test_the_widest_similar_stretch(spark):
+    import numpy as np
+
+    from llm import passages
+
+    rng = np.random.default_rng(0)
+    for _ in range(500):
+        n = int(rng.integers(1, 40))
+        equal = (rng.random(n) < rng.random()).astype(float)
+        i, j = passages.widest(equal)
+        most = max((b - a for a in range(n) for b in range(a + 1, n + 1) if equal[a] and equal[b - 1] and equal[a:b].sum() >= passages.SIMILAR * (b - a) - 1e-9), default=0)
+        assert j - i <= most and (j == i or equal[i:j].sum() >= passages.SIMILAR * (j - i) - 1e-9) and (most == 0 or j > i)
