@@ -57,6 +57,10 @@ class Memory(dict):
         self[key] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
+
 
 def byte_symbols() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary: bytes that print stand for themselves, others count up from U+0100."""
@@ -169,6 +173,11 @@ class ForcedBoundaryBpe:
             ids += filter(None, [found[x] if len(x) <= BRIEF else brief(x) for x in chunks])
         return " ".join(ids)
 
+    def forget(self) -> None:
+        """Frees what was remembered: a worker that goes on to other work keeps the vocabulary alone."""
+        for memory in (self._fragments, self._words, self._chunks):
+            memory.forget()
+
     def decode(self, ids: str) -> str:
         """The text of ids that one space joins: this tokenizer has no decoder, so its tokens are joined by one space as well."""
         return " ".join(map(self._token, ids.split(" "))) if ids else ""
@@ -195,5 +204,6 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, ids: bool = Fa
                     columns.append(pa.array([[int(i) for i in a.split(" ")] if a else [] for a in rows], pa.list_(pa.int32())))
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        coder.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA + (", token_ids array<int>" if ids else ""))
