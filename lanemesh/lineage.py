@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _written: dict[str, SparkSession] = {}
 
 
-def _path(spark: SparkSession, kind: str) -> str:
+def new_path(spark: SparkSession, kind: str) -> str:
     """A new path in the folder all executors share: spark.checkpoint.dir; where all runs on one machine, one in the warehouse will do."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
@@ -25,7 +25,7 @@ def _path(spark: SparkSession, kind: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df as a written table, read again: rounds neither recompute earlier ones nor lose them with an executor."""
     spark = df.sparkSession
-    path = _path(spark, "round")
+    path = new_path(spark, "round")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -33,7 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
 def bucketed(df: DataFrame, *keys: str, bloom: str | None = None) -> DataFrame:
     """df as a written table in buckets by keys, sorted in each: joins on the keys don't shuffle it. With `bloom`, files have a Bloom filter of that column."""
     spark = df.sparkSession
-    path = _path(spark, "buckets")
+    path = new_path(spark, "buckets")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = "lanemesh_" + path.rsplit("-", 1)[1]
     writer = df.repartition(n, *keys).sortWithinPartitions(*keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path)

@@ -1,78 +1,162 @@
-"""Stored flood zones: tables rewritten as a whole, with an id mark that never goes back."""
+"""Stored flood zones: a log of changes that readers merge, so that writers never rewrite or lose each other's."""
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanemesh.lineage import cut
+from lanemesh.operators.geocode import numbered
 from lanemesh.schemas import STORED_ZONES
 
 UPDATABLE = ("name", "type", "geometry", "severity", "is_active")
 DEFAULT_SEVERITY = 5.0
+CHANGE = f"op string, {STORED_ZONES}"
+#: Seconds after which a writer that claimed a version and didn't write it is given up.
+LEASE = 3600.0
 
 
 class ZoneTable:
-    """Zones in a folder: each change writes a new version; the highest is current. Readers of an older one are not disturbed."""
+    """Zones in a folder. A change is appended under a version of its own, which its writer claims by creating a file that must not exist yet; the file holds the greatest id given out so far, so two writers never give the same one. Readers see the versions that are written whole, and merge them: each column has its latest value that isn't null, and a deleted zone stays deleted. compact() folds versions into a base."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        jvm = spark._jvm
-        self._fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        if not self._versions():
-            self._write(spark.createDataFrame([], STORED_ZONES), 0)
-
-    def _versions(self) -> list[tuple[int, int]]:
-        """(version, id mark) of complete versions."""
-        if not self._fs.exists(self._at(self.path)):
-            return []
-        found = []
-        for s in self._fs.listStatus(self._at(self.path)):
-            name = s.getPath().getName()
-            if name.startswith("v") and self._fs.exists(self._at(f"{self.path}/{name}/_SUCCESS")):
-                version, _, mark = name[1:].partition("-")
-                found.append((int(version), int(mark)))
-        return sorted(found)
-
-    def _write(self, df: DataFrame, mark: int) -> None:
-        versions = self._versions()
-        version = versions[-1][0] + 1 if versions else 1
-        df.write.parquet(f"{self.path}/v{version}-{mark}")
+        self._jvm = spark._jvm
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._at("claims"))
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._at(folder)
+        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def _complete(self, kind: str) -> list[int]:
+        """Numbers of the folders of a kind that are written whole."""
+        return sorted(int(n[1:]) for n in self._names(kind) if self._fs.exists(self._at(f"{kind}/{n}/_SUCCESS")))
+
+    def _claimed(self, version: int) -> tuple[int, str]:
+        """The id mark and tag that a version was claimed with; waits for a writer that is just writing them."""
+        for _ in range(200):
+            stream = self._fs.open(self._at(f"claims/v{version}"))
+            try:
+                text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if text.endswith(";"):
+                mark, _, tag = text[:-1].partition(",")
+                return int(mark), tag
+            time.sleep(0.05)
+        return self._claimed(version - 1) if version > 1 else (0, "")
+
+    def _latest(self) -> tuple[int, int]:
+        """The greatest version claimed, and its id mark."""
+        versions = [int(n[1:]) for n in self._names("claims") if n.startswith("v")]
+        return (max(versions), self._claimed(max(versions))[0]) if versions else (0, 0)
+
+    def _claim(self, new_ids: int, tag: str = "") -> tuple[int, int]:
+        """A version of one's own, and the id mark before it."""
+        while True:
+            version, mark = self._latest()
+            try:
+                stream = self._fs.create(self._at(f"claims/v{version + 1}"), False)
+            except Exception as e:  # another writer was first
+                if "exist" not in str(e):
+                    raise
+                continue
+            stream.write(bytearray(f"{mark + new_ids},{tag};".encode()))
+            stream.close()
+            return version + 1, mark
+
+    def _append(self, changes: DataFrame, version: int) -> None:
+        changes.write.parquet(f"{self.path}/log/v{version}")
+
+    def _log(self, after: int, upto: int | None = None) -> DataFrame:
+        versions = [v for v in self._complete("log") if v > after and (upto is None or v <= upto)]
+        rows = None
+        for v in versions:
+            one = self.spark.read.schema(CHANGE).parquet(f"{self.path}/log/v{v}").withColumn("version", F.lit(v))
+            rows = one if rows is None else rows.union(one)
+        return self.spark.createDataFrame([], CHANGE).withColumn("version", F.lit(0)) if rows is None else rows
+
+    def _merged(self, upto: int | None = None) -> DataFrame:
+        bases = [b for b in self._complete("base") if upto is None or b <= upto]
+        rows = self._log(bases[-1] if bases else 0, upto)
+        if bases:
+            base = self.spark.read.schema(STORED_ZONES).parquet(f"{self.path}/base/b{bases[-1]}")
+            rows = rows.unionByName(base.withColumns({"op": F.lit("create"), "version": F.lit(0)}))
+        last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("version"))).alias(c)
+        one = rows.groupBy("id").agg(*(last(c) for c in (*UPDATABLE, "updated_at")), F.max(F.col("op") == "create").alias("made"), F.max(F.col("op") == "delete").alias("gone"))
+        return one.where("made and not gone").select("id", *UPDATABLE, "updated_at")
 
     def read(self, include_inactive: bool = True) -> DataFrame:
-        version, mark = self._versions()[-1]
-        out = self.spark.read.schema(STORED_ZONES).parquet(f"{self.path}/v{version}-{mark}")
+        out = self._merged()
         return out if include_inactive else active(out)
 
     def create(self, zones: DataFrame, now: datetime | None = None) -> list[int]:
-        """Appends rows (name, geometry, optionally type, severity, is_active), and gives their ids, in the order of name and geometry."""
-        mark = self._versions()[-1][1]
-        rows = created(zones, mark, now)
-        rows = cut(rows)
-        ids = [r[0] for r in rows.select("id").orderBy("id").collect()]
-        self._write(self.read().unionByName(rows), mark + len(ids))
-        return ids
+        """Adds rows (name, geometry, optionally type, severity, is_active), and gives their ids, in the order of name and geometry."""
+        rows = cut(zones)
+        n = rows.count()
+        version, mark = self._claim(n)
+        self._append(created(rows, mark, now).withColumn("op", F.lit("create")), version)
+        return list(range(mark + 1, mark + n + 1))
+
+    def apply(self, changes: DataFrame, now: datetime | None = None, tag: str = "") -> None:
+        """Changes (op update or delete, id, some of UPDATABLE), one of each zone at most; those of zones that aren't there have no effect. Changes with a tag that a version has already are left out."""
+        if tag and any(self._claimed(v)[1] == tag for v in self._complete("log")):
+            return
+        given = lambda c: F.col(c).cast(kinds[c]) if c in changes.columns else F.lit(None).cast(kinds[c])
+        kinds = {f.split(" ")[0]: f.split(" ")[1] for f in STORED_ZONES.split(", ")}
+        some = F.lit(False)
+        for c in UPDATABLE:
+            some = some | given(c).isNotNull()
+        rows = changes.select("op", F.col("id").cast("long").alias("id"), *(given(c).alias(c) for c in UPDATABLE), F.when(some, _stamp(now)).alias("updated_at"))
+        rows = cut(rows.where((F.col("op") == "delete") | some))
+        version, _ = self._claim(0, tag)
+        self._append(rows, version)
 
     def update(self, zone_id: int, now: datetime | None = None, **changes) -> bool:
         """Changes some columns of a zone; None leaves one as it is. False if nothing was to change or there is no such zone."""
         changes = {k: v for k, v in changes.items() if k in UPDATABLE and v is not None}
         if not changes or self.read().where(F.col("id") == zone_id).first() is None:
             return False
-        patch = self.spark.createDataFrame([(zone_id, *changes.values())], ["id", *changes])
-        self._write(patched(self.read(), patch, now), self._versions()[-1][1])
+        self.apply(self.spark.createDataFrame([("update", zone_id, *changes.values())], ["op", "id", *changes]), now)
         return True
 
     def delete(self, zone_id: int) -> bool:
         if self.read().where(F.col("id") == zone_id).first() is None:
             return False
-        self._write(self.read().where(F.col("id") != zone_id), self._versions()[-1][1])
+        self.apply(self.spark.createDataFrame([("delete", zone_id)], "op string, id long"))
         return True
 
-
-def _stamp(now: datetime | None):
+    def compact(self, lease: float = LEASE) -> int:
+        """Folds all versions, up to the first that a writer may still be writing, into a base, and removes what the base before held. The version reached.
+
+        A version claimed more than `lease` seconds ago and not written is closed with no changes; its writer's own attempt then fails."""
+        done, reached = set(self._complete("log")), max(self._complete("base"), default=0)
+        before = reached
+        for v in range(reached + 1, self._latest()[0] + 1):
+            if v not in done:
+                made = self._fs.getFileStatus(self._at(f"claims/v{v}")).getModificationTime() / 1000
+                if time.time() - made < lease:
+                    break
+                self._append(self.spark.createDataFrame([], CHANGE), v)
+            reached = v
+        if reached > before:
+            self._merged(reached).write.parquet(f"{self.path}/base/b{reached}")
+            # readers of the base before may still be at it: what that one held goes
+            for v in [v for v in done if v <= before]:
+                self._fs.delete(self._at(f"log/v{v}"), True)
+            for b in self._complete("base")[:-2]:
+                self._fs.delete(self._at(f"base/b{b}"), True)
+        return reached
+
+
+def _stamp(now: datetime | None) -> Column:
     return F.lit(now).cast("timestamp") if now else F.current_timestamp()
 
 
@@ -81,12 +165,10 @@ def active(zones: DataFrame) -> DataFrame:
 
 
 def created(zones: DataFrame, mark: int, now: datetime | None = None) -> DataFrame:
-    """New zones with ids after the mark and defaults filled in. A batch of new zones is small: they are numbered in one task."""
-    from pyspark.sql import Window as W
-
+    """New zones with ids after the mark and defaults filled in."""
     has = lambda c, kind, default: F.coalesce(F.col(c).cast(kind), F.lit(default)) if c in zones.columns else F.lit(default)
-    number = F.row_number().over(W.orderBy("name", "geometry")) + mark
-    return zones.select(number.cast("long").alias("id"), "name", has("type", "string", "polygon").alias("type"), "geometry", has("severity", "double", DEFAULT_SEVERITY).alias("severity"), has("is_active", "boolean", True).alias("is_active"), _stamp(now).alias("updated_at"))
+    rows = zones.select("name", has("type", "string", "polygon").alias("type"), "geometry", has("severity", "double", DEFAULT_SEVERITY).alias("severity"), has("is_active", "boolean", True).alias("is_active"), _stamp(now).alias("updated_at"))
+    return numbered(rows, ["name", "geometry"]).select((F.col("id") + mark).alias("id"), *UPDATABLE, "updated_at")
 
 
 def patched(zones: DataFrame, patch: DataFrame, now: datetime | None = None) -> DataFrame:

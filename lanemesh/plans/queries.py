@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lanemesh.functions import geo, text
 from lanemesh.functions.roads import WEATHERS, coefficients, tag, travel_time, weight
-from lanemesh.lineage import cut
+from lanemesh.lineage import cut, new_path
 from lanemesh.operators import geocode, graph, paths, postings, spatial, zones
 from lanemesh.plans import fixtures as fx
 from lanemesh.schemas import Graph
@@ -375,10 +375,33 @@ def zone_update(spark, d):
     return out.select("id", "name", "severity", F.year("updated_at").alias("stamped"))
 
 
-@query(fx.sql([fx.ZONES], "SELECT zone_id AS id, name FROM fx_zones WHERE zone_id % 4 <> 1"))
+def zone_table(spark: SparkSession, d: str) -> zones.ZoneTable:
+    """The stored zones as a table of its own, made by two batches."""
+    t = zones.ZoneTable(spark, new_path(spark, "zones"))
+    rows = stored(spark, d)
+    for part in (rows.where("id % 2 = 0"), rows.where("id % 2 = 1")):
+        t.create(part.select("name", "geometry", "type", "severity", "is_active"), datetime(2024, 1, 1))
+    return t
+
+
+_SHAPE = "CASE WHEN zone_id % 6 = 4 THEN '{not json' ELSE '{\"type\":\"Point\",\"coordinates\":[' || printf('%.5f', lon) || ',' || printf('%.5f', lat) || ']}' END"
+_CREATED = f"made AS (SELECT row_number() OVER (ORDER BY zone_id % 2, name, {_SHAPE}) AS id, name, type, coalesce(severity, 5.0::DOUBLE) AS severity, is_active FROM fx_zones)"
+
+
+@query(fx.sql([fx.ZONES, _CREATED], "SELECT id, name, type, severity, is_active FROM made"))
+def zone_create(spark, d):
+    return zone_table(spark, d).read().select("id", "name", "type", "severity", "is_active")
+
+
+@query(fx.sql([fx.ZONES, _CREATED], "SELECT id, CASE WHEN id % 3 = 0 THEN 'renamed' ELSE name END AS name, CASE WHEN id % 3 = 0 THEN 42.0::DOUBLE ELSE severity END AS severity FROM made WHERE id % 4 <> 1"))
 def zone_delete(spark, d):
-    s = stored(spark, d)
-    return s.join(s.where("id % 4 = 1").select("id"), "id", "left_anti").select("id", "name")
+    """Deletions, and updates that come in part too late."""
+    t = zone_table(spark, d)
+    ids = t.read().select("id")
+    t.apply(ids.where("id % 4 = 1").withColumn("op", F.lit("delete")))
+    t.compact()
+    t.apply(ids.where("id % 3 = 0").withColumns({"op": F.lit("update"), "name": F.lit("renamed"), "severity": F.lit(42.0)}))
+    return t.read().select("id", "name", "severity")
 
 
 _MEET = """act AS (SELECT * FROM fx_zones WHERE is_active),

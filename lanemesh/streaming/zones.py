@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lanemesh.operators.zones import UPDATABLE, ZoneTable, patched
+from lanemesh.operators.zones import ZoneTable
 
 CHANGES = "op string, id long, name string, type string, geometry string, severity double, is_active boolean, ts timestamp"
 
@@ -17,17 +17,14 @@ def latest(changes: DataFrame) -> DataFrame:
     return changes.groupBy("id").agg(F.max_by(F.struct(*rest), "ts").alias("c")).select("id", "c.*")
 
 
-def apply_changes(table: ZoneTable, changes: DataFrame) -> None:
-    """Puts updates (op update) in and takes deletions (op delete) out."""
-    last = latest(changes)
-    now = table.read().join(last.where("op = 'delete'").select("id"), "id", "left_anti")
-    out = patched(now, last.where("op = 'update'").select("id", *UPDATABLE))
-    table._write(out, table._versions()[-1][1])
+def apply_changes(table: ZoneTable, changes: DataFrame, tag: str = "") -> None:
+    """Appends the last change of each zone: updates (op update) and deletions (op delete)."""
+    table.apply(latest(changes).where("op in ('update', 'delete')"), tag=tag)
 
 
 def follow(changes: DataFrame, table: ZoneTable, checkpoint: str) -> StreamingQuery:
-    """Applies a stream of CHANGES as it comes; ends once all that is there has been applied. A batch that is repeated after a failure gives the same table."""
-    return changes.writeStream.foreachBatch(lambda batch, _: apply_changes(table, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Applies a stream of CHANGES as it comes; ends once all that is there has been applied. A batch that is repeated after a failure is known by its number, and left out."""
+    return changes.writeStream.foreachBatch(lambda batch, n: apply_changes(table, batch, f"{checkpoint}#{n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def change_counts(changes: DataFrame, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:

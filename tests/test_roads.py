@@ -319,6 +319,40 @@ def test_zone_table(spark, tmp_path):
     assert {x["properties"]["name"] for x in f} == {"a", "c"} and all(x["properties"]["blockType"] == "flood" for x in f)
 
 
+def test_two_writers_of_zones(spark, tmp_path):
+    at = str(tmp_path / "zones")
+    a, b = zones.ZoneTable(spark, at), zones.ZoneTable(spark, at)
+    one = lambda n: spark.createDataFrame([(n, "{}")], "name string, geometry string")
+    a.create(one("first"))
+    begun = a._claim(1)  # a has claimed a version and an id, and hasn't written yet
+    assert b.create(one("second")) == [3] and b.update(1, severity=9.0)
+    assert [r.id for r in b.read().orderBy("id").collect()] == [1, 3]
+    assert b.compact() == 1  # up to the version that a may still write
+    a._append(zones.created(one("late"), begun[1]).withColumn("op", F.lit("create")), begun[0])
+    rows = {r.id: (r.name, r.severity) for r in b.read().collect()}
+    assert rows == {1: ("first", 9.0), 2: ("late", 5.0), 3: ("second", 5.0)}
+    assert a.compact() == 4 and a.compact() == 4 and {r.id: (r.name, r.severity) for r in b.read().collect()} == rows
+    gone = a._claim(0)
+    assert a.create(one("x")) == [4] and a.compact(lease=0.0) == 6
+    with pytest.raises(Exception, match="exist"):
+        b._append(spark.createDataFrame([], zones.CHANGE), gone[0])
+    assert a.delete(1) and not b.update(1, name="y") and a.compact() == 7
+    b.apply(spark.createDataFrame([("update", 1, "back")], "op string, id long, name string"))
+    assert {r.id for r in a.read().collect()} == {2, 3, 4}
+    assert sorted(n for n in a._names("base")) == ["b6", "b7"]
+
+
+def test_writers_at_once_claim_different_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    t = zones.ZoneTable(spark, str(tmp_path / "zones"))
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda n: t._claim(n), range(1, 25)))
+    assert sorted(v for v, _ in got) == list(range(1, 25))
+    spans = sorted((mark, mark + n) for n, (_, mark) in zip(range(1, 25), got, strict=True))
+    assert all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False)) and spans[-1][1] == sum(range(1, 25))
+
+
 def test_zone_stream(spark, tmp_path):
     from lanemesh.streaming.zones import CHANGES, change_counts, follow
 
@@ -330,6 +364,9 @@ def test_zone_stream(spark, tmp_path):
     stream = spark.readStream.schema(CHANGES).json(str(tmp_path / "in"))
     follow(stream, t, str(tmp_path / "check")).awaitTermination()
     assert [r.name for r in t.read().collect()] == ["new"]
+    at = t._latest()
+    t.apply(spark.createDataFrame([("delete", 1)], "op string, id long"), tag=f"{tmp_path / 'check'}#0")  # a batch that comes again
+    assert t._latest() == at and t.read().count() == 1
     counted = change_counts(spark.read.schema(CHANGES).json(str(tmp_path / "in")))
     assert {(r.op, r.n) for r in counted.collect()} == {("update", 2), ("delete", 1)}
 
