@@ -158,21 +158,36 @@ def search(addresses: DataFrame | Index, queries: DataFrame, limit: int = 5, fuz
     return found.union(like.select(*columns))
 
 
+def _beside(rows: DataFrame) -> DataFrame:
+    """rows (street, n, house, asked) with lo and hi: the houses of the nearest lower and higher numbers of the street.
+
+    Rows stand in ranges of street and number; each range is looked through by itself, and the last house of a street's earlier ranges and the first of its later ones are carried over the borders. So a street of any length is dealt to many tasks."""
+    keys = ["street", "n"]
+    placed = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()))
+    known = F.when(F.col("house").isNotNull(), F.struct("n", "house"))
+    before = W.partitionBy("part", "street").rowsBetween(W.unboundedPreceding, -1)
+    own = placed.withColumns({"lo": F.last(known, ignorenulls=True).over(before.orderBy("n")), "hi": F.last(known, ignorenulls=True).over(before.orderBy(F.desc("n")))})
+    ends = placed.where("house is not null").groupBy("part", "street").agg(F.max_by(known, "n").alias("last_"), F.min_by(known, "n").alias("first_"))
+    ends = placed.select("part", "street").distinct().join(ends, ["part", "street"], "left")
+    over = W.partitionBy("street").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select("part", "street", F.last("last_", ignorenulls=True).over(over.orderBy("part")).alias("lo_"), F.last("first_", ignorenulls=True).over(over.orderBy(F.desc("part"))).alias("hi_"))
+    own = own.join(carried, ["part", "street"], "left")
+    return own.withColumns({"lo": F.coalesce("lo", "lo_"), "hi": F.coalesce("hi", "hi_")}).drop("part", "lo_", "hi_")
+
+
 def interpolate(addresses: DataFrame, asked: DataFrame) -> DataFrame:
-    """query_id, lat, lon, house_number, street_name, method for house numbers (query_id, house_number int, street): the house itself, else a point between its nearest neighbours by number, else the nearest of either side. Numbers that aren't whole are not considered."""
-    houses = addresses.where("house_number is not null").select("street_name", F.col("house_number").try_cast("int").alias("n"), "lat", "lon", "id").where("n is not null")
-    met = asked.join(houses, asked["street"] == houses["street_name"])
-    at = F.struct("n", "lat", "lon")
-    pick = lambda f, when, order: f(F.when(when, at), F.when(when, order))
-    n, q = F.col("n"), F.col("house_number")
-    best = met.groupBy("query_id", "house_number", "street").agg(
-        pick(F.min_by, n == q, F.col("id")).alias("same"), pick(F.max_by, n < q, F.struct(n, -F.col("id"))).alias("lo"), pick(F.min_by, n > q, F.struct(n, F.col("id"))).alias("hi")
-    )
-    share = (q - F.col("lo.n")) / (F.col("hi.n") - F.col("lo.n"))
+    """query_id, lat, lon, house_number, street_name, method for house numbers (query_id, house_number int, street): the house itself, else a point between its nearest neighbours by number, else the nearest of either side; of houses with one number that of least id. Numbers that aren't whole are not considered."""
+    houses = addresses.select(F.col("street_name").alias("street"), F.col("house_number").try_cast("int").alias("n"), "lat", "lon", "id").where("n is not null and street is not null")
+    houses = houses.groupBy("street", "n").agg(F.min_by(F.struct("lat", "lon"), "id").alias("house"))
+    wanted = asked.select("street", F.col("house_number").cast("int").alias("n")).where("n is not null and street is not null").distinct().withColumn("asked", F.lit(True))
+    best = _beside(houses.join(wanted, ["street", "n"], "full")).where("asked and (house is not null or lo is not null or hi is not null)")
+    share = (F.col("n") - F.col("lo.n")) / (F.col("hi.n") - F.col("lo.n"))
     both = F.col("lo").isNotNull() & F.col("hi").isNotNull()
-    value = lambda c: F.when(F.col("same").isNotNull(), F.col(f"same.{c}")).when(both, F.col(f"lo.{c}") + share * (F.col(f"hi.{c}") - F.col(f"lo.{c}"))).otherwise(F.coalesce(F.col(f"lo.{c}"), F.col(f"hi.{c}")))
-    method = F.when(F.col("same").isNotNull(), "exact").when(both, "interpolated").when(F.col("lo").isNotNull(), "fallback_lower").otherwise("fallback_upper")
-    return best.select("query_id", value("lat").alias("lat"), value("lon").alias("lon"), "house_number", F.col("street").alias("street_name"), method.alias("method"))
+    value = lambda c: F.when(F.col("house").isNotNull(), F.col(f"house.{c}")).when(both, F.col(f"lo.house.{c}") + share * (F.col(f"hi.house.{c}") - F.col(f"lo.house.{c}"))).otherwise(F.coalesce(f"lo.house.{c}", f"hi.house.{c}"))
+    method = F.when(F.col("house").isNotNull(), "exact").when(both, "interpolated").when(F.col("lo").isNotNull(), "fallback_lower").otherwise("fallback_upper")
+    best = best.select("street", "n", value("lat").alias("lat"), value("lon").alias("lon"), method.alias("method"))
+    met = asked.join(best, (asked["street"] == best["street"]) & (asked["house_number"] == best["n"]))
+    return met.select("query_id", "lat", "lon", "house_number", asked["street"].alias("street_name"), "method")
 
 
 def search_with_interpolation(addresses: DataFrame | Index, graph: Graph, queries: DataFrame, limit: int = 5) -> DataFrame:

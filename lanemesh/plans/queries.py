@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lanemesh.functions import geo, text
 from lanemesh.functions.roads import WEATHERS, coefficients, tag, travel_time, weight
 from lanemesh.lineage import cut, new_path
-from lanemesh.operators import geocode, graph, paths, postings, spatial, zones
+from lanemesh.operators import geocode, graph, lookup, paths, postings, spatial, zones
 from lanemesh.plans import fixtures as fx
 from lanemesh.schemas import Graph
 from lanemesh.sources import osm
@@ -487,6 +487,24 @@ def addresses(spark, d):
     return address_table(spark, d).select("id", "node_id", "address", F.coalesce("house_number", F.lit("")).alias("house_number"), F.coalesce("street_name", F.lit("")).alias("street_name"), "address_type", "rank_score")
 
 
+@query(fx.sql(_ADDR_PARTS, "SELECT l_partkey + 1 AS node_id, address, address_type, rank_score FROM (SELECT DISTINCT l_partkey FROM lineitem) JOIN (SELECT node_id, arg_min(address, id) AS address, arg_min(address_type, id) AS address_type, arg_min(rank_score, id) AS rank_score FROM addr GROUP BY node_id) ON node_id = l_partkey + 1"))
+def get_by_node_id(spark, d):
+    """For the nodes of all parts that were ordered."""
+    store = lookup.store(component(spark, d), address_table(spark, d))
+    ids = fx.table(spark, d, "lineitem").select((F.col("l_partkey") + 1).alias("id")).distinct()
+    return lookup.address_of(store, ids).select("node_id", "address", "address_type", "rank_score")
+
+
+@query(fx.sql([*fx.COMPONENT, "ids AS (SELECT DISTINCT l_partkey + 1 AS id FROM lineitem)"], "SELECT ids.id, lscc.id IS NOT NULL AS known, coalesce(n.edges, 0) AS edges, coalesce(n.first, -1) AS first FROM ids LEFT JOIN lscc ON lscc.id = ids.id LEFT JOIN (SELECT src, count(*) AS edges, arg_min(dst, ord) AS first FROM lscc_edges GROUP BY src) n ON n.src = ids.id"))
+def node_lookups(spark, d):
+    """has_node and get_neighbors for the nodes of all parts that were ordered."""
+    g = component(spark, d)
+    store = lookup.store(g, None)
+    ids = fx.table(spark, d, "lineitem").select((F.col("l_partkey") + 1).alias("id")).distinct()
+    near = lookup.neighbours(store, ids).select("id", F.size("neighbours").cast("long").alias("n"), F.get("neighbours", F.lit(0))["dst"].alias("dst"))
+    return lookup.has_nodes(store, ids).join(near, "id", "left").select("id", "known", F.coalesce("n", F.lit(0).cast("long")).alias("edges"), F.coalesce("dst", F.lit(-1).cast("long")).alias("first"))
+
+
 @query(fx.sql(_ADDR_PARTS, "SELECT address_type, count(*) AS n FROM addr GROUP BY address_type"))
 def address_stats(spark, d):
     return geocode.address_stats(address_table(spark, d))
@@ -555,8 +573,8 @@ _INTERPOLATE = fx.sql(
     [fx.HOUSES, "hs AS (SELECT street, try_cast(house_number AS INTEGER) AS n, lat, lon, id FROM fx_houses WHERE street IS NOT NULL AND try_cast(house_number AS INTEGER) IS NOT NULL)", "ask AS (SELECT s_suppkey AS query_id, CAST(s_suppkey * 7 % 320 AS INTEGER) AS n, 'Street ' || CAST(s_suppkey % 97 AS VARCHAR) AS street FROM supplier)",
      "j AS (SELECT a.query_id, a.n AS q, a.street, h.n, h.lat, h.lon, h.id FROM ask a JOIN hs h USING (street))",
      "g AS (SELECT query_id, q, arg_min(lat, id) FILTER (n = q) AS elat, arg_min(lon, id) FILTER (n = q) AS elon, max(n) FILTER (n < q) AS ln, min(n) FILTER (n > q) AS hn FROM j GROUP BY query_id, q)",
-     "b AS (SELECT g.*, (SELECT arg_min(lat, id) FROM j WHERE j.query_id = g.query_id AND j.n = g.ln) AS llat, (SELECT arg_min(lat, id) FROM j WHERE j.query_id = g.query_id AND j.n = g.hn) AS hlat FROM g)"],
-    "SELECT query_id, round(CASE WHEN elat IS NOT NULL THEN elat WHEN ln IS NOT NULL AND hn IS NOT NULL THEN llat + (q - ln)::DOUBLE / (hn - ln) * (hlat - llat) ELSE coalesce(llat, hlat) END, 6) AS lat, CASE WHEN elat IS NOT NULL THEN 'exact' WHEN ln IS NOT NULL AND hn IS NOT NULL THEN 'interpolated' WHEN ln IS NOT NULL THEN 'fallback_lower' ELSE 'fallback_upper' END AS method FROM b",
+     "b AS (SELECT g.*, (SELECT arg_min(lat, id) FROM j WHERE j.query_id = g.query_id AND j.n = g.ln) AS llat, (SELECT arg_min(lat, id) FROM j WHERE j.query_id = g.query_id AND j.n = g.hn) AS hlat, (SELECT arg_min(lon, id) FROM j WHERE j.query_id = g.query_id AND j.n = g.ln) AS llon, (SELECT arg_min(lon, id) FROM j WHERE j.query_id = g.query_id AND j.n = g.hn) AS hlon FROM g)"],
+    "SELECT query_id, round(CASE WHEN elat IS NOT NULL THEN elat WHEN ln IS NOT NULL AND hn IS NOT NULL THEN llat + (q - ln)::DOUBLE / (hn - ln) * (hlat - llat) ELSE coalesce(llat, hlat) END, 6) AS lat, round(CASE WHEN elon IS NOT NULL THEN elon WHEN ln IS NOT NULL AND hn IS NOT NULL THEN llon + (q - ln)::DOUBLE / (hn - ln) * (hlon - llon) ELSE coalesce(llon, hlon) END, 6) AS lon, CASE WHEN elat IS NOT NULL THEN 'exact' WHEN ln IS NOT NULL AND hn IS NOT NULL THEN 'interpolated' WHEN ln IS NOT NULL THEN 'fallback_lower' ELSE 'fallback_upper' END AS method FROM b",
 )
 
 
@@ -564,7 +582,7 @@ _INTERPOLATE = fx.sql(
 def interpolate_house(spark, d):
     rows = fx.houses(spark, d).where("street is not null").select("id", "lat", "lon", "house_number", F.col("street").alias("street_name"))
     asked = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), (F.col("s_suppkey") * 7 % 320).cast("int").alias("house_number"), F.concat(F.lit("Street "), (F.col("s_suppkey") % 97).cast("string")).alias("street"))
-    return geocode.interpolate(rows, asked).select("query_id", F.round("lat", 6).alias("lat"), "method")
+    return geocode.interpolate(rows, asked).select("query_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "method")
 
 
 @query(fx.sql([*fx.COMPONENT, "p AS (SELECT s_suppkey AS point_id, s_suppkey % 2 AS kind, s_suppkey * 31 + 1 AS node, 20.985::DOUBLE + ((s_suppkey * 331) % 3001) / 100000.0::DOUBLE AS lat, 105.855::DOUBLE + ((s_suppkey * 577) % 4001) / 100000.0::DOUBLE AS lon FROM supplier)"], "SELECT point_id, id AS node_id, 'node_id' AS input_type, CASE WHEN id IS NULL THEN 'unknown node' END AS error FROM p LEFT JOIN lscc ON id = node WHERE kind = 0 UNION ALL SELECT point_id, node_id, 'coordinates', NULL FROM (SELECT p.point_id, n.id AS node_id, row_number() OVER (PARTITION BY p.point_id ORDER BY sqrt((p.lat - n.lat) * (p.lat - n.lat) + (p.lon - n.lon) * (p.lon - n.lon)), n.id) AS rn FROM p, fx_nodes n WHERE p.kind = 1 AND n.id IN (SELECT id FROM lscc)) WHERE rn = 1"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lanemesh import lineage
 from lanemesh.functions import geo, text
-from lanemesh.operators import boxes, cells, graph, paths, postings, reach, spatial
+from lanemesh.operators import boxes, cells, geocode, graph, lookup, paths, postings, reach, spatial
 from lanemesh.schemas import Graph
 
 # Posting lists
@@ -228,3 +228,52 @@ def test_nearest_edges_in_a_dense_place(spark, monkeypatch, points, edges):
         assert (want is None) == (i not in got)
         if want:
             assert abs(got[i].distance - want[0]) < 1e-6 and {got[i].src, got[i].dst} & set(rows[want[1]][:2])
+
+
+# House numbers
+
+
+def test_numbers_of_a_street_with_most_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, "Long" if i % 3 else rng.choice(["A", "B", "Été"]), str(rng.randrange(0, 4000, 3)) if i % 7 else f"{i}A", rng.random(), rng.random()) for i in range(900)]
+    asked = [(i, rng.randrange(-5, 4100), rng.choice(["Long", "Long", "A", "B", "Été", "None"])) for i in range(300)] + [(300, None, "A"), (301, 5, None), (302, 7, "A"), (302, 7, "A")]
+    houses = spark.createDataFrame(rows, "id long, street_name string, house_number string, lat double, lon double")
+    got = sorted((r.query_id, r.method, round(r.lat, 9), round(r.lon, 9)) for r in geocode.interpolate(houses, spark.createDataFrame(asked, "query_id long, house_number int, street string")).collect())
+    known = {}
+    for i, street, n, lat, lon in rows:
+        if n.isdigit():
+            known.setdefault(street, {}).setdefault(int(n), (i, lat, lon))
+    want = []
+    for q, n, street in asked:
+        own = known.get(street)
+        if n is None or not own:
+            continue
+        lo, hi = max((k for k in own if k < n), default=None), min((k for k in own if k > n), default=None)
+        if n in own:
+            want.append((q, "exact", *own[n][1:]))
+        elif lo is not None and hi is not None:
+            share = (n - lo) / (hi - lo)
+            want.append((q, "interpolated", *(a + share * (b - a) for a, b in zip(own[lo][1:], own[hi][1:], strict=True))))
+        else:
+            want.append((q, "fallback_lower" if hi is None else "fallback_upper", *own[lo if hi is None else hi][1:]))
+    assert got == sorted((q, m, round(a, 9), round(b, 9)) for q, m, a, b in want)
+
+
+# Lookups
+
+
+def test_lookups_read_few_files(spark):
+    g, rows = street_grid(spark, 6, 5)
+    addresses = spark.createDataFrame([(k, k % 20, f"{k} Main") for k in range(50)], "id long, node_id long, address string")
+    held = lookup.store(g, addresses)
+    assert {r.id for r in lookup.nodes(held, [3, 35, 99]).collect()} == {3, 35}
+    ids = spark.createDataFrame([(3,), (3,), (99,), (7,)], "id long")
+    assert {(r.id, r.known) for r in lookup.has_nodes(held, ids).collect()} == {(3, True), (7, True), (99, False)}
+    near = {r.id: [(n.ord, n.dst) for n in r.neighbours] for r in lookup.neighbours(held, ids).collect()}
+    assert near == {i: [(k, b) for k, (a, b, _) in enumerate(rows) if a == i] for i in (3, 7)}
+    assert {(r.node_id, r.address) for r in lookup.address_of(held, ids).collect()} == {(3, "3 Main"), (7, "7 Main")}
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # so that the plan tells
+    try:
+        assert "SelectedBucketsCount: 1 out of 4" in lookup.nodes(held, [3])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
