@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lanemesh.functions import text
 from lanemesh.functions.roads import tag
+from lanemesh.functions.text import FUZZY_ABOVE, character_counts, may_exceed, partial_ratio_of
 from lanemesh.lineage import cut
 from lanemesh.operators.postings import Index, build, phrase_search
 from lanemesh.operators.spatial import nearest_nodes, snap, virtual_nodes
@@ -102,12 +103,12 @@ def like_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def _score_block(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    counts = text.character_counts(list(rows["address"]))
+    counts = character_counts(list(rows["address"]))
     out = []
-    for query_id, query, ask in zip(asked["query_id"], asked["query"], text.character_counts(list(asked["query"])), strict=True):
-        for i in np.flatnonzero(text.may_exceed(ask, counts, text.FUZZY_ABOVE)):
-            score = text.partial_ratio_of(query, rows["address"].iat[i])
-            if score > text.FUZZY_ABOVE:
+    for query_id, query, ask in zip(asked["query_id"], asked["query"], character_counts(list(asked["query"])), strict=True):
+        for i in np.flatnonzero(may_exceed(ask, counts, FUZZY_ABOVE)):
+            score = partial_ratio_of(query, rows["address"].iat[i])
+            if score > FUZZY_ABOVE:
                 out.append((query_id, rows["id"].iat[i], score))
     return pd.DataFrame(out, columns=["query_id", "id", "score"])
 

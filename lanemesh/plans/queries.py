@@ -294,6 +294,23 @@ def route_geojson(spark, d):
     return out.select("request_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), F.round("distance", 3).alias("distance"), F.round("minutes", 3).alias("minutes"), "route")
 
 
+_PATHS_SQL = _ROUTES_SQL[: _ROUTES_SQL.rindex("SELECT r.request_id")].replace("length * c_highway * normal", "length * c_highway * rain").rstrip() + """,
+we AS MATERIALIZED (SELECT src, dst, ord, length, speed, length * c_highway * rain AS weight FROM lscc_edges WHERE src <> dst),
+back(rid, node, goal, path, metres, seconds) AS (
+  SELECT request_id, goal, goal, [goal], 0.0::DOUBLE, 0.0::DOUBLE FROM req WHERE start <> goal
+  UNION ALL SELECT b.rid, s.src, b.goal, list_prepend(s.src, b.path), b.metres + s.length, b.seconds + s.length / 1000 / s.speed * 3600 FROM back b JOIN (
+    SELECT x.rid, e.dst, arg_min(e.src, (e.src, e.ord)) AS src, arg_min(e.length, (e.src, e.ord)) AS length, arg_min(e.speed, (e.src, e.ord)) AS speed
+    FROM d x JOIN we e ON e.src = x.node JOIN d y ON y.rid = x.rid AND y.node = e.dst WHERE x.cost < y.cost AND x.cost + e.weight = y.cost GROUP BY x.rid, e.dst) s ON s.rid = b.rid AND s.dst = b.node)
+SELECT b.rid AS request_id, array_to_string(b.path, ',') AS path, round(b.metres, 3) AS distance, round(b.seconds / 60, 3) AS minutes FROM back b JOIN req r ON r.request_id = b.rid AND r.start = b.node"""
+
+
+@query(_PATHS_SQL)
+def route_paths(spark, d):
+    g = component(spark, d)
+    out = paths.route_features(paths.routes(g, requests(spark, d, g), "rain"), "rain")
+    return out.select("request_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), F.round("distance", 3).alias("distance"), F.round("minutes", 3).alias("minutes"))
+
+
 # Nearest
 
 
@@ -511,14 +528,22 @@ def address_stats(spark, d):
 
 
 _FOLD = r"list_filter(regexp_split_to_array(strip_accents(lower({0})), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-_CORPUS = [
-    f"corp AS MATERIALIZED (SELECT doc_id + 1 AS id, [50, 80, 100][doc_id % 3 + 1]::DOUBLE AS rank_score, {_FOLD.format('text')} AS tok FROM documents)",
-    r"""qs AS MATERIALIZED (SELECT doc_id AS query_id, """ + _FOLD.format(r"CASE WHEN doc_id % 100 = 0 THEN w[1] || ' ' || substr(w[2], 1, 3) ELSE w[2] END") + r""" AS q FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS w FROM documents WHERE doc_id % 50 = 0))""",
-    "pairs AS MATERIALIZED (SELECT query_id, id, rank_score, len(tok) AS len, CASE WHEN len(q) = 1 THEN len(list_filter(tok, lambda t: starts_with(t, q[1]))) WHEN NOT list_contains(tok, q[1]) THEN 0 ELSE len(list_filter(range(1, len(tok) - len(q) + 2), lambda i: list_slice(tok, i, i + len(q) - 2) = list_slice(q, 1, len(q) - 1) AND starts_with(tok[i + len(q) - 1], q[len(q)]))) END AS hits FROM qs, corp WHERE len(q) > 0)",
-    "found AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS df FROM pairs WHERE hits > 0)",
-    "stat AS (SELECT count(*)::DOUBLE AS n, avg(len(tok)) AS mean FROM corp)",
-    "scored AS (SELECT query_id, id, hits, rank_score, greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001) * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * len / mean)) AS relevance FROM found, stat)",
-]
+def _phrases(corpus: str, asked: str) -> list[str]:
+    """Phrase hits and relevance of every query in every text. corpus: id, rank_score, tok; asked: query_id, q."""
+    return [
+        f"corp AS MATERIALIZED ({corpus})",
+        f"qs AS MATERIALIZED ({asked})",
+        "pairs AS MATERIALIZED (SELECT query_id, id, rank_score, len(tok) AS len, CASE WHEN len(q) = 1 THEN len(list_filter(tok, lambda t: starts_with(t, q[1]))) WHEN NOT list_contains(tok, q[1]) THEN 0 ELSE len(list_filter(range(1, len(tok) - len(q) + 2), lambda i: list_slice(tok, i, i + len(q) - 2) = list_slice(q, 1, len(q) - 1) AND starts_with(tok[i + len(q) - 1], q[len(q)]))) END AS hits FROM qs, corp WHERE len(q) > 0)",
+        "found AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS df FROM pairs WHERE hits > 0)",
+        "stat AS (SELECT count(*)::DOUBLE AS n, avg(len(tok)) AS mean FROM corp)",
+        "scored AS (SELECT query_id, id, hits, rank_score, greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001) * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * len / mean)) AS relevance FROM found, stat)",
+    ]
+
+
+_CORPUS = _phrases(
+    f"SELECT doc_id + 1 AS id, [50, 80, 100][doc_id % 3 + 1]::DOUBLE AS rank_score, {_FOLD.format('text')} AS tok FROM documents",
+    "SELECT doc_id AS query_id, " + _FOLD.format(r"CASE WHEN doc_id % 100 = 0 THEN w[1] || ' ' || substr(w[2], 1, 3) ELSE w[2] END") + r" AS q FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS w FROM documents WHERE doc_id % 50 = 0)",
+)
 
 
 @query(fx.sql(_CORPUS, "SELECT query_id, id, CAST(hits AS BIGINT) AS hits FROM found"))
@@ -550,16 +575,58 @@ def like_topk(spark, d):
     return geocode.top(found, 5, [F.asc("id")]).select("query_id", "id", "place")
 
 
+_ASKED = "SELECT c_custkey AS query_id, CASE c_custkey // 50 % 4 WHEN 0 THEN 'street ' || CAST(c_custkey % 97 AS VARCHAR) WHEN 1 THEN CAST(c_custkey % 300 + 1 AS VARCHAR) || ' Street ' || CAST(c_custkey % 10 AS VARCHAR) WHEN 2 THEN 'TREET ' || CAST(c_custkey % 97 AS VARCHAR) ELSE 'upplier#' END AS query FROM customer WHERE c_custkey % 50 = 0"
+_ADDRESS_TEXT = f"SELECT id, node_id, rank_score, address, {_FOLD.format('address')} AS tok FROM addr"
+_SEARCHED = [
+    *_ADDR_PARTS, *_phrases(_ADDRESS_TEXT, f"SELECT query_id, query, {_FOLD.format('query')} AS q FROM ({_ASKED})"),
+    "one AS (SELECT query_id, 1 AS phase, s.id, c.node_id, c.address, s.rank_score + relevance AS score, row_number() OVER (PARTITION BY query_id ORDER BY s.rank_score DESC, relevance DESC, s.id) AS place FROM scored s JOIN corp c USING (id))",
+    "two AS (SELECT query_id, 2 AS phase, c.id, c.node_id, c.address, c.rank_score AS score, row_number() OVER (PARTITION BY query_id ORDER BY c.rank_score DESC, c.id) AS place FROM qs JOIN corp c ON contains(lower(c.address), lower(query)) WHERE query_id NOT IN (SELECT query_id FROM scored))",
+]
+
+
+def asked_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, query for the customers whose key 50 divides: a street, a house, a piece of a street's name, or of a place's."""
+    key = F.col("c_custkey")
+    text_of = lambda c: c.cast("string")
+    query = F.element_at(F.array(F.concat(F.lit("street "), text_of(key % 97)), F.concat(text_of(key % 300 + 1), F.lit(" Street "), text_of(key % 10)), F.concat(F.lit("TREET "), text_of(key % 97)), F.lit("upplier#")), (F.expr("c_custkey div 50 % 4") + 1).cast("int"))
+    return fx.table(spark, d, "customer").where("c_custkey % 50 = 0").select(key.alias("query_id"), query.alias("query"))
+
+
+@query(fx.sql(_SEARCHED, "SELECT query_id, CAST(place AS INTEGER) AS place, phase, node_id, address, round(score, 6) AS score FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE place <= 5"))
+def search_phases(spark, d):
+    out = geocode.search(address_table(spark, d), asked_addresses(spark, d), fuzzy=False)
+    return out.select("query_id", "place", "phase", "node_id", "address", F.round("score", 6).alias("score"))
+
+
 @query()
+def search_full(spark, d):
+    return geocode.search(address_table(spark, d), asked_addresses(spark, d)).select("query_id", "place", "phase", "node_id", "address", F.round("score", 3).alias("score"))
+
+
+def _ratio(asked: str) -> list[str]:
+    """Partial ratios of asked queries (query_id, query) with all names."""
+    return [
+        "names AS MATERIALIZED (SELECT p_name AS address, min(p_partkey) AS id FROM part GROUP BY p_name)",
+        f"asked AS MATERIALIZED ({asked})",
+        "sides AS (SELECT query_id, id, CASE WHEN length(query) <= length(address) THEN query ELSE lower(address) END AS s, CASE WHEN length(query) <= length(address) THEN lower(address) ELSE query END AS l FROM asked, names)",
+        "wins AS (SELECT query_id, id, s, length(s) AS n, unnest(list_distinct(list_transform(range(1 - length(s), length(l)), lambda i: substr(l, greatest(i, 0) + 1, i + length(s) - greatest(i, 0))))) AS w FROM sides)",
+        "masked AS (SELECT query_id, id, n, length(w) AS m, list_transform(string_split(w, ''), lambda c: list_sum(list_transform(range(0, n), lambda i: CASE WHEN substr(s, i + 1, 1) = c THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE 0 END))::HUGEINT) AS bits FROM wins)",
+        "rated AS (SELECT query_id, id, max(200.0::DOUBLE * (n - bit_count(list_reduce(list_prepend((CAST(1 AS HUGEINT) << CAST(n AS INTEGER)) - 1, bits), lambda r, b: ((r + (r & b)) | (r - (r & b))) & ((CAST(1 AS HUGEINT) << CAST(n AS INTEGER)) - 1)))) / (n + m)) AS score FROM masked GROUP BY query_id, id)",
+    ]
+
+
+@query(fx.sql(_ratio("SELECT 0 AS query_id, 'red wiget' AS query"), "SELECT address AS p_name, round(score, 6) AS score FROM rated JOIN names USING (id)"))
 def fuzzy_partial_ratio(spark, d):
     names = fx.table(spark, d, "part").select("p_name").distinct()
     return names.select("p_name", F.round(text.partial_ratio(F.lit("red wiget"), F.lower("p_name")), 6).alias("score"))
 
 
-@query()
-def search_full(spark, d):
-    asked = spark.createDataFrame([(1, "street 1"), (2, "12 Street 5"), (3, "supplir"), (4, "-"), (5, "x")], "query_id long, query string")
-    return geocode.search(address_table(spark, d), asked).select("query_id", "place", "phase", "node_id", "address", F.round("score", 3).alias("score"))
+@query(fx.sql(_ratio("SELECT id AS query_id, lower(substr(address, 1, 2) || substr(address, 4, 9)) AS query FROM names WHERE id % 50 = 0"), "SELECT query_id, id, round(score, 6) AS score FROM rated WHERE score > 60"))
+def fuzzy_pairs(spark, d):
+    """Names of parts that are like misspelt ones: those whose key 50 divides, without their third letter."""
+    names = fx.table(spark, d, "part").groupBy(F.col("p_name").alias("address")).agg(F.min("p_partkey").alias("id"))
+    asked = names.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.lower(F.concat(F.substring("address", 1, 2), F.substring("address", 4, 9))).alias("query"))
+    return geocode.fuzzy_matches(names, asked).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT c_custkey AS id, try_cast(nullif(regexp_extract(trim(t), '^([0-9]+)\\s+(.+)$', 1), '') AS INTEGER) AS house_number, CASE WHEN regexp_extract(trim(t), '^([0-9]+)\\s+(.+)$', 2) <> '' THEN trim(regexp_extract(trim(t), '^([0-9]+)\\s+(.+)$', 2)) ELSE trim(t) END AS street FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey AS VARCHAR) || ' ' || c_name WHEN 1 THEN c_name WHEN 2 THEN '  ' || CAST(c_custkey AS VARCHAR) || '   ' || c_mktsegment ELSE CAST(c_custkey AS VARCHAR) END AS t FROM customer)")
@@ -585,9 +652,18 @@ def interpolate_house(spark, d):
     return geocode.interpolate(rows, asked).select("query_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "method")
 
 
-@query(fx.sql([*fx.COMPONENT, "p AS (SELECT s_suppkey AS point_id, s_suppkey % 2 AS kind, s_suppkey * 31 + 1 AS node, 20.985::DOUBLE + ((s_suppkey * 331) % 3001) / 100000.0::DOUBLE AS lat, 105.855::DOUBLE + ((s_suppkey * 577) % 4001) / 100000.0::DOUBLE AS lon FROM supplier)"], "SELECT point_id, id AS node_id, 'node_id' AS input_type, CASE WHEN id IS NULL THEN 'unknown node' END AS error FROM p LEFT JOIN lscc ON id = node WHERE kind = 0 UNION ALL SELECT point_id, node_id, 'coordinates', NULL FROM (SELECT p.point_id, n.id AS node_id, row_number() OVER (PARTITION BY p.point_id ORDER BY sqrt((p.lat - n.lat) * (p.lat - n.lat) + (p.lon - n.lon) * (p.lon - n.lon)), n.id) AS rn FROM p, fx_nodes n WHERE p.kind = 1 AND n.id IN (SELECT id FROM lscc)) WHERE rn = 1"))
+_RESOLVED = [
+    *_ADDR_PARTS, *_phrases(_ADDRESS_TEXT, f"SELECT s_suppkey AS query_id, {_FOLD.format("'Street ' || CAST(s_suppkey % 97 AS VARCHAR)")} AS q FROM supplier WHERE s_suppkey % 3 = 2"),
+    "p AS (SELECT s_suppkey AS point_id, s_suppkey % 3 AS kind, s_suppkey * 31 + 1 AS node, 20.985::DOUBLE + ((s_suppkey * 331) % 3001) / 100000.0::DOUBLE AS lat, 105.855::DOUBLE + ((s_suppkey * 577) % 4001) / 100000.0::DOUBLE AS lon FROM supplier)",
+    "hit AS (SELECT query_id, arg_min(c.node_id, (-s.rank_score, -relevance, s.id)) AS node_id, arg_min(s.rank_score + relevance, (-s.rank_score, -relevance, s.id)) AS score FROM scored s JOIN corp c USING (id) GROUP BY query_id)",
+]
+_NEAR_COORDS = "SELECT point_id, node_id, 'coordinates' AS input_type, NULL AS error FROM (SELECT p.point_id, n.id AS node_id, row_number() OVER (PARTITION BY p.point_id ORDER BY sqrt((p.lat - n.lat) * (p.lat - n.lat) + (p.lon - n.lon) * (p.lon - n.lon)), n.id) AS rn FROM p, fx_nodes n WHERE p.kind = 1 AND n.id IN (SELECT id FROM lscc)) WHERE rn = 1"
+
+
+@query(fx.sql(_RESOLVED, f"SELECT point_id, id AS node_id, 'node_id' AS input_type, CASE WHEN id IS NULL THEN 'unknown node' END AS error FROM p LEFT JOIN lscc ON id = node WHERE kind = 0 UNION ALL {_NEAR_COORDS} UNION ALL SELECT point_id, node_id, CASE WHEN node_id IS NULL THEN 'address' WHEN score >= 80 THEN 'address_exact' ELSE 'address_fuzzy' END, CASE WHEN node_id IS NULL THEN 'unknown address' END FROM p LEFT JOIN hit ON query_id = point_id WHERE kind = 2"))
 def resolve_points(spark, d):
+    """Nodes, coordinates and addresses of all suppliers; every address is a street that is there."""
     e = F.col("s_suppkey")
-    points = fx.table(spark, d, "supplier").select(e.alias("point_id"), F.when(e % 2 == 0, "node").otherwise("coords").alias("kind"), (e * 31 + 1).alias("node"), (F.lit(fx.SOUTH) + ((e * 331) % 3001) / 100000.0).alias("lat"), (F.lit(fx.WEST) + ((e * 577) % 4001) / 100000.0).alias("lon"), F.lit(None).cast("string").alias("address"))
-    out = geocode.resolve(points, component(spark, d), spark.createDataFrame([], "id long, node_id long, lat double, lon double, address string, house_number string, street_name string, address_type string, rank_score double"))
-    return out.select("point_id", "node_id", "input_type", "error")
+    kind = F.element_at(F.array(F.lit("node"), F.lit("coords"), F.lit("address")), (e % 3 + 1).cast("int"))
+    points = fx.table(spark, d, "supplier").select(e.alias("point_id"), kind.alias("kind"), (e * 31 + 1).alias("node"), (F.lit(fx.SOUTH) + ((e * 331) % 3001) / 100000.0).alias("lat"), (F.lit(fx.WEST) + ((e * 577) % 4001) / 100000.0).alias("lon"), F.concat(F.lit("Street "), (e % 97).cast("string")).alias("address"))
+    return geocode.resolve(points, component(spark, d), address_table(spark, d)).select("point_id", "node_id", "input_type", "error")
