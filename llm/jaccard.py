@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from llm.groups import Forest, components, grouped, spanning
-from llm.tables import keep
+from llm.tables import free, keep
 from llm.words import mix, shingles, word_hashes
 
 WIDTH = 5
@@ -50,7 +50,7 @@ SMALL = 200
 LOCAL = 8192
 PART = 1000
 BLOCK = 512
-BLOCK_RUNS = 1 << 21
+BLOCK_RUNS = 1 << 20
 DEPTH = 12
 #: Levels that a task follows before it compares all by all; the paths of different sets part long before.
 DEEPEST = 64
@@ -95,6 +95,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, f (the set's fingerprint; null without words), n (runs), sig (minimum hashes), copy (MD5 of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -287,6 +288,7 @@ def candidate_groups(sets: DataFrame, runs: int = RUNS, recall: float = RECALL)
 
 def _exact(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks of a candidate group to link counts (g null) and spanning edges of its similarities."""
+    free()
     for group in grouped(batches, ["c", "i", "j"]):
         f, copies = group.column("f").to_pylist(), group.column("copies").to_numpy().astype(np.float64)
         sizes = group.column("n").to_numpy().astype(np.float64)

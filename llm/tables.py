@@ -55,10 +55,16 @@ def once(key, make):
     """make()'s value, kept by this Python worker for its later tasks; the globals of functions that travel by value last for one task only."""
     kept = sys.__dict__.setdefault("_llm_once", {})
     if key not in kept:
+        kept.clear()  # one value at a time: a worker serves one operator after another
         kept[key] = make()
     return kept[key]
 
 
+def free() -> None:
+    """Drops what once() keeps in this worker, before work that needs the memory itself."""
+    sys.__dict__.get("_llm_once", {}).clear()
+
+
 def forget() -> None:
     """Removes the tables that keep() wrote."""
     while _made:
