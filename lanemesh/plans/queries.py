@@ -283,8 +283,8 @@ def route_cost_batch(spark, d):
 @query(_ROUTES_SQL)
 def route_cost_heap(spark, d):
     g = component(spark, d)
-    """The same over cells so small that paths cross many."""
-    return paths.route_costs(g, requests(spark, d, g), size=2000).select("request_id", F.round("cost", 3).alias("cost"))
+    """The same over smaller cells, whose borders paths cross."""
+    return paths.route_costs(g, requests(spark, d, g), size=8192).select("request_id", F.round("cost", 3).alias("cost"))
 
 
 @query()
