@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lanemesh.schemas import OsmData
@@ -93,10 +92,6 @@ def corpus_queries(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 100 == 0, two).otherwise(F.get(words, F.lit(1))).alias("query"))
 
 
-def clean_rows(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(key))).where("_n = 1").drop("_n")
-
-
 # The same in DuckDB SQL, as common table expressions.
 
 _WAY_NODES = f"fx_way_nodes AS (SELECT event_id // {WAY_NODES} + 1 AS way_id, event_id % {WAY_NODES} AS pos, (user_id * 31 + event_id * 17) % parts + 1 AS node_id FROM events, (SELECT count(*) AS parts FROM part))"

@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lanemesh.functions.roads import ALLOWED, is_oneway, is_reverse_oneway, tag, valid_highway
@@ -142,8 +141,3 @@ def used_nodes(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 def way_nodes(ways: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """way_id, ord, pos, node_id and the columns `keep` of each vertex."""
     return ways.select(F.col("id").alias("way_id"), "ord", *keep, F.posexplode("nodes").alias("pos", "node_id"))
-
-
-def last_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
