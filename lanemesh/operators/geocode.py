@@ -191,7 +191,7 @@ def interpolate(addresses: DataFrame, asked: DataFrame) -> DataFrame:
     return met.select("query_id", "lat", "lon", "house_number", asked["street"].alias("street_name"), "method")
 
 
-def search_with_interpolation(addresses: DataFrame | Index, graph: Graph, queries: DataFrame, limit: int = 5) -> DataFrame:
+def search_with_interpolation(addresses: DataFrame | Index, graph: Graph, queries: DataFrame, limit: int = 5, fuzzy: bool = True) -> DataFrame:
     """query_id, place, node_id, lat, lon, address, score, method: an interpolated house, on its nearest edge, ahead of the search's results; of one node the first stays."""
     asked = queries.select("query_id", text.house_number_of(F.col("query")).alias("house_number"), text.street_of(F.col("query")).alias("street")).where("house_number is not null")
     found = cut(interpolate(addresses.addresses if isinstance(addresses, Index) else addresses, asked))
@@ -199,7 +199,7 @@ def search_with_interpolation(addresses: DataFrame | Index, graph: Graph, querie
     near = F.element_at(F.array_sort("neighbours", lambda a, b: F.when(a["dist"] < b["dist"], -1).when(a["dist"] > b["dist"], 1).otherwise(0)), 1)["id"]
     house = on_edge.select(F.col("point_id").alias("query_id"), near.alias("node_id"), "lat", "lon").join(found.select("query_id", F.concat_ws(" ", "house_number", "street_name").alias("address"), "method"), "query_id")
     rows = house.select("query_id", F.lit(0).alias("phase"), F.lit(0).alias("n"), "node_id", "lat", "lon", "address", F.lit(100.0).alias("score"), "method")
-    more = search(addresses, queries, limit).select("query_id", "phase", F.col("place").alias("n"), "node_id", "lat", "lon", "address", "score", F.lit("search").alias("method"))
+    more = search(addresses, queries, limit, fuzzy).select("query_id", "phase", F.col("place").alias("n"), "node_id", "lat", "lon", "address", "score", F.lit("search").alias("method"))
     first = F.row_number().over(W.partitionBy("query_id", "node_id").orderBy("phase", "n"))
     rows = rows.union(more).withColumn("again", first).where("again = 1")
     return top(rows, limit, [F.desc("score"), F.asc("phase"), F.asc("n")]).select("query_id", "place", "node_id", "lat", "lon", "address", "score", "method")

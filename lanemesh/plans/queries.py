@@ -13,7 +13,7 @@ from lanemesh.functions.roads import WEATHERS, coefficients, tag, travel_time, w
 from lanemesh.lineage import cut, new_path
 from lanemesh.operators import geocode, graph, lookup, paths, postings, spatial, zones
 from lanemesh.plans import fixtures as fx
-from lanemesh.schemas import Graph
+from lanemesh.schemas import ZONES, Graph
 from lanemesh.sources import osm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -468,12 +468,34 @@ def blocked_edges(spark, d):
     return pairs.where("blocked").select("src", "dst")
 
 
-@query(fx.sql(fx.ROADS, "SELECT DISTINCT w.way_id AS zone_id, x.src, x.dst FROM seg w JOIN (SELECT src, dst FROM fx_edges UNION SELECT dst, src FROM fx_edges) x ON (x.src = w.a AND x.dst = w.b) OR (x.src = w.b AND x.dst = w.a) WHERE w.way_id % 10 = 1 AND w.b IS NOT NULL"))
+@query(fx.sql(fx.ROADS, "SELECT DISTINCT w.way_id AS zone_id, x.src, x.dst FROM seg w JOIN (SELECT src, dst FROM fx_edges UNION SELECT dst, src FROM fx_edges) x ON (x.src = w.a AND x.dst = w.b) OR (x.src = w.b AND x.dst = w.a) WHERE w.b IS NOT NULL"))
 def blocked_from_path(spark, d):
-    lists = osm.valid_ways(fx.ways(spark, d)).where("id % 10 = 1").select(F.col("id").alias("zone_id"), F.col("nodes").alias("path"))
+    lists = osm.valid_ways(fx.ways(spark, d)).select(F.col("id").alias("zone_id"), F.col("nodes").alias("path"))
     return paths.edges_of_paths(raw(spark, d).edges, lists)
 
 
+@query(fx.sql([*fx.ROADS, fx.ZONES, _MEET, _PAIRS], "SELECT src, dst FROM pairs WHERE blocked UNION SELECT x.src, x.dst FROM seg w JOIN (SELECT src, dst FROM fx_edges UNION SELECT dst, src FROM fx_edges) x ON (x.src = w.a AND x.dst = w.b) OR (x.src = w.b AND x.dst = w.a) WHERE w.highway = 'service' AND w.b IS NOT NULL"))
+def blocked_by_all(spark, d):
+    """Zones by their geometry, and all service roads by their paths."""
+    null = lambda kind: F.lit(None).cast(kind)
+    closed = osm.valid_ways(fx.ways(spark, d)).where(tag("highway") == "service")
+    kinds = {f.split(" ", 1)[0]: f.split(" ", 1)[1] for f in ZONES.split(", ")}
+    rows = closed.select((F.col("id") + 1000).alias("zone_id"), (F.col("id") + 1000).alias("ord"), F.lit("LineString").alias("geom_type"), null(kinds["parts"]).alias("parts"), null("double").alias("radius"), F.lit("block").alias("block_type"), null("double").alias("penalty"), F.col("nodes").alias("path"))
+    pairs, _ = spatial.overlay(raw(spark, d), fx.zone_rows(spark, d).unionByName(rows))
+    return pairs.where("blocked").select("src", "dst")
+
+
+@query("SELECT id FROM (SELECT c_custkey AS id, c_custkey % 3 <> 0 AS ok FROM customer UNION ALL SELECT s_suppkey + 1000000, s_suppkey % 4 IN (1, 2, 3) AND s_suppkey % 2 = 1 FROM supplier) WHERE ok")
+def address_nodes(spark, d):
+    """Customers with a house number, or without; suppliers with a name, a kind of place, both or neither."""
+    tags = lambda *pairs: F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.when(when, "x").alias("v")) for k, when in pairs)), lambda e: e["v"].isNotNull()))
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    rows = fx.table(spark, d, "customer").select(c.alias("id"), tags(("addr:housenumber", c % 3 != 0), ("name", c % 2 == 0)).alias("tags"))
+    kinds = [(k, s % 4 == i) for i, k in enumerate(osm.PLACE_KEYS) if i]
+    rows = rows.union(fx.table(spark, d, "supplier").select((s + 1000000).alias("id"), tags(("name", s % 2 == 1), *kinds)))
+    return rows.where(osm.is_address_node()).select("id")
+
+
 @query(fx.sql(fx.ROADS, "SELECT DISTINCT src, dst FROM (SELECT src, dst, src_lat, dst_lat FROM fx_edges UNION ALL SELECT dst, src, src_lat, dst_lat FROM fx_edges) WHERE least(src_lat, dst_lat) <= 21.0000123::DOUBLE + 0.000001 AND greatest(src_lat, dst_lat) >= 21.0000123::DOUBLE - 0.000001"))
 def hard_barriers(spark, d):
     wall = F.array(geo.point(F.lit(105.8), F.lit(21.0000123)), geo.point(F.lit(105.95), F.lit(21.0000123)))
@@ -598,6 +620,27 @@ def search_phases(spark, d):
     return out.select("query_id", "place", "phase", "node_id", "address", F.round("score", 6).alias("score"))
 
 
+_NUMBERED = [
+    *_SEARCHED,
+    r"parsed AS (SELECT query_id, try_cast(nullif(regexp_extract(trim(query), '^([0-9]+)\s+(.+)$', 1), '') AS INTEGER) AS q, trim(regexp_extract(trim(query), '^([0-9]+)\s+(.+)$', 2)) AS street FROM qs)",
+    "hs AS (SELECT street_name AS street, try_cast(house_number AS INTEGER) AS n, x.lat, x.lon, addr.id FROM addr JOIN fx_nodes x ON x.id = node_id WHERE try_cast(house_number AS INTEGER) IS NOT NULL)",
+    "j AS (SELECT a.query_id, a.q, a.street, h.n, h.lat, h.lon, h.id FROM parsed a JOIN hs h USING (street) WHERE a.q IS NOT NULL)",
+    "g AS (SELECT query_id, q, street, arg_min(lat, id) FILTER (n = q) AS elat, arg_min(lon, id) FILTER (n = q) AS elon, max(n) FILTER (n < q) AS ln, min(n) FILTER (n > q) AS hn FROM j GROUP BY query_id, q, street)",
+    "b AS (SELECT g.*, " + ", ".join(f"(SELECT arg_min({c}, id) FROM j WHERE j.query_id = g.query_id AND j.n = g.{s}n) AS {s}{c}" for c in ("lat", "lon") for s in "lh") + " FROM g)",
+    "pts AS (SELECT query_id AS point_id, " + ", ".join(f"CASE WHEN e{c} IS NOT NULL THEN e{c} WHEN ln IS NOT NULL AND hn IS NOT NULL THEN l{c} + (q - ln)::DOUBLE / (hn - ln) * (h{c} - l{c}) ELSE coalesce(l{c}, h{c}) END AS {c}" for c in ("lat", "lon")) + ", CAST(q AS VARCHAR) || ' ' || street AS address, CASE WHEN elat IS NOT NULL THEN 'exact' WHEN ln IS NOT NULL AND hn IS NOT NULL THEN 'interpolated' WHEN ln IS NOT NULL THEN 'fallback_lower' ELSE 'fallback_upper' END AS method FROM b)",
+    _NEAR_EDGE,
+    f"house AS (SELECT point_id AS query_id, 0 AS phase, 0 AS n, CASE WHEN {fx.hav('(src_lat + t * (dst_lat - src_lat))', '(src_lon + t * (dst_lon - src_lon))', 'src_lat', 'src_lon')} <= {fx.hav('(src_lat + t * (dst_lat - src_lat))', '(src_lon + t * (dst_lon - src_lon))', 'dst_lat', 'dst_lon')} THEN src ELSE dst END AS node_id, pts.address, 100.0::DOUBLE AS score, pts.method FROM best JOIN pts USING (point_id) WHERE rn = 1)",
+    "every AS (SELECT * FROM house UNION ALL SELECT query_id, phase, place, node_id, address, score, 'search' FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE place <= 5)",
+    "firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, node_id ORDER BY phase, n) AS again FROM every)",
+]
+
+
+@query(fx.sql(_NUMBERED, "SELECT query_id, CAST(place AS INTEGER) AS place, node_id, address, round(score, 6) AS score, method FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, phase, n) AS place FROM firsts WHERE again = 1) WHERE place <= 5"))
+def search_interpolated(spark, d):
+    out = geocode.search_with_interpolation(address_table(spark, d), component(spark, d), asked_addresses(spark, d), fuzzy=False)
+    return out.select("query_id", "place", "node_id", "address", F.round("score", 6).alias("score"), "method")
+
+
 @query()
 def search_full(spark, d):
     return geocode.search(address_table(spark, d), asked_addresses(spark, d)).select("query_id", "place", "phase", "node_id", "address", F.round("score", 3).alias("score"))
