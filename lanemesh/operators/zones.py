@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import time
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +22,7 @@ LEASE = 3600.0
 
 
 class ZoneTable:
-    """Zones in a folder. A change is appended under a version of its own, which its writer claims by creating a file that must not exist yet; the file holds the greatest id given out so far, so two writers never give the same one. Readers see the versions that are written whole, and merge them: each column has its latest value that isn't null, and a deleted zone stays deleted. compact() folds versions into a base."""
+    """Zones in a folder. A change is appended under a version of its own, which its writer claims by a file of that name, which must not exist yet; the file holds the greatest id given out so far, so two writers never give the same one. Readers see the versions that are written whole, and merge them: each column has its latest value that isn't null, and a deleted zone stays deleted. compact() folds versions into a base."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -40,18 +42,13 @@ class ZoneTable:
         return sorted(int(n[1:]) for n in self._names(kind) if self._fs.exists(self._at(f"{kind}/{n}/_SUCCESS")))
 
     def _claimed(self, version: int) -> tuple[int, str]:
-        """The id mark and tag that a version was claimed with; waits for a writer that is just writing them."""
-        for _ in range(200):
-            stream = self._fs.open(self._at(f"claims/v{version}"))
-            try:
-                text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            finally:
-                stream.close()
-            if text.endswith(";"):
-                mark, _, tag = text[:-1].partition(",")
-                return int(mark), tag
-            time.sleep(0.05)
-        return self._claimed(version - 1) if version > 1 else (0, "")
+        """The id mark and tag that a version was claimed with."""
+        stream = self._fs.open(self._at(f"claims/v{version}"))
+        try:
+            mark, _, tag = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").partition(",")
+        finally:
+            stream.close()
+        return int(mark), tag
 
     def _latest(self) -> tuple[int, int]:
         """The greatest version claimed, and its id mark."""
@@ -59,18 +56,27 @@ class ZoneTable:
         return (max(versions), self._claimed(max(versions))[0]) if versions else (0, 0)
 
     def _claim(self, new_ids: int, tag: str = "") -> tuple[int, int]:
-        """A version of one's own, and the id mark before it."""
+        """A version of one's own, and the id mark before it. A claim is written aside and then given its name, which fails if another has it."""
         while True:
             version, mark = self._latest()
-            try:
-                stream = self._fs.create(self._at(f"claims/v{version + 1}"), False)
-            except Exception as e:  # another writer was first
-                if "exist" not in str(e):
-                    raise
-                continue
-            stream.write(bytearray(f"{mark + new_ids},{tag};".encode()))
+            aside = f"claims/_{uuid.uuid4().hex}"
+            stream = self._fs.create(self._at(aside))
+            stream.write(bytearray(f"{mark + new_ids},{tag}".encode()))
             stream.close()
-            return version + 1, mark
+            won = self._named(aside, f"claims/v{version + 1}")
+            self._fs.delete(self._at(aside), False)
+            if won:
+                return version + 1, mark
+
+    def _named(self, aside: str, name: str) -> bool:
+        to = self._fs.makeQualified(self._at(name)).toUri()
+        if to.getScheme() == "file":  # where a rename would replace what is there, a link doesn't
+            try:
+                os.link(self._fs.makeQualified(self._at(aside)).toUri().getPath(), to.getPath())
+            except FileExistsError:
+                return False
+            return True
+        return self._fs.rename(self._at(aside), self._at(name))
 
     def _append(self, changes: DataFrame, version: int) -> None:
         changes.write.parquet(f"{self.path}/log/v{version}")
