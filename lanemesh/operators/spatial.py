@@ -1,4 +1,4 @@
-"""Spatial joins: nearest nodes, streets and edges by growing grid cells; zones over edges and nodes; overlays."""
+"""Spatial joins: nodes within reach and nearest edges; zones over edges and nodes; overlays."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from lanemesh.functions import geo
 from lanemesh.lineage import cut
 from lanemesh.operators.boxes import SIDES, dealt, meeting
 from lanemesh.operators.graph import degrees
+from lanemesh.operators.nearest import nearest_nodes
 from lanemesh.operators.paths import edges_of_paths
 from lanemesh.schemas import Graph
 
@@ -27,54 +28,9 @@ CELLS_A_CUTOFF, POINTS, EDGES, PAIRS = 4, 4096, 32768, 1_000_000
 METRES_A_RADIAN_DEGREE = math.radians(1) * geo.EARTH_RADIUS
 
 
-def _around(x: str, y: str) -> Column:
-    near = F.array(*(F.lit(i).cast("long") for i in (-1, 0, 1)))
-    return F.flatten(F.transform(near, lambda i: F.transform(near, lambda j: F.struct((F.col(x) + i).alias("cx"), (F.col(y) + j).alias("cy")))))
-
-
-def nearest_nodes(points: DataFrame, nodes: DataFrame, key: str = "point_id", metric: str = "planar") -> DataFrame:
-    """points with node_id and distance (degrees if planar, else metres) of the nearest node; ties to the least id.
-
-    Points meet the nodes of their cell and the eight around it; a hit within one cell side is certain, and the other points go on with cells twice as large."""
-    points, nodes = cut(points.select(key, "lat", "lon")), cut(nodes.select("id", "lat", "lon"))
-    n, a, b, c, d = nodes.agg(F.count("*"), F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
-    at = points.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
-    if not n or at[0] is None:
-        return points.select(key, F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("distance")).limit(0)
-    span = max(max(b, at[1]) - min(a, at[0]), max(d, at[3]) - min(c, at[2]), 1e-9)
-    # a degree of longitude is shorter: the certain radius in metres is that of the narrowest cells
-    shrink = math.cos(math.radians(min(89.0, max(abs(x) for x in (a, b, at[0], at[1])))))
-    side, out, left = max(span / max(1.0, math.sqrt(n)), span * 1e-6), None, points
-    while True:
-        sure = side if metric == "planar" else side * METRES_A_RADIAN_DEGREE * shrink * 0.999
-        there = nodes.select("id", F.col("lat").alias("nlat"), F.col("lon").alias("nlon"), geo.cell(F.col("lon"), side).alias("cx"), geo.cell(F.col("lat"), side).alias("cy"))
-        here = left.withColumns({"x": geo.cell(F.col("lon"), side), "y": geo.cell(F.col("lat"), side)}).withColumn("c", F.explode(_around("x", "y")))
-        met = here.select(key, "lat", "lon", "c.cx", "c.cy").join(there, ["cx", "cy"])
-        if metric == "planar":
-            distance = F.sqrt(geo.planar2(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon")))
-        else:
-            distance = geo.haversine(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon"))
-        best = met.groupBy(key).agg(F.min(F.struct(distance.alias("distance"), F.col("id").alias("node_id"))).alias("b"))
-        last = side >= 2 * span
-        best = cut(best.select(key, "b.node_id", "b.distance") if last else best.select(key, "b.node_id", "b.distance").where(F.col("distance") <= sure))
-        out = best if out is None else out.union(best)
-        left = cut(left.join(best.select(key), key, "left_anti"))
-        if last or left.first() is None:
-            return out
-        side *= 2
-
-
 def snap(points: DataFrame, nodes: DataFrame, metres: float = 100.0, key: str = "point_id") -> DataFrame:
-    """key, node_id, distance of the nearest node by haversine that is less than so many metres away: one grid join, as the cutoff bounds the radius."""
-    top = max(abs(x or 0.0) for x in nodes.agg(F.min("lat"), F.max("lat")).first())
-    dlat = metres / METRES_A_RADIAN_DEGREE * 1.001
-    dlon = dlat / max(math.cos(math.radians(min(89.0, top + dlat))), 1e-3)
-    here = points.select(key, "lat", "lon", geo.cell(F.col("lon"), dlon).alias("x"), geo.cell(F.col("lat"), dlat).alias("y")).withColumn("c", F.explode(_around("x", "y")))
-    there = nodes.select("id", F.col("lat").alias("nlat"), F.col("lon").alias("nlon"), geo.cell(F.col("lon"), dlon).alias("cx"), geo.cell(F.col("lat"), dlat).alias("cy"))
-    met = here.select(key, "lat", "lon", "c.cx", "c.cy").join(there, ["cx", "cy"])
-    distance = geo.haversine(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon"))
-    best = met.groupBy(key).agg(F.min(F.struct(distance.alias("distance"), F.col("id").alias("node_id"))).alias("b"))
-    return best.select(key, "b.node_id", "b.distance").where(F.col("distance") < metres)
+    """key, node_id, distance of the nearest node by haversine that is less than so many metres away."""
+    return nearest_nodes(points, nodes, key, "haversine", metres).where(F.col("distance") < metres)
 
 
 def _crossed(rows: DataFrame, dlon: float, dlat: float, side_x: float, side_y: float) -> DataFrame:
