@@ -11,6 +11,11 @@ Windows are cut from blocks of BLOCK rows, each with the 2 * HALF rows that foll
 one block at a time and streams the queries of it by; a block with many queries is read by several
 tasks, about DEAL queries each.
 
+Blocks hold codes: a byte a component, with their scale and their distance from the vector. That distance
+bounds how far a score by code can be from the exact one, so a window keeps every point that could be among
+the nearest, and so do the merged windows. Whole vectors are fetched for those few alone: the result is that
+of exact scores of all rows looked at.
+
 The quantiles come from a bounded sample: the SAMPLE vectors of least hash. All vectors are indexed.
 Recall is measured in the tests and the README.
 
@@ -30,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from llm.groups import grouped
-from llm.tables import keep
+from llm.groups import grouped, join_dealt
+from llm.tables import keep, release
 
 TOP = 20
 MOST_IDS = TOP + 1
@@ -149,22 +154,38 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(local)], ["o", "uid", "is_query", "pid", "local"])
 
 
-def nearest(window: np.ndarray, ids: list[list[int]], query: np.ndarray) -> tuple[list[int], list[float]]:
-    """The MOST_IDS nearest of the window's points, by exact score and then id, and their scores."""
-    scores = window @ query
-    if len(scores) > MOST_IDS:
-        least = np.partition(scores, -MOST_IDS)[-MOST_IDS]
-        own = np.flatnonzero(scores >= least - ROUNDING * np.abs(scores).max())
-    else:
-        own = np.arange(len(scores))
-    exact = (window[own] * query).sum(axis=1)
-    found = sorted((-float(s), i) for j, s in zip(own, exact, strict=True) for i in ids[j])[:MOST_IDS]
-    return [i for _, i in found], [-s for s, _ in found]
+def encode(x: np.ndarray) -> np.ndarray:
+    """Rows of bytes: the scale, an upper bound of the distance, and a signed byte a component."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        scale = np.abs(x).max(axis=1) / 127
+        whole = np.clip(np.rint(x / np.where(scale > 0, scale, 1)[:, None]), -127, 127)
+        far = np.sqrt(((x - whole * scale[:, None]) ** 2).sum(axis=1)) * (1 + 1e-12) + 1e-150
+    # squares may vanish or be too large for doubles: the former counts as a little, the latter as no bound at all
+    head = np.stack((scale, np.where(np.isfinite(far), far, np.inf)), axis=1).astype("<f8")
+    return np.concatenate((head.view(np.uint8), whole.astype(np.int8).view(np.uint8)), axis=1)
+
+
+def decode(column, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors near those encoded, and how near."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 16 + size)
+    head = np.ascontiguousarray(raw[:, :16]).view("<f8")
+    return np.ascontiguousarray(raw[:, 16:]).view(np.int8) * head[:, :1], head[:, 1]
+
+
+def possible(scores: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Places of scores, each known up to `far`, that may be among the MOST_IDS greatest."""
+    if len(scores) <= MOST_IDS:
+        return np.arange(len(scores))
+    low = np.nan_to_num(scores - far, nan=-np.inf)
+    return np.flatnonzero(~(scores + far < np.partition(low, -MOST_IDS)[-MOST_IDS]))
+
+
+_LISTS = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float32()))
 
 
 def _search(batches: Iterator[pa.RecordBatch], size: int, wide: int) -> Iterator[pa.RecordBatch]:
-    """Blocks' points, each followed by the queries that look there, to what is nearest in the queries' windows."""
-    now, held, points, ids, first = None, [], None, [], 0
+    """Blocks' codes, each followed by the queries that look there, to what may be nearest in the queries' windows."""
+    now, held, codes, far, uids, first = None, [], None, None, None, 0
     for batch in batches:
         columns = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("o", "block", "part", "is_query")]
         cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
@@ -173,29 +194,51 @@ def _search(batches: Iterator[pa.RecordBatch], size: int, wide: int) -> Iterator
                 continue
             run, key = batch.slice(at, to - at), tuple(int(c[at]) for c in columns[:3])
             if key != now:
-                now, held, points = key, [], None
+                now, held, codes = key, [], None
             if not columns[3][at]:
                 held.append(run)
                 continue
-            if points is None:
+            if codes is None:
                 table = pa.Table.from_batches(held)
-                points, ids, first, held = unpack(table.column("v"), size), table.column("ids").to_pylist(), table.column("place")[0].as_py(), []
-            queries, rows = unpack(run.column("v"), size), []
+                (codes, far), uids, first, held = decode(table.column("data"), size), table.column("uid").to_numpy(), table.column("place")[0].as_py(), []
+            queries, rows = unpack(run.column("data"), size), []
             for uid, place, query in zip(run.column("uid").to_pylist(), run.column("place").to_pylist(), queries, strict=True):
-                rows.append((uid, *nearest(points[place - first : place - first + wide], ids[place - first : place - first + wide], query)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())), strict=True)], ["uid", "found", "scores"])
+                own = slice(place - first, place - first + wide)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = codes[own] @ query
+                    bound = far[own] * np.linalg.norm(query) + ROUNDING * np.abs(scores).max(initial=0.0)
+                    single = np.nextafter(bound.astype(np.float32), np.float32(np.inf))
+                found = possible(scores, bound)
+                rows.append((uid, uids[own][found], scores[found], single[found]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _LISTS, strict=True)], ["uid", "found", "scores", "far"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = []
+    """What may be nearest in all windows of a query together."""
     for group in grouped(batches, ["uid"]):
-        best: dict[int, float] = {}
-        for ids, scores in zip(group.column("found").to_pylist(), group.column("scores").to_pylist(), strict=True):
-            best.update(zip(ids, scores, strict=True))
-        found = sorted((-s, i) for i, s in best.items())[:MOST_IDS]
-        rows.append((group.column("uid")[0].as_py(), [i for _, i in found], [-s for s, _ in found]))
+        flat = [np.concatenate([np.asarray(v.values) for v in group.column(c)]) for c in ("found", "scores", "far")]
+        uids, at = np.unique(flat[0], return_index=True)
+        own = uids[possible(flat[1][at], flat[2][at].astype(float))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), group.column("uid")[0].as_py())), pa.array(own)], ["query", "uid"])
+
+
+def _exact(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The MOST_IDS nearest ids of each query, by exact score and then id; a query's own vector comes ahead of its candidates."""
+    rows = []
+    for group in grouped(batches, ["query"]):
+        x, ids = unpack(group.column("v"), size), group.column("ids").to_pylist()
+        scores = (x[1:] * x[0]).sum(axis=1)
+        found = sorted((-float(s), i) for s, own in zip(scores, ids[1:], strict=True) for i in own)[:MOST_IDS]
+        rows.append((group.column("v")[0].as_py(), [i for _, i in found], [-s for s, _ in found]))
+        if len(rows) == 256:
+            yield _found(rows)
+            rows = []
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())), strict=True)], ["uid", "found", "scores"])
+        yield _found(rows)
+
+
+def _found(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64())), strict=True)], ["v", "found", "scores"])
 
 
 RESULT = "query_id long, rank int, vec_id long, score double"
@@ -218,7 +261,15 @@ def _search_length(base: DataFrame, size: int, every: int, orderings: int, half:
     asked = base.where(F.col("vec_id") % every == 0).select("vec_id", "v")
     points = few.join(asked.select("v").distinct().withColumn("asked", F.lit(True)), "v", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
     # a vector id may stand for several different vectors: number the points by id and a hash
-    points = keep(points.withColumn("uid", F.xxhash64("uid", "v")), "ann-p")
+    points = points.withColumn("uid", F.xxhash64("uid", "v"))
+
+    def coded(batches):
+        for batch in batches:
+            codes = [c.tobytes() for c in encode(unpack(batch.column(1), size))] if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], [*batch.schema.names, "code"])
+
+    points = points.select("uid", "v", "ids", "norm2", "asked").mapInArrow(coded, "uid long, v binary, ids array<long>, norm2 double, asked boolean, code binary")
+    points = keep(points, "ann-p")
     n, largest = points.agg(F.count("*"), F.max("norm2")).first()
     sample = points.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).select("v").toArrow()
     curves = Curves(unpack(sample.column("v"), size), float(np.sqrt(largest)), orderings)
@@ -240,7 +291,7 @@ def _search_length(base: DataFrame, size: int, every: int, orderings: int, half:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "o", "key", "uid", "is_query").sortWithinPartitions("o", "key", "uid", "is_query")
     rows = rows.withColumn("pid", F.spark_partition_id()).mapInArrow(_positions, "o int, uid long, is_query boolean, pid int, local long")
-    rows = keep(rows, "ann-r")
+    placed = rows = keep(rows, "ann-r")
     totals = rows.groupBy("o", "pid").agg(F.sum((~F.col("is_query")).cast("long")).alias("t"))
     offsets = totals.select("o", "pid", F.coalesce(F.sum("t").over(W.partitionBy("o").orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     wide = min(2 * half, n)
@@ -254,10 +305,20 @@ def _search_length(base: DataFrame, size: int, every: int, orderings: int, half:
     every_part = F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)
     part = F.explode(F.when(F.col("is_query"), F.array(F.pmod(F.xxhash64("uid"), F.col("deals")))).otherwise(every_part))
     rows = rows.join(deals, ["o", "block"]).select("o", "uid", "is_query", "place", "block", part.alias("part"))
-    rows = rows.join(points.select("uid", "v", "ids"), "uid").repartition("o", "block", "part").sortWithinPartitions("o", "block", "part", "is_query", "place")
-    found = rows.mapInArrow(lambda b: _search(b, size, wide), "uid long, found array<long>, scores array<double>")
-    found = found.repartition("uid").sortWithinPartitions("uid").mapInArrow(_merge, "uid long, found array<long>, scores array<double>")
-    found = keep(found.join(points.select("uid", "v"), "uid").select("v", F.arrays_zip("found", "scores").alias("z")), "ann-f")
+    data = F.when(F.col("is_query"), F.col("v")).otherwise(F.col("code"))
+    rows = rows.join(points.select("uid", "v", "code"), "uid").select("o", "uid", "is_query", "place", "block", "part", data.alias("data"))
+    rows = rows.repartition("o", "block", "part").sortWithinPartitions("o", "block", "part", "is_query", "place")
+    found = rows.mapInArrow(lambda b: _search(b, size, wide), "uid long, found array<long>, scores array<double>, far array<float>")
+    pairs = keep(found.repartition("uid").sortWithinPartitions("uid").mapInArrow(_merge, "query long, uid long"), "ann-c")
+    release(placed)
+    # a long vector may be near to every query
+    counts = pairs.groupBy("uid").agg(F.count("*").alias("n"))
+    met = join_dealt(pairs, points.select("uid", "v", "ids"), "uid", "query", counts, pairs.count())
+    met = met.select("query", F.lit(1).alias("turn"), "v", "ids").union(points.where("asked").select("uid", F.lit(0), "v", F.array().cast("array<long>")))
+    met = met.repartition("query").sortWithinPartitions("query", "turn")
+    found = met.mapInArrow(lambda b: _exact(b, size), "v binary, found array<long>, scores array<double>")
+    found = keep(found.select("v", F.arrays_zip("found", "scores").alias("z")), "ann-f")
+    release(pairs)
     # one vector may be very common among those that ask
     salts = 16
     asked = asked.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)))
