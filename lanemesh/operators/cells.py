@@ -8,6 +8,7 @@ hops. Where a path is asked for, each entry's origin is found in one more search
 traced by doubled pointers, and each leg of a path within a cell is searched once more.
 
 ASKED requests or so meet a cell in one task; a cell that more ask for is read by several tasks.
+Where more than ACROSS of the edges lead to other cells, there is no such order, and `balls` serves.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from lanemesh.operators.rounds import lowest
 
 CELL = 32768
 ASKED = 256
+ACROSS = 0.5
 AT = "struct<cost:double,crossings:int>"
 KINDS = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
 
@@ -65,13 +67,23 @@ class Cells:
     edges: DataFrame
 
 
-def split(nodes: DataFrame, edges: DataFrame, size: int = CELL) -> Cells:
-    """Cells of nodes and weighted edges (src, dst, weight, ord); of parallel edges the cheapest."""
+def placed(nodes: DataFrame, edges: DataFrame, size: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """Nodes in cells, and the edges (src, dst, weight, ord; of parallel ones the cheapest) with the cells that they leave and enter (cell, far)."""
     own = celled(nodes, size)
     best = edges.groupBy("src", "dst").agg(F.min(F.struct("weight", "ord")).alias("e"))
     at = lambda side, name: own.select(F.col("id").alias(side), F.col("cell").alias(name))
     rows = best.join(at("src", "cell"), "src").join(at("dst", "far"), "dst")
-    return Cells(own, bucketed(rows.groupBy("cell").agg(F.collect_list(F.struct("src", "dst", "far", "e.weight", "e.ord")).alias("edges")), "cell"))
+    return own, cut(rows.select("cell", "far", "src", "dst", "e.weight", "e.ord"))
+
+
+def scattered(rows: DataFrame) -> bool:
+    """Whether more than ACROSS of the edges lead to other cells."""
+    return (rows.agg(F.avg((F.col("cell") != F.col("far")).cast("double"))).first()[0] or 0.0) > ACROSS
+
+
+def gathered(own: DataFrame, rows: DataFrame) -> Cells:
+    """The cells of placed() nodes and edges, a row a cell."""
+    return Cells(own, bucketed(rows.groupBy("cell").agg(F.collect_list(F.struct("src", "dst", "far", "weight", "ord")).alias("edges")), "cell"))
 
 
 class Local:

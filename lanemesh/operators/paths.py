@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lanemesh.functions.geo import haversine, point
 from lanemesh.functions.roads import ROAD_CLASSES, weight
 from lanemesh.lineage import cut
-from lanemesh.operators import cells
+from lanemesh.operators import balls, cells
 from lanemesh.operators.graph import line_string
 from lanemesh.operators.rounds import lowest
 from lanemesh.schemas import Graph
@@ -124,13 +124,16 @@ def joined_geometry(lines: Column, tolerance: float = 1e-6) -> Column:
 
 
 def routes(graph: Graph, requests: DataFrame, weather: str = "normal", overlay: DataFrame | None = None, blocked_nodes: DataFrame | None = None, size: int = cells.CELL) -> DataFrame:
-    """request_id, cost, path, geometry, distance, duration, edges of the cheapest paths of requests (request_id, start, goal) that have one, by searches of cells of about `size` nodes."""
+    """request_id, cost, path, geometry, distance, duration, edges of the cheapest paths of requests (request_id, start, goal) that have one, by searches of cells of about `size` nodes, or by balls if most edges lead to other cells."""
     edges = cut(weighted(graph.edges, weather, overlay, blocked_nodes))
     keys = ("request_id",)
     ask = cut(requests.select("request_id", "start", "goal").where("start != goal"))
-    parts = cells.split(graph.nodes, edges, size)
-    found = cells.costs(parts, ask, HEURISTIC)
     goals = ask.select("request_id", F.col("goal").alias("node"))
+    own, rows = cells.placed(graph.nodes, edges, size)
+    if cells.scattered(rows):
+        return _by_balls(edges, rows, ask, goals)
+    parts = cells.gathered(own, rows)
+    found = cells.costs(parts, ask, HEURISTIC)
     reached = cut(found.join(goals, ["request_id", "node"], "left_semi").select("request_id", "node", F.col("at.cost").alias("cost")))
     tree = trace(cells.origins(parts, ask, found), reached, keys)
     steps = cells.legs(parts, ask, cut(tree))
@@ -138,11 +141,27 @@ def routes(graph: Graph, requests: DataFrame, weather: str = "normal", overlay:
     return reached.select("request_id", "cost").join(assemble(hops, keys), "request_id")
 
 
+def _by_balls(edges: DataFrame, rows: DataFrame, ask: DataFrame, goals: DataFrame) -> DataFrame:
+    """routes() of weighted edges from the balls over rows, their cheapest ones: costs from the start are carried on from where the balls meet to the goal, then the path is traced back."""
+    keys = ("request_id",)
+    state = balls.grown(rows, ask)
+    near, far, met = balls.tight(edges.select("src", "dst", "weight", "ord"), state)
+    onward = shortest(far, met, keys)
+    costs = cut(state.where("not back").select(*keys, "node", "cost").union(onward).groupBy(*keys, "node").agg(F.min("cost").alias("cost")))
+    reached = cut(costs.join(met.select(*keys).distinct(), list(keys), "left_semi").join(goals, [*keys, "node"], "left_semi"))
+    steps = trace(parents(near.union(far).distinct(), costs, keys), reached, keys)
+    hops = steps.select(*keys, "step", "edge.ord").join(edges.select("ord", F.struct(*edges.columns).alias("edge")), "ord").select(*keys, "step", "edge")
+    return reached.select("request_id", "cost").join(assemble(hops, keys), "request_id")
+
+
 def route_costs(graph: Graph, requests: DataFrame, weather: str = "normal", overlay: DataFrame | None = None, blocked_nodes: DataFrame | None = None, size: int = cells.CELL) -> DataFrame:
     """request_id and cost alone, as routes() has them."""
     edges = weighted(graph.edges, weather, overlay, blocked_nodes).select("src", "dst", "weight", "ord")
     ask = cut(requests.select("request_id", "start", "goal").where("start != goal"))
-    found = cells.costs(cells.split(graph.nodes, edges, size), ask, HEURISTIC)
+    own, rows = cells.placed(graph.nodes, edges, size)
+    if cells.scattered(rows):
+        return balls.best(balls.grown(rows, ask)).where("best is not null").select("request_id", F.col("best").alias("cost"))
+    found = cells.costs(cells.gathered(own, rows), ask, HEURISTIC)
     return found.join(ask.select("request_id", F.col("goal").alias("node")), ["request_id", "node"], "left_semi").select("request_id", F.col("at.cost").alias("cost"))
 
 
