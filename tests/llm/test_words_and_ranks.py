@@ -7,6 +7,7 @@ import re
 import re._parser as parser
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,3 +294,17 @@ def test_the_widest_similar_stretch(spark):
         i, j = passages.widest(equal)
         most = max((b - a for a in range(n) for b in range(a + 1, n + 1) if equal[a] and equal[b - 1] and equal[a:b].sum() >= passages.SIMILAR * (b - a) - 1e-9), default=0)
         assert j - i <= most and (j == i or equal[i:j].sum() >= passages.SIMILAR * (j - i) - 1e-9) and (most == 0 or j > i)
+
+
+def test_seeds_of_many_texts_at_once():
+    from llm import passages
+
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 2**32, n, dtype=np.uint32)[rng.integers(0, k, n) if k else np.arange(n)] for n in (50, 51, 75, 300) for k in (0, 1, 3, 40)]
+    hashes, to = passages.shingles(passages._unpacked(b"".join(t.tobytes() for t in texts)), np.concatenate(([0], np.cumsum([len(t) for t in texts]))), passages.SEED)
+    hashes = passages.mix(hashes)
+    for window in (passages.WINDOW, passages.WIDE):
+        want = np.concatenate([a + passages.minimizers(hashes[a:b], window) for a, b in zip(to, to[1:], strict=False)])
+        assert passages.minimizers_of(hashes, to, window).tolist() == want.tolist()
+    value, text, place = np.array([5, 7, 5, 5, 7]), np.array([0, 0, 0, 1, 1]), np.array([2, 4, 9, 1, 3])
+    assert passages._first_of(value, text, place).tolist() == [2, 4, 2, 1, 3]
