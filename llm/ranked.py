@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from llm.licenses import LOWER, UPPER
 from llm.tables import keep
-from llm.words import column_bytes, word_hashes
+from llm.words import column_bytes, word_hashes, word_spans
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of terms, A-Z as a-z; all others part terms.
@@ -45,6 +45,8 @@ SCALE = 1_000_000_000
 TOP = 50
 DOCS, TOKENS = 16384, 2_000_000
 BLOCK = 256
+#: Bytes of text that are cut to terms at once, of however many rows; a text isn't parted.
+PIECE = 2 * TOKENS
 #: Nodes looked at together.
 BEST = 96
 SHARD = "doc_ids array<bigint>, terms array<string>, counts array<int>, impacts binary, bits binary"
@@ -67,14 +69,31 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return hashes, firsts, starts, ends, data
 
 
+def _rows_within(column: pa.Array, at: int) -> int:
+    """How many texts from `at` on have PIECE bytes together; one at least."""
+    size = pc.fill_null(pc.binary_length(column.slice(at)), 0).to_numpy(zero_copy_only=False)
+    return max(1, int(np.searchsorted(np.cumsum(size, dtype=np.int64), PIECE, "right")))
+
+
+def counted(column: pa.Array) -> tuple[int, int]:
+    """Texts with a term, and all their terms, a piece at a time."""
+    some = terms = at = 0
+    while at < len(column):
+        rows = _rows_within(column, at)
+        data, offsets = column_bytes(column.slice(at, rows))
+        n = np.diff(np.searchsorted(word_spans(_BYTES[data], offsets)[0], offsets))
+        some, terms, at = some + int((n > 0).sum()), terms + int(n.sum()), at + rows
+    return some, terms
+
+
 def totals(docs: DataFrame) -> tuple[int, int]:
     """Documents with a term, and all their terms."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = terms = 0
         for batch in batches:
-            n = np.diff(_terms(batch.column(0))[1])
-            some, terms = some + int((n > 0).sum()), terms + int(n.sum())
+            n = counted(batch.column(0))
+            some, terms = some + n[0], terms + n[1]
         yield pa.RecordBatch.from_pydict({"some": [some], "terms": [terms]})
 
     row = docs.select(F.col("text").cast("string")).mapInArrow(count, "some long, terms long").agg(F.sum("some"), F.sum("terms")).first()
@@ -139,9 +158,7 @@ def build(docs: DataFrame) -> Index:
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                size = pc.fill_null(pc.binary_length(batch.column(1).slice(at)), 0).to_numpy(zero_copy_only=False)
-                n = max(1, int(np.searchsorted(np.cumsum(size, dtype=np.int64), 2 * TOKENS, "right")))  # a term has two bytes at least, with what parts it
-                n = min(n, DOCS - len(ids))
+                n = min(_rows_within(batch.column(1), at), DOCS - len(ids))  # a term has two bytes at least, with what parts it
                 piece = batch.slice(at, n)
                 hashes, firsts, starts, ends, data = _terms(piece.column(1))
                 counts = np.diff(firsts)

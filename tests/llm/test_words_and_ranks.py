@@ -5,9 +5,11 @@ import math
 import random
 import re
 import re._parser as parser
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +157,19 @@ def test_ranked_search_looks_at_few_nodes(spark, monkeypatch):
     assert len(at) == 5 and all(x % 1000 == 0 for x in tree.docs[at]) and len(looked) < 12
 
 
+def test_terms_are_counted_in_bounded_memory():
+    mixed = pa.array(["Ab, c2 \u00e9t\u00e9! " * 100, None, "", " .,"] * 2500 + ["x"])
+    n = np.diff(ranked._terms(mixed)[1])
+    assert ranked.counted(mixed) == (int((n > 0).sum()), int(n.sum())) == (2501, 750001)
+    large = pa.array(["ab c " * 4000] * 1000)  # 20 MB in a batch; the hashes of its terms alone take 64
+    tracemalloc.start()
+    try:
+        assert ranked.counted(large) == (1000, 8_000_000)
+        assert tracemalloc.get_traced_memory()[1] < 64e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_ranked_search_of_nothing(spark, small, odd, nothing):
     items = table(spark, small, "benchmark")
     assert ranked.rank_documents(nothing, items).count() == 0
