@@ -67,6 +67,12 @@ def segments(line: Column) -> Column:
     return F.zip_with(heads, tails, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
+def consecutive(nodes: str) -> Column:
+    """An array as an array of structs src, dst of each element and the next."""
+    n = F.greatest(F.size(nodes) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(nodes, 1, n).alias("src"), F.slice(nodes, 2, n).alias("dst"))
+
+
 def _turn(a: Column, b: Column, c: Column) -> Column:
     """Sign of the turn a-b-c: 1 left, -1 right, 0 collinear."""
     return F.signum((b["lon"] - a["lon"]) * (c["lat"] - a["lat"]) - (b["lat"] - a["lat"]) * (c["lon"] - a["lon"]))
@@ -106,7 +112,8 @@ def line_meets_line(line: Column, other: Column) -> Column:
 
 def line_meets_parts(line: Column, parts: Column) -> Column:
     """A polyline has a point in common with one of the polygons (each a list of rings)."""
-    return F.exists(parts, lambda rings: F.exists(line, lambda p: in_rings(p, rings)) | F.exists(rings, lambda r: line_meets_line(line, r)))
+    # most lines that meet a polygon cross its border, which is found sooner than points inside
+    return F.exists(parts, lambda rings: F.exists(rings, lambda r: line_meets_line(line, r)) | F.exists(line, lambda p: in_rings(p, rings)))
 
 
 def line_meets_circle(line: Column, centre: Column, radius: Column) -> Column:

@@ -17,6 +17,7 @@ ROOT, DEEPEST = 512.0, 24
 #: Rows of a key on either side that one task takes.
 LOAD = 20_000
 SIDES = ("minx", "maxx", "miny", "maxy")
+CELL = ["kind", "at", "cx", "cy"]
 
 
 def dealt(left: DataFrame, right: DataFrame, keys: list[str], most_left: int, most_right: int) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -53,18 +54,34 @@ def _cells(rows: DataFrame, at: Column, kind: str, prefix: str = "") -> DataFram
 
 
 def meeting(rows: DataFrame, zones: DataFrame) -> DataFrame:
-    """Pairs of rows whose boxes (SIDES) meet, each once; the box of zones is named zminx and so on."""
-    rows = cut(rows.withColumn("level", level(*(F.col(c) for c in SIDES))))
-    zones = cut(zones.withColumnsRenamed({c: f"z{c}" for c in SIDES}).withColumn("zlevel", level(*(F.col(f"z{c}") for c in SIDES))))
+    """Pairs of rows whose boxes (SIDES) meet, each once; the box of zones is named zminx and so on.
+
+    Zones with no more than LOAD cells at all levels are sent to the rows as boxes, which then aren't shuffled, counted or dealt out."""
+    rows = rows.withColumn("level", level(*(F.col(c) for c in SIDES)))
+    zones = cut(zones.withColumnsRenamed({c: f"z{c}" for c in SIDES}).withColumns({"zlevel": level(*(F.col(f"z{c}") for c in SIDES)), "znumber": F.monotonically_increasing_id()}))
+    if zones.limit(LOAD + 1).count() <= LOAD:
+        thin = zones.select("znumber", "zlevel", *(f"z{c}" for c in SIDES))
+        # a zone touches four cells of its level at most, and four of each coarser one
+        right = _cells(thin, F.sequence(F.lit(0), F.col("zlevel")), "own", "z").unionByName(_cells(thin, F.array("zlevel"), "up", "z"))
+        if right.limit(LOAD + 1).count() <= LOAD:
+            at = [r[0] for r in sorted(zones.select("zlevel").distinct().collect())]
+            up = F.filter(F.array(*map(F.lit, at)).cast("array<int>"), lambda x: x < F.col("level"))
+            left = _cells(rows, F.array("level"), "own").unionByName(_cells(rows, up, "up"))
+            return _met(left.join(F.broadcast(right), CELL)).join(zones.drop("zlevel", *(f"z{c}" for c in SIDES)), "znumber").drop("znumber")
+    zones, rows = zones.drop("znumber"), cut(rows)
     levels = lambda df, c: F.array(*(F.lit(r[0]) for r in sorted(df.select(c).distinct().collect()))).cast("array<int>")
     # there are DEEPEST + 1 levels at most
     of_rows, of_zones = levels(rows, "level"), levels(zones, "zlevel")
     own, up = F.array("level"), F.filter(of_zones, lambda x: x < F.col("level"))
     left = _cells(rows, own, "own").unionByName(_cells(rows, up, "up"))
     right = _cells(zones, F.filter(of_rows, lambda x: x <= F.col("zlevel")), "own", "z").unionByName(_cells(zones, F.array("zlevel"), "up", "z"))
-    left, right, keys = dealt(left, right, ["kind", "at", "cx", "cy"], LOAD, LOAD)
-    met = left.join(right, keys)
+    left, right, keys = dealt(left, right, CELL, LOAD, LOAD)
+    return _met(left.join(right, keys)).drop("deal_l", "deal_r")
+
+
+def _met(met: DataFrame) -> DataFrame:
+    """The rows of a join by cells whose boxes meet, in one cell of those in which they do."""
     met = met.where((F.col("minx") <= F.col("zmaxx")) & (F.col("zminx") <= F.col("maxx")) & (F.col("miny") <= F.col("zmaxy")) & (F.col("zminy") <= F.col("maxy")))
     # a pair meets in several cells; it counts in that of the boxes' common lower corner
     corner = (F.col("cx") == F.floor(F.greatest("minx", "zminx") / side(F.col("at")))) & (F.col("cy") == F.floor(F.greatest("miny", "zminy") / side(F.col("at"))))
-    return met.where(corner).drop(*keys, "level", "zlevel")
+    return met.where(corner).drop(*CELL, "level", "zlevel")

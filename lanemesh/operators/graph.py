@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lanemesh.functions.geo import haversine, point
+from lanemesh.functions.geo import consecutive, haversine, point
 from lanemesh.functions.roads import base_coefficient, is_oneway, is_reverse_oneway, speed, tag
 from lanemesh.lineage import cut
 from lanemesh.operators.reach import condensed, reachable, without_ends
 from lanemesh.operators.rounds import lowest
 from lanemesh.schemas import Graph, OsmData
-from lanemesh.sources.osm import used_nodes, valid_ways, way_nodes
+from lanemesh.sources.osm import used_nodes, valid_ways
 
 #: Vertices of one way at most, so that an edge's place in adjacency order fits a long.
 MOST_VERTICES = 1 << 20
@@ -25,24 +25,26 @@ EDGE_COLUMNS = ["src", "dst", "way_id", "length", "highway_type", "name", "speed
 def segments(ways: DataFrame) -> DataFrame:
     """Consecutive vertices of each way: way_id, ord, pos, src, dst and the way's columns of edges."""
     columns = ways.withColumns({"highway_type": tag("highway"), "name": F.coalesce(tag("name"), F.lit("")), "oneway_": is_oneway(), "reverse_": is_reverse_oneway()})
-    vertices = way_nodes(columns, ["highway_type", "name", "oneway_", "reverse_"])
-    by_way = W.partitionBy("way_id", "ord").orderBy("pos")
-    return vertices.withColumn("dst", F.lead("node_id").over(by_way)).where("dst is not null").withColumnRenamed("node_id", "src")
+    rows = columns.select(F.col("id").alias("way_id"), "ord", "highway_type", "name", "oneway_", "reverse_", F.posexplode(consecutive("nodes")).alias("pos", "s"))
+    return rows.select(*[c for c in rows.columns if c != "s"], "s.src", "s.dst").where("dst is not null")
 
 
 def expand_directions(rows: DataFrame) -> DataFrame:
-    """One row per direction of travel: forward, reverse or both; step 0 or 1 follows adjacency order."""
-    forward = F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0).alias("step"))
-    back = F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(1).alias("step"))
+    """One row per direction of travel: forward, reverse or both; step 0 or 1 follows adjacency order. Columns src_x and dst_x turn with src and dst."""
+    sides = [c[3:] for c in rows.columns if c == "src" or c.startswith("src_")]
+    turned = lambda a, b, step: F.struct(*(F.col(a + c).alias("src" + c) for c in sides), *(F.col(b + c).alias("dst" + c) for c in sides), F.lit(step).alias("step"))
+    forward, back = turned("src", "dst", 0), turned("dst", "src", 1)
     choice = F.when(F.col("reverse_"), F.array(back)).when(F.col("oneway_"), F.array(forward)).otherwise(F.array(forward, back))
-    return rows.withColumn("d", F.explode(choice)).drop("src", "dst").withColumns({"src": F.col("d.a"), "dst": F.col("d.b"), "step": F.col("d.step")}).drop("d")
+    kept = [c for c in rows.columns if c[3:] not in sides or c[:3] not in ("src", "dst")]
+    return rows.select(*kept, F.explode(choice).alias("d")).select(*kept, "d.*")
 
 
 def build_raw_graph(data: OsmData, ways: DataFrame | None = None) -> Graph:
     """The multigraph of segments of valid ways; segments without both nodes go. Geometry is the two end points."""
     ways = valid_ways(data.ways) if ways is None else ways
     at = lambda side: data.nodes.select(F.col("id").alias(side), F.col("lat").alias(f"{side}_lat"), F.col("lon").alias(f"{side}_lon"))
-    rows = expand_directions(segments(ways)).join(at("src"), "src").join(at("dst"), "dst")
+    # a segment meets its nodes once for both directions
+    rows = expand_directions(segments(ways).join(at("src"), "src").join(at("dst"), "dst"))
     rows = rows.withColumns(
         {
             "length": haversine(F.col("src_lat"), F.col("src_lon"), F.col("dst_lat"), F.col("dst_lon")),

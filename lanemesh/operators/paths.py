@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lanemesh.functions.geo import haversine, point
+from lanemesh.functions.geo import consecutive, haversine, point
 from lanemesh.functions.roads import ROAD_CLASSES, weight
 from lanemesh.lineage import cut
 from lanemesh.operators import balls, cells
@@ -173,15 +172,21 @@ def route_features(routes: DataFrame, weather: str = "normal") -> DataFrame:
 
 def path_pairs(paths: DataFrame) -> DataFrame:
     """Consecutive nodes src, dst of the column path of zone_id rows."""
-    nodes = paths.select("zone_id", F.posexplode("path").alias("pos", "src"))
-    return nodes.withColumn("dst", F.lead("src").over(W.partitionBy("zone_id").orderBy("pos"))).where("dst is not null").select("zone_id", "src", "dst")
+    return paths.select("zone_id", F.explode(consecutive("path")).alias("s")).select("zone_id", "s.src", "s.dst").where("dst is not null")
 
 
 def edges_of_paths(edges: DataFrame, paths: DataFrame) -> DataFrame:
     """zone_id, src, dst, both ways, of the paths' consecutive nodes that an edge joins in either direction."""
-    either = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    found = path_pairs(paths).join(either, ["src", "dst"], "left_semi")
-    return found.select("zone_id", "src", "dst").union(found.select("zone_id", "dst", "src")).distinct()
+    least, greatest = F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
+    pairs = path_pairs(paths).where("src is not null").select("zone_id", least, greatest)
+    found = pairs.join(edges.select(least, greatest), ["a", "b"], "left_semi").distinct()
+    return found.select("zone_id", F.explode(both_orders("a", "b")).alias("p")).select("zone_id", "p.src", "p.dst")
+
+
+def both_orders(a: str, b: str) -> Column:
+    """An array of structs src, dst: a pair each way, once if it is of one node."""
+    one, other = (F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in ((a, b), (b, a)))
+    return F.when(F.col(a) == F.col(b), F.array(one)).otherwise(F.array(one, other))
 
 
 def with_virtual(graph: Graph, virtual: DataFrame, weather: str = "normal") -> tuple[Graph, DataFrame]:
