@@ -33,10 +33,18 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(fold(text), F.lit("")), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def idf(rows: Column, rows_hit: Column) -> Column:
+    return F.greatest(F.log((rows - rows_hit + 0.5) / (rows_hit + 0.5)), F.lit(LEAST_IDF))
+
+
+def relevance(idf, hits, length, mean_length):
+    """BM25 of a term, of columns or arrays alike."""
+    return idf * hits * (K1 + 1) / (hits + K1 * (1 - B + B * length / mean_length))
+
+
 def bm25(hits: Column, length: Column, rows: Column, rows_hit: Column, mean_length: Column) -> Column:
     """Relevance of a phrase, positive, higher is better; the phrase counts as one term."""
-    idf = F.greatest(F.log((rows - rows_hit + 0.5) / (rows_hit + 0.5)), F.lit(LEAST_IDF))
-    return idf * hits * (K1 + 1) / (hits + K1 * (1 - B + B * length / mean_length))
+    return relevance(idf(rows, rows_hit), hits, length, mean_length)
 
 
 def ascii_lower(text: Column) -> Column:
