@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lanemesh.operators import spatial
+from lanemesh.schemas import Graph
 
 
 @pytest.mark.parametrize(("latitude", "same"), [(21.0, False), (70.0, False), (-89.9, False), (0.0, True)])
@@ -39,3 +40,41 @@ def test_dense_cells_compare_few_pairs(latitude, same):
             want.add((k, int(far.argmin())))
     got = spatial._nearest_rows(points, edges, dlat, dlon)
     assert want and want <= set(zip(got["key_"].to_pylist(), got["ord"].to_pylist(), strict=True))
+
+
+def test_long_edges_cross_few_cells(spark, monkeypatch):
+    """Cells grow while they have few points, and an edge is laid out once for both its directions."""
+    rng = np.random.default_rng(11)
+    at = {i: (21 + float(y), 105 + float(x)) for i, (y, x) in enumerate(rng.uniform(0, 0.03, (60, 2)))}
+    pairs = [tuple(map(int, rng.integers(0, 60, 2))) for _ in range(400)]
+    edges = [(a, b, 2 * k) for k, (a, b) in enumerate(pairs)] + [(b, a, 2 * k + 1) for k, (a, b) in enumerate(pairs)]
+    asked = [(i, *(at[i] if i < 20 else (21 + float(rng.uniform(0, 0.03)), 105 + float(rng.uniform(0, 0.03))))) for i in range(120)]
+    g = Graph(spark.createDataFrame([(i, *p) for i, p in at.items()], "id long, lat double, lon double"), spark.createDataFrame(edges, "src long, dst long, ord long"))
+    points = spark.createDataFrame(asked, "point_id long, lat double, lon double")
+    seen, laid_out = [], spatial._laid_out
+
+    def counted(*parts):
+        left, right = laid_out(*parts)
+        seen.append((left.count(), right.count(), left.select("at").distinct().count()))
+        return left, right
+
+    monkeypatch.setattr(spatial, "_laid_out", counted)
+
+    def plain(lat, lon):
+        best = (50.0 + 1e-9, 0)
+        for a, b, k in edges:
+            (ay, ax), (by, bx) = at[a], at[b]
+            size = (bx - ax) ** 2 + (by - ay) ** 2
+            t = max(0.0, min(1.0, ((lon - ax) * (bx - ax) + (lat - ay) * (by - ay)) / size)) if size else 0.0
+            x, y = ax + t * (bx - ax), ay + t * (by - ay)
+            h = math.sin(math.radians(y - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(y)) * math.sin(math.radians(x - lon) / 2) ** 2
+            best = min(best, (2 * spatial.geo.EARTH_RADIUS * math.atan2(math.sqrt(h), math.sqrt(1 - h)), k))
+        return best
+
+    for most, dealt in ((4096, 8192), (30, 50)):
+        monkeypatch.setattr(spatial, "POINTS", most)
+        monkeypatch.setattr(spatial, "EDGES", dealt)
+        got = {r.point_id: r.distance for r in spatial.nearest_edges(points, g).collect()}
+        want = {i: plain(lat, lon)[0] for i, lat, lon in asked}
+        assert got == {i: pytest.approx(d, abs=1e-6) for i, d in want.items() if d <= 50}
+    assert [s[0] for s in seen] == [120, 120] and seen[0][1] <= 4 * 400 and seen[1][2] > 1
