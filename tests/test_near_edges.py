@@ -78,3 +78,20 @@ def test_long_edges_cross_few_cells(spark, monkeypatch):
         want = {i: plain(lat, lon)[0] for i, lat, lon in asked}
         assert got == {i: pytest.approx(d, abs=1e-6) for i, d in want.items() if d <= 50}
     assert [s[0] for s in seen] == [120, 120] and seen[0][1] <= 4 * 400 and seen[1][2] > 1
+
+
+def test_virtual_nodes_where_directions_tie(spark, monkeypatch):
+    """Edges between two nodes are compared once, and of all of them, whatever the direction, the least ord is taken among the nearest."""
+    nodes = spark.createDataFrame([(1, 21.0, 105.0), (2, 21.0, 105.01), (3, 21.001, 105.0)], "id long, lat double, lon double")
+    edges = [(1, 2, 7), (2, 1, 4), (1, 2, 5), (3, 3, 1), (1, 3, 9), (3, 1, 8)]
+    points = spark.createDataFrame([(0, 21.0, 105.0), (1, 21.0, 105.01), (2, 21.0001, 105.0), (3, 21.001, 105.0), (4, 21.1, 105.0)], "point_id long, lat double, lon double")
+    rows, laid_out = [], spatial._laid_out
+
+    def counted(here, segments, *more):
+        rows.append(segments.count())
+        return laid_out(here, segments, *more)
+
+    monkeypatch.setattr(spatial, "_laid_out", counted)
+    g = Graph(nodes, spark.createDataFrame(edges, "src long, dst long, ord long"))
+    got = {r.point_id: [n.id for n in r.neighbours] for r in spatial.virtual_nodes(points, g).collect()}
+    assert got == {0: [2, 1], 1: [2, 1], 2: [3, 1], 3: [3, 3]} and rows == [3]
