@@ -95,3 +95,11 @@ def test_virtual_nodes_where_directions_tie(spark, monkeypatch):
     g = Graph(nodes, spark.createDataFrame(edges, "src long, dst long, ord long"))
     got = {r.point_id: [n.id for n in r.neighbours] for r in spatial.virtual_nodes(points, g).collect()}
     assert got == {0: [2, 1], 1: [2, 1], 2: [3, 1], 3: [3, 3]} and rows == [3]
+
+
+@pytest.mark.parametrize("latitude", [0.0, 89.9995])
+def test_a_point_on_an_edge_far_north(latitude):
+    points = pa.table({"key_": [1], "plat": [latitude], "plon": [105.0]})
+    edges = pa.table({"src_lon": [105.0, 105.1], "src_lat": [latitude, latitude], "dst_lon": [105.01, 105.1], "dst_lat": [latitude, latitude - 1e-4], "ord": [3, 4]})
+    got = spatial._nearest_rows(points, edges, 4.5e-4, 0.5)
+    assert got.to_pylist() == [{"key_": 1, "ord": 3, "far": 0.0}]
